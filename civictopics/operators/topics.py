@@ -155,30 +155,27 @@ def topic_similarity(
     )
 
 
-def reduce_topics(
-    assigned: DataFrame,
+def merge_plan(
+    sizes: DataFrame,
     weights: DataFrame,
-    nr_topics: int | DataFrame | None,
+    nr_topics: int | DataFrame,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Merge small topics until ``nr_topics`` are left, the outlier topic included.
+    """``(by..., topic, new_topic)`` for ``sizes (by..., topic, cnt, first_row)``.
 
     The largest topics stay; every other one joins the kept topic whose word weights are most
     similar (ties and topics without shared words: the larger).  Then topics are numbered by size
-    again.  ``nr_topics`` is a number, ``None`` for no merging, or a table ``(by..., nr_topics)``
-    with null for the runs that merge nothing.
+    again.  ``nr_topics`` counts the outlier topic; a table ``(by..., nr_topics)`` sets it per
+    run, with null for the runs that merge nothing.
     """
-    if nr_topics is None:
-        return assigned
     by = list(by)
     keys = [*by, "topic"]
-    sizes = topic_sizes(assigned, by)
     if isinstance(nr_topics, DataFrame):
         sizes = sizes.join(nr_topics.select(*by, "nr_topics"), by)
     else:
         sizes = sizes.withColumn("nr_topics", F.lit(nr_topics))
     run = Window.partitionBy(*by)
-    largest = run.orderBy((F.col("topic") == -1), F.desc("cnt"), "topic")
+    largest = run.orderBy(F.col("topic") == -1, F.desc("cnt"), "topic")
     ranked = cut(
         sizes.withColumns({
             "place": F.row_number().over(largest),
@@ -207,6 +204,7 @@ def reduce_topics(
     into = folded.select(
         *keys, "cnt", "first_row", F.coalesce("into", "biggest").alias("into")
     ).unionByName(kept.select(*keys, "cnt", "first_row", F.col("topic").alias("into")))
+    into = cut(into, "merged")
     merged = into.groupBy(*by, "into").agg(
         F.sum("cnt").alias("size"), F.min("first_row").alias("first_row")
     )
@@ -215,12 +213,29 @@ def reduce_topics(
         (F.row_number().over(run.orderBy(F.desc("size"), "first_row")) - 1)
         .cast("long").alias("new_topic"),
     )
+    outliers = ranked.filter("topic = -1").select(
+        *keys, F.lit(-1).cast("long").alias("new_topic")
+    )
+    return into.join(numbered, [*by, "into"]).select(*keys, "new_topic").unionByName(outliers)
+
+
+def reduce_topics(
+    assigned: DataFrame, weights: DataFrame, nr_topics: int | None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Merge small topics of ``assigned`` until ``nr_topics`` are left, outliers included.
+
+    ``None`` merges nothing.  The plan of the merge is a small written table, which Spark
+    broadcasts when its size allows.
+    """
+    if nr_topics is None:
+        return assigned
+    keys = [*by, "topic"]
     mapping = cut(
-        into.join(numbered, [*by, "into"]).select(*keys, "new_topic"), "topic-mapping"
+        merge_plan(topic_sizes(assigned, by), weights, nr_topics, by), "topic-mapping"
     )
     return (
-        assigned.join(mapping, keys, "left")
-        .withColumn("topic", F.coalesce("new_topic", F.lit(-1).cast("long")))
+        assigned.join(mapping, keys)
+        .withColumn("topic", F.col("new_topic"))
         .select(*assigned.columns)
     )
 
