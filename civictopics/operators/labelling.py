@@ -117,13 +117,17 @@ def model_responses(answer: Callable[[str], str]) -> Responder:
 
 
 def _options_by_parent(tax: DataFrame) -> DataFrame:
-    """``(n1, children)``: ordered second-level names, an empty list for a childless subject."""
+    """``(n1_pos, n1, children)``: ordered second-level names, an empty list for a childless subject.
+
+    One row per name: a taxonomy that lists a name twice must not double its texts.
+    """
     named = F.filter(
-        F.sort_array(F.collect_list(F.struct("n2_pos", "n2"))), lambda c: c["n2"].isNotNull()
+        F.sort_array(F.collect_list(F.struct("n1_pos", "n2_pos", "n2"))),
+        lambda child: child["n2"].isNotNull(),
     )
     return (
-        tax.groupBy("n1", "n1_pos")
-        .agg(named.alias("placed"))
+        tax.groupBy("n1")
+        .agg(F.min("n1_pos").alias("n1_pos"), named.alias("placed"))
         .select("n1_pos", "n1", F.col("placed.n2").alias("children"))
     )
 
