@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
+from civictopics.storage import cut
 
 
 def vocabulary(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -71,27 +72,25 @@ def class_tfidf(
 
     ``weight = cnt / words of the topic * ln(1 + floor(mean words per topic) / cnt of the word)``;
     the logarithm is multiplied by ``seed_multiplier`` for seed words.  The outlier topic counts
-    as a topic here.
+    as a topic here.  ``counts`` is read twice and should be a stored table.  The sizes of the
+    topics are written first, so that Spark knows whether it can broadcast them.
     """
     by = list(by)
-    per_topic = counts.groupBy(*by, "topic").agg(F.sum("cnt").alias("topic_words"))
-    mean_words = per_topic.groupBy(*by).agg(
-        F.floor(F.sum("topic_words") / F.count("*")).alias("mean_words")
-    )
-    sizes = (
-        per_topic.join(mean_words, by)
-        if by
-        else per_topic.withColumn("mean_words", mean_words.scalar())
-    )
-    per_word = counts.groupBy(*by, "word").agg(F.sum("cnt").alias("word_total"))
+    keys = [*by, "topic"]
+    per_topic = counts.groupBy(*keys).agg(F.sum("cnt").alias("topic_words"))
+    run = Window.partitionBy(*by)
+    mean_words = F.floor(F.sum("topic_words").over(run) / F.count("*").over(run))
+    sizes = cut(per_topic.withColumn("mean_words", mean_words), "topic-sizes")
+    # A word has one row per topic, so these window partitions are as small as the topic table.
+    word_total = F.sum("cnt").over(Window.partitionBy(*by, "word"))
+    joined = counts.withColumn("word_total", word_total).join(sizes, keys)
     idf = F.log(1 + F.col("mean_words") / F.col("word_total"))
-    joined = counts.join(per_word, [*by, "word"]).join(sizes, [*by, "topic"])
     if seed_words is not None:
         marked = seed_words.select("word", F.lit(True).alias("is_seed"))
         joined = joined.join(marked, "word", "left")
         idf = F.when(F.col("is_seed"), idf * seed_multiplier).otherwise(idf)
     return joined.select(
-        *by, "topic", "word", "cnt", (F.col("cnt") / F.col("topic_words") * idf).alias("weight")
+        *keys, "word", "cnt", (F.col("cnt") / F.col("topic_words") * idf).alias("weight")
     )
 
 
