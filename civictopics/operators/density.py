@@ -124,30 +124,34 @@ def connected_components(
 ) -> DataFrame:
     """``(by..., node, label)`` where ``label`` is the smallest node of the component.
 
-    ``links (by..., node, other)`` holds both directions.  Each round takes the smallest label of
-    the neighbours and then the label of that label, so long chains shrink quickly.  Every round
-    is written to the shared folder, which keeps the plan short.
+    ``links (by..., node, other)`` holds both directions.  Each round gives every node, and the
+    node it is labelled with, the smallest label around it, and then the label of that label.
+    Whole chains shrink at once, so the number of rounds grows with the logarithm of their length.
+    Every round is written to the shared folder, which keeps the plan short.
     """
     by = list(by)
-    labels = cut(nodes.select(*by, "node", F.col("node").alias("label")), "labels")
+    keys = [*by, "node"]
+    labels = cut(nodes.select(*keys, F.col("node").alias("label")), "labels")
     while True:
         around = (
             links.join(labels.withColumnRenamed("node", "other"), [*by, "other"])
-            .groupBy(*by, "node")
+            .groupBy(*keys)
             .agg(F.min("label").alias("lowest"))
         )
-        lowered = labels.join(around, [*by, "node"], "left").select(
-            *by, "node", F.col("label").alias("before"),
-            F.least("label", "lowest").alias("lowered"),
+        lowest = labels.join(around, keys, "left").select(
+            *keys, "label", F.least("label", "lowest").alias("lowest")
         )
-        jump = lowered.select(
-            *by, F.col("node").alias("lowered"), F.col("lowered").alias("label")
+        proposals = lowest.select(*keys, "lowest").unionByName(
+            lowest.select(*by, F.col("label").alias("node"), "lowest")
         )
+        hooked = cut(proposals.groupBy(*keys).agg(F.min("lowest").alias("hook")), "labels")
+        jump = hooked.select(*by, F.col("node").alias("hook"), F.col("hook").alias("new_label"))
         moved = cut(
-            lowered.join(jump, [*by, "lowered"]).select(*by, "node", "before", "label"), "labels"
+            labels.join(hooked, keys).join(jump, [*by, "hook"]).select(*keys, "label", "new_label"),
+            "labels",
         )
-        labels = moved.select(*by, "node", "label")
-        if moved.filter("label <> before").isEmpty():
+        labels = moved.select(*keys, F.col("new_label").alias("label"))
+        if moved.filter("new_label <> label").isEmpty():
             return labels
 
 

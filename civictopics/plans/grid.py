@@ -128,6 +128,9 @@ def grid_topics(
     def one(model: str, iteration: int) -> DataFrame:
         salt = "" if iteration == 0 else str(iteration)
         embedded = embed.embed_docs(tokens, dim=models[model], idf=idf, salt=salt)
+        if reducer == "pca":
+            # Fitting the components reads the vectors several times.
+            embedded = cut(embedded, "embedded")
         reduced = embed.reduce_dims(embedded, k, reducer, salt, dim=models[model])
         return density.with_cells(reduced, k, width).select(
             F.lit(model).alias("model"), F.lit(iteration).cast("long").alias("iteration"),
