@@ -57,7 +57,7 @@ def hashed_vectors(
         row = np.repeat(np.arange(n), lengths)
         sums = np.bincount(
             row * dim + slot[code], weights=(weights[bucket] * sign)[code], minlength=n * dim
-        ).reshape(n, dim)
+        ).astype(np.float64).reshape(n, dim)
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
         return pa.ListArray.from_arrays(

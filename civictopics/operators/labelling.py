@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
 from civictopics.operators.prepare import stop_words
+from civictopics.storage import cut
 
 # Fixed value: the second-level label of a subject that has no children.
 NO_CHILDREN = "Sem subcategoria"
@@ -151,11 +152,12 @@ def classify(
 
     The text is cleaned, answered and validated for the first level, then again among the children
     of the label found.  No first-level label leaves both null; a subject without children gets
-    ``NO_CHILDREN``; a null text gets null labels.  The options are one small value in the plan
-    and the children one lookup by label, so no text is shuffled.  ``keep`` carries columns along,
-    which saves joining the labels back.
+    ``NO_CHILDREN``; a null text gets null labels.  The options are one small value in the plan.
+    The children are written first, so that Spark sees their size and looks them up by broadcast
+    instead of shuffling the texts by label.  ``keep`` carries columns along, which saves joining
+    the labels back.
     """
-    parents = _options_by_parent(tax)
+    parents = cut(_options_by_parent(tax), "subjects")
 
     def asked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         prompt = build_prompt(F.col("text"), F.col("options"), prompt_chars)

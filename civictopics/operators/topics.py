@@ -245,9 +245,10 @@ def representative_docs(
 ) -> DataFrame:
     """``(topic, rank, row_id, sim)``: the ``n`` texts most similar to the centroid of their topic.
 
-    Ties go to the smallest ``row_id``.  Spark cuts each topic to ``n`` rows before the shuffle.
+    Ties go to the smallest ``row_id``.  The centroids are written first, so that Spark sees their
+    size and broadcasts them if it can, and it cuts each topic to ``n`` rows before the shuffle.
     """
-    own = centers.select("topic", F.col("embedding").alias("_center"))
+    own = cut(centers.select("topic", F.col("embedding").alias("_center")), "centroids")
     a, b = F.col(vector_col), F.col("_center")
     sim = F.try_divide(vx.dot(a, b), vx.length_of(a) * vx.length_of(b))
     order = Window.partitionBy("topic").orderBy(F.desc("sim"), "row_id")

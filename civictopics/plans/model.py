@@ -116,7 +116,9 @@ def fit_topics(
         weights = weights_of(assigned)
     words = cut(vocabulary.top_words(weights, settings.words_per_topic), "words")
     centers = cut(topics.centroids(assigned), "centroids")
-    samples = topics.representative_docs(assigned, centers, settings.docs_per_topic)
+    samples = cut(
+        topics.representative_docs(assigned, centers, settings.docs_per_topic), "samples"
+    )
     info = topics.topic_info(assigned, words, samples, assigned)
     return TopicModel(settings, idf, assigned, words, centers, info)
 
