@@ -13,6 +13,19 @@ from pyspark.sql import types as T
 from civictopics.operators import coherence, density, embed, topics, vocabulary
 from civictopics.storage import cut
 
+# The two tuning grids; None stands for "no reduction".
+ITERATIONS = 10
+PHASE_1_TOPICS = (10, 30, 50, 70, 90, 110, 130, None)
+PHASE_2_TOPICS = (50, 70, 90, 110, 130, None)
+PHASE_2_SIZES = (3, 5, 10, 15, 20, 25)
+
+# Column names of the result files, and the word for "no reduction".
+RESULT_NAMES = {
+    "num_topics_found": "num_topics_found", "nc": "NC", "nd": "ND", "wc": "WC", "wd": "WD",
+    "ws": "Weighted Score", "valid_iters": "valid_iters",
+}
+NO_REDUCTION = "auto"
+
 METRICS = ("num_topics_found", "nc", "nd", "wc", "wd", "ws")
 
 
@@ -79,6 +92,24 @@ def leaderboard(
     return ordered if limit is None else ordered.limit(limit)
 
 
+def append_runs(*tables: DataFrame) -> DataFrame:
+    """Results of several grids in one table; columns a table lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def result_table(summary: DataFrame, phase: int) -> DataFrame:
+    """A summary under the column names of the result file of phase 1 or 2."""
+    target = F.coalesce(F.col("nr_topics").cast("string"), F.lit(NO_REDUCTION))
+    if phase == 1:
+        config = [F.col("model").alias("Model"), target.alias("Num_Topics")]
+    else:
+        grams = F.format_string("(%d, %d)", F.col("n_gram_range.min"), F.col("n_gram_range.max"))
+        config = [
+            grams.alias("n_gram_range"), target.alias("nr_topics"), F.col("min_topic_size")
+        ]
+    return summary.select(*config, *[F.col(c).alias(n) for c, n in RESULT_NAMES.items()])
+
+
 def score_runs(
     docs: DataFrame,
     words: DataFrame,

@@ -38,6 +38,10 @@ class Settings:
     min_sim: float | None = None
 
 
+# The settings of the final model.
+FINAL = Settings(nr_topics=70, min_topic_size=10)
+
+
 @dataclass(frozen=True)
 class TopicModel:
     """The tables of a fitted model.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civictopics.storage import cut
+
 PROPOSALS = T.StructType([
     T.StructField("row_id", T.LongType()),
     T.StructField("proposal_text", T.StringType()),
@@ -19,20 +21,29 @@ BYTE_ORDER_MARK = "﻿"
 
 
 def read_proposals(
-    spark: SparkSession, path: str, schema: T.StructType = PROPOSALS, sep: str = ","
+    spark: SparkSession, path: str, schema: T.StructType | None = PROPOSALS, sep: str = ","
 ) -> DataFrame:
     """Read a UTF-8 CSV with a header and quoted texts that may span lines.
 
-    A byte order mark is skipped.  Columns are matched by position, as ``schema`` lists them.  A
-    file with quoted line breaks cannot be split, so large inputs should come as many files, or
-    better as Parquet.
+    A byte order mark is skipped.  Columns are matched by position, as ``schema`` lists them; with
+    ``schema=None`` the header names them and all are text.  A file with quoted line breaks cannot
+    be split, so large inputs should come as many files, or better as Parquet.
     """
-    return spark.read.schema(schema).csv(
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.csv(
         path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8",
         enforceSchema=True,
     )
 
 
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Add ``row_id`` to rows that have none, growing with the order of files and lines.
+
+    The ids depend on how the input is split, so they are written once and read from there.
+    """
+    return cut(df.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
 def read_embeddings(spark: SparkSession, path: str, id_col: str, vector_col: str) -> DataFrame:
     """``(row_id, embedding)`` from a Parquet table of precomputed vectors."""
     return spark.read.parquet(path).select(
