@@ -146,26 +146,31 @@ def agreement(source: str, by: str = "") -> str:
     """The textbook formulas with marginal tables."""
     using = f"USING ({by.rstrip(', ')})" if by else "ON true"
     group = f"GROUP BY {by.rstrip(', ')}" if by else ""
-    return f"""cells AS (
+    return f"""table_cells AS (
   SELECT {by}lang, topic, CAST(count(*) AS DOUBLE) AS n FROM {source} WHERE topic <> -1 AND lang IS NOT NULL
   GROUP BY {by}lang, topic),
-rowsum AS (SELECT {by}lang, sum(n) AS a FROM cells GROUP BY {by}lang),
-colsum AS (SELECT {by}topic, sum(n) AS b FROM cells GROUP BY {by}topic),
-al AS (SELECT {by}sum(n) AS nn, sum(n * (n - 1) / 2) AS tog FROM cells {group}),
+rowsum AS (SELECT {by}lang, sum(n) AS a FROM table_cells GROUP BY {by}lang),
+colsum AS (SELECT {by}topic, sum(n) AS b FROM table_cells GROUP BY {by}topic),
+al AS (SELECT {by}sum(n) AS nn, sum(n * (n - 1) / 2) AS tog FROM table_cells {group}),
 ra AS (SELECT {by}sum(a * (a - 1) / 2) AS sa FROM rowsum {group}),
 cb AS (SELECT {by}sum(b * (b - 1) / 2) AS sb FROM colsum {group}),
 hg AS (SELECT {by}-sum(a / nn * ln(a / nn)) AS hg FROM rowsum JOIN al {using} {group}),
 ht AS (SELECT {by}-sum(b / nn * ln(b / nn)) AS ht FROM colsum JOIN al {using} {group}),
 mi AS (
   SELECT {by}sum(n / nn * ln(nn * n / (a * b))) AS mi
-  FROM cells JOIN rowsum USING ({by}lang) JOIN colsum USING ({by}topic) JOIN al {using} {group}),
+  FROM table_cells JOIN rowsum USING ({by}lang) JOIN colsum USING ({by}topic) JOIN al {using} {group}),
 scores AS (
   SELECT {by}CAST(nn AS BIGINT) AS n_scored,
     CASE WHEN tog = sa AND tog = sb THEN 1.0 ELSE
       (tog - sa * sb / (nn * (nn - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (nn * (nn - 1) / 2)) END AS ari,
-    mi / ((hg + ht) / 2) AS nmi, mi / hg AS homogeneity, mi / ht AS completeness,
-    2 * (mi / hg) * (mi / ht) / (mi / hg + mi / ht) AS v_measure
-  FROM al JOIN ra {using} JOIN cb {using} JOIN hg {using} JOIN ht {using} JOIN mi {using})"""
+    CASE WHEN round(hg + ht, 12) = 0 THEN 1 ELSE mi / ((hg + ht) / 2) END AS nmi,
+    homogeneity, completeness,
+    CASE WHEN homogeneity + completeness = 0 THEN 0
+         ELSE 2 * homogeneity * completeness / (homogeneity + completeness) END AS v_measure
+  FROM (
+    SELECT *, CASE WHEN round(hg, 12) = 0 THEN 1 ELSE mi / hg END AS homogeneity,
+           CASE WHEN round(ht, 12) = 0 THEN 1 ELSE mi / ht END AS completeness
+    FROM al JOIN ra {using} JOIN cb {using} JOIN hg {using} JOIN ht {using} JOIN mi {using}))"""
 
 
 def number(digest: str, start: int) -> str:
@@ -434,6 +439,30 @@ def rounded(names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names.split())
 
 
+FITTED = (
+    TOKENS, embedded(64), "every_row AS (SELECT row_id FROM tok)", projection(64, 4),
+    density(4, 0.25, 0.97, 10, 10),
+)
+
+
+def nearest_fitted(vectors: str) -> str:
+    """``nearest (row_id, topic, sim)``: rows of a sparse vector table against the fitted topics."""
+    return f"""members AS (SELECT topic, count(*) AS n FROM final WHERE topic <> -1 GROUP BY topic),
+fitted AS (
+  SELECT topic, slot, sum(value) / any_value(n) AS value
+  FROM vec JOIN final USING (row_id) JOIN members USING (topic) GROUP BY topic, slot),
+fitted_size AS (SELECT topic, sqrt(sum(value * value)) AS cnorm FROM fitted GROUP BY topic),
+row_size AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM {vectors} GROUP BY row_id),
+nearest AS (
+  SELECT row_id, topic, sim FROM (
+    SELECT row_id, topic, sim, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, topic) AS place
+    FROM (
+      SELECT v.row_id, f.topic, round(sum(v.value * f.value) / (any_value(norm) * any_value(cnorm)), 9) AS sim
+      FROM {vectors} v JOIN fitted f USING (slot) JOIN fitted_size USING (topic) JOIN row_size USING (row_id)
+      GROUP BY 1, 2))
+  WHERE place = 1)"""
+
+
 SEED_WORDS = f"seed_words AS (SELECT DISTINCT unnest({counted('text')}) AS word FROM benchmark)"
 SCORES = "ari nmi homogeneity completeness v_measure"
 EVERY_VECTOR = "every_row AS (SELECT vec_id AS row_id FROM embeddings)"
@@ -600,9 +629,29 @@ FROM labelled GROUP BY n1, n2""",
         WORD_TAXONOMY, classified(),
         last='SELECT row_id, lang, n1 AS "VCGE_N1", n2 AS "VCGE_N2" FROM labelled',
     ),
-    "fit_topics": with_(
-        TOKENS, embedded(64), "every_row AS (SELECT row_id FROM tok)", projection(64, 3),
-        density(3, 0.25, 0.95, 10, 10), last="SELECT * FROM final", recursive=True,
+    "fit_topics": with_(*FITTED, last="SELECT * FROM final", recursive=True),
+    "evaluate_external": with_(
+        *FITTED, nearest_fitted("vec"),
+        "compared AS (SELECT row_id, topic, lang FROM nearest JOIN documents ON doc_id = row_id)",
+        agreement("compared"),
+        last=f"""SELECT n_scored, {rounded(SCORES, 9)}, (SELECT count(*) FROM compared) AS n_rows,
+  round(n_scored / (SELECT count(*) FROM compared), 9) AS coverage FROM scores""",
+        recursive=True,
+    ),
+    "assign_benchmark": with_(
+        *FITTED, prepared("benchmark", "text", "item_id", "items"),
+        f"""item_words AS (
+  SELECT row_id, md5(word) AS h, count(*) AS n FROM (
+    SELECT row_id, unnest({counted('clean_text')}) AS word FROM items) GROUP BY ALL),
+item_raw AS (
+  SELECT row_id, slot, sum(n * sgn * coalesce(idf, ln(1.0 + (SELECT count(*) FROM tok)))) AS value FROM (
+    SELECT row_id, n, {number('h', 1)} % 262144 AS bucket, {number('h', 9)} % 64 AS slot,
+           CASE WHEN substr(h, 17, 1) < '8' THEN 1.0 ELSE -1.0 END AS sgn FROM item_words)
+  LEFT JOIN freq USING (bucket) GROUP BY row_id, slot)""",
+        nearest_fitted("item_raw"),
+        last="""SELECT row_id, CASE WHEN sim >= 0.05 THEN topic ELSE -1 END AS topic,
+  round(greatest(0, least(1, sim)), 6) AS probability FROM nearest""",
+        recursive=True,
     ),
     "align_predictions": with_(
         PREPARED, GIVEN,

@@ -427,10 +427,13 @@ def attach_labels(spark, sf):
 # -------------------------------------------------------------- plans, grids and files
 
 
+# A fixed projection instead of principal components, so that SQL can follow.
+PROJECTED = {"dim": 64, "reducer": "projection", "k": 4, "width": 0.25, "sim": 0.97}
+
+
 def fit_topics(spark, sf):
-    """Fixed projection instead of principal components, so that SQL can follow."""
-    settings = mo.Settings(dim=64, reducer="projection", k=3, width=0.25, sim=0.95)
-    return mo.fit_topics(prepared(spark, sf), settings).assigned.select("row_id", "topic")
+    model = mo.fit_topics(prepared(spark, sf), mo.Settings(**PROJECTED))
+    return model.assigned.select("row_id", "topic")
 
 
 def fit_topic_info(spark, sf):
@@ -450,18 +453,19 @@ def fit_guided(spark, sf):
 
 
 def evaluate_external(spark, sf):
-    """Fit on the documents, assign the benchmark texts and score against the closest language."""
-    model = mo.fit_topics(prepared(spark, sf))
+    """Fit on the documents, assign them, and score the topics against their language."""
+    model = mo.fit_topics(prepared(spark, sf), mo.Settings(**PROJECTED))
     source = proposals(spark, sf).select(
         "row_id", F.col("lang").alias("VCGE_N1"), F.col("source").alias("VCGE_N2")
     )
     predicted = mo.transform(model, prepared(spark, sf))
-    return rounded(ev.external_scores(ev.align_predictions(source, predicted)))
+    aligned = cut(ev.align_predictions(source, predicted), "aligned")
+    return rounded(ev.external_scores(aligned), 9)
 
 
 def assign_benchmark(spark, sf):
     """A model of the documents applied to the benchmark texts."""
-    model = mo.fit_topics(prepared(spark, sf))
+    model = mo.fit_topics(prepared(spark, sf), mo.Settings(**PROJECTED, min_sim=0.05))
     texts = pr.clean_and_prepare(
         table(spark, sf, "benchmark"), "text", "item_id", language=LANGUAGE
     )

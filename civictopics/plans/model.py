@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -46,8 +47,8 @@ FINAL = Settings(nr_topics=70, min_topic_size=10)
 class TopicModel:
     """The tables of a fitted model.
 
-    ``assigned (row_id, topic, ...)``, ``words (topic, rank, word, weight)``,
-    ``centroids (topic, embedding)`` and ``info (topic, cnt, name, representation, ...)``.
+    ``assigned (row_id, topic, ...)``, ``words (topic, rank, word, weight)`` and
+    ``centroids (topic, embedding)``.
     """
 
     settings: Settings
@@ -55,7 +56,17 @@ class TopicModel:
     assigned: DataFrame
     words: DataFrame
     centroids: DataFrame
-    info: DataFrame
+
+    @cached_property
+    def info(self) -> DataFrame:
+        """``(topic, cnt, name, representation, representative_docs)``, worked out when asked for."""
+        samples = cut(
+            topics.representative_docs(
+                self.assigned, self.centroids, self.settings.docs_per_topic
+            ),
+            "samples",
+        )
+        return topics.topic_info(self.assigned, self.words, samples, self.assigned)
 
 
 def _embedded(
@@ -99,7 +110,8 @@ def fit_topics(
         embedded = topics.seed_guide(cut(embedded, "embedded"), seeds, settings.seed_weight)
     embedded = cut(embedded, "embedded")
     reduced = embed.reduce_dims(
-        embedded, settings.k, settings.reducer, settings.salt, dim=None
+        embedded, settings.k, settings.reducer, settings.salt,
+        dim=settings.dim if settings.method == "hash" else None,
     )
     assigned = cut(
         density_topics(
@@ -120,11 +132,7 @@ def fit_topics(
         weights = weights_of(assigned)
     words = cut(vocabulary.top_words(weights, settings.words_per_topic), "words")
     centers = cut(topics.centroids(assigned), "centroids")
-    samples = cut(
-        topics.representative_docs(assigned, centers, settings.docs_per_topic), "samples"
-    )
-    info = topics.topic_info(assigned, words, samples, assigned)
-    return TopicModel(settings, idf, assigned, words, centers, info)
+    return TopicModel(settings, idf, assigned, words, centers)
 
 
 def transform(
