@@ -160,7 +160,7 @@ mi AS (
   SELECT {by}sum(n / nn * ln(nn * n / (a * b))) AS mi
   FROM table_cells JOIN rowsum USING ({by}lang) JOIN colsum USING ({by}topic) JOIN al {using} {group}),
 scores AS (
-  SELECT {by}CAST(nn AS BIGINT) AS n_scored,
+  SELECT {by}CAST(coalesce(nn, 0) AS BIGINT) AS n_scored,
     CASE WHEN tog = sa AND tog = sb THEN 1.0 ELSE
       (tog - sa * sb / (nn * (nn - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (nn * (nn - 1) / 2)) END AS ari,
     CASE WHEN round(hg + ht, 12) = 0 THEN 1 ELSE mi / ((hg + ht) / 2) END AS nmi,
@@ -454,13 +454,13 @@ fitted AS (
 fitted_size AS (SELECT topic, sqrt(sum(value * value)) AS cnorm FROM fitted GROUP BY topic),
 row_size AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM {vectors} GROUP BY row_id),
 nearest AS (
-  SELECT row_id, topic, sim FROM (
+  SELECT row_id, coalesce(topic, -1) AS topic, sim FROM row_size LEFT JOIN (
     SELECT row_id, topic, sim, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, topic) AS place
     FROM (
       SELECT v.row_id, f.topic, round(sum(v.value * f.value) / (any_value(norm) * any_value(cnorm)), 9) AS sim
       FROM {vectors} v JOIN fitted f USING (slot) JOIN fitted_size USING (topic) JOIN row_size USING (row_id)
-      GROUP BY 1, 2))
-  WHERE place = 1)"""
+      GROUP BY 1, 2)) USING (row_id)
+  WHERE place IS NULL OR place = 1)"""
 
 
 SEED_WORDS = f"seed_words AS (SELECT DISTINCT unnest({counted('text')}) AS word FROM benchmark)"
@@ -650,7 +650,7 @@ item_raw AS (
   LEFT JOIN freq USING (bucket) GROUP BY row_id, slot)""",
         nearest_fitted("item_raw"),
         last="""SELECT row_id, CASE WHEN sim >= 0.05 THEN topic ELSE -1 END AS topic,
-  round(greatest(0, least(1, sim)), 6) AS probability FROM nearest""",
+  CASE WHEN sim IS NOT NULL THEN round(greatest(0, least(1, sim)), 6) END AS probability FROM nearest""",
         recursive=True,
     ),
     "align_predictions": with_(

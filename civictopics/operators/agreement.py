@@ -89,7 +89,7 @@ def agreement(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     both = c("homogeneity") + c("completeness")
     return parts.select(
         *by,
-        c("tot").cast("long").alias("n_scored"),
+        F.coalesce(c("tot"), F.lit(0)).cast("long").alias("n_scored"),
         ari.alias("ari"),
         F.when((c("h_gold") == 0) & (c("h_topic") == 0), 1.0)
         .otherwise(c("mi") / ((c("h_gold") + c("h_topic")) / 2))

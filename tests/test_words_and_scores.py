@@ -152,6 +152,8 @@ def test_agreement_edges(spark):
     assert (same.ari, same.nmi, same.v_measure) == (1.0, pytest.approx(1.0), pytest.approx(1.0))
     one = scores(spark, [("x", 1), ("x", 1)])
     assert (one.ari, one.nmi, one.homogeneity, one.completeness) == (1.0, 1.0, 1.0, 1.0)
+    nothing = scores(spark, [("x", -1)])
+    assert nothing.n_scored == 0 and nothing.ari is None and nothing.v_measure is None
     cut_up = scores(spark, [("x", 1), ("x", 2), ("y", 3), ("y", 4)])
     assert cut_up.homogeneity == pytest.approx(1.0) and cut_up.completeness < 1
 
