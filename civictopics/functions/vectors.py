@@ -15,14 +15,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
-def hash_digits(word: Column) -> dict[str, Column]:
-    """The numbers the hashed embedding reads off a word, as Spark expressions."""
-    digest = F.md5(word)
-
-    def number(start: int) -> Column:
-        return F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
-
-    return {"bucket": number(1), "slot": number(9)}
+def hash_number(word: Column) -> Column:
+    """The first eight MD5 digits of a word as a number, which choose its frequency bucket."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
 
 
 def hashed_vectors(

@@ -24,7 +24,7 @@ def bucket_frequencies(df: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> DataF
     """
     found = F.array_distinct(
         F.transform(
-            F.array_distinct("tokens"), lambda word: vx.hash_digits(word)["bucket"] % buckets
+            F.array_distinct("tokens"), lambda word: vx.hash_number(word) % buckets
         )
     )
     every = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(found, F.array().cast("array<long>")))

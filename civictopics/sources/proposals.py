@@ -17,7 +17,7 @@ LABELLED_PROPOSALS = T.StructType([
     T.StructField("VCGE_N1", T.StringType()),
     T.StructField("VCGE_N2", T.StringType()),
 ])
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def read_proposals(
