@@ -7,11 +7,8 @@ from the fragments below.
 from __future__ import annotations
 
 import hashlib
-import os
-import zipfile
-
-import pyspark
 
+from civictopics.functions.stopwords import ENGLISH
 from civictopics.functions.text import WHITESPACE
 from civictopics.operators.labelling import NO_CHILDREN, PROMPT
 from civictopics.sources.taxonomy import subjects
@@ -25,18 +22,8 @@ def with_(*parts: str, last: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + last
 
 
-def spark_stop_words(language: str) -> list[str]:
-    """Spark's list, read from its jar so that no session is needed."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(j for j in sorted(os.listdir(jars)) if j.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, jar)) as archive:
-        entry = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-        return archive.read(entry).decode().split()
-
-
 SPACE = text(WHITESPACE)
-STOP = "(" + ", ".join(text(w) for w in spark_stop_words("english")) + ")"
-STOP_PT = "(" + ", ".join(text(w) for w in spark_stop_words("portuguese")) + ")"
+STOP = "(" + ", ".join(text(w) for w in ENGLISH) + ")"
 
 # ------------------------------------------------------------------------- fragments
 

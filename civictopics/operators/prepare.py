@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
+from civictopics.functions.stopwords import ENGLISH
 
 
 def standardise(
@@ -46,6 +47,8 @@ def first_of_each_text(df: DataFrame, text_col: str = "original_text") -> DataFr
 
 def stop_words(language: str = "portuguese") -> list[str]:
     """Spark's own stop-word list of a language."""
+    if language == "english":
+        return list(ENGLISH)
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
