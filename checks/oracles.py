@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from civictopics.functions.stopwords import ENGLISH
+from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
 from civictopics.functions.text import WHITESPACE
 from civictopics.operators.labelling import NO_CHILDREN, PROMPT
 from civictopics.sources.taxonomy import subjects
@@ -24,6 +24,7 @@ def with_(*parts: str, last: str, recursive: bool = False) -> str:
 
 SPACE = text(WHITESPACE)
 STOP = "(" + ", ".join(text(w) for w in ENGLISH) + ")"
+STOP_PT = "(" + ", ".join(text(w) for w in PORTUGUESE) + ")"
 
 # ------------------------------------------------------------------------- fragments
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
-from civictopics.functions.stopwords import ENGLISH
+from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
 
 
 def standardise(
@@ -47,8 +47,9 @@ def first_of_each_text(df: DataFrame, text_col: str = "original_text") -> DataFr
 
 def stop_words(language: str = "portuguese") -> list[str]:
     """Spark's own stop-word list of a language."""
-    if language == "english":
-        return list(ENGLISH)
+    known = {"english": ENGLISH, "portuguese": PORTUGUESE}
+    if language in known:
+        return list(known[language])
     return StopWordsRemover.loadDefaultStopWords(language)
 
 

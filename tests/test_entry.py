@@ -8,7 +8,7 @@ from pathlib import Path
 import pyspark
 from pyspark.ml.feature import StopWordsRemover
 
-from civictopics.functions.stopwords import ENGLISH
+from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
 
 REPO = Path(__file__).resolve().parents[1]
 
@@ -34,3 +34,4 @@ def test_entry_loads_with_pyspark_as_a_zip(tmp_path):
 
 def test_stop_words_are_those_of_spark(spark):
     assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
+    assert list(PORTUGUESE) == StopWordsRemover.loadDefaultStopWords("portuguese")
