@@ -18,8 +18,8 @@ def test_entry_loads_with_pyspark_as_a_zip(tmp_path):
     home = Path(pyspark.__file__).parent
     zipped = tmp_path / "pyspark.zip"
     with zipfile.ZipFile(zipped, "w") as archive:
-        for path in home.rglob("*.py"):
-            if "jars" not in path.parts:
+        for path in home.rglob("*"):
+            if path.suffix in (".py", ".json") and "jars" not in path.parts:
                 archive.write(path, f"pyspark/{path.relative_to(home)}")
     code = (
         f"import sys; sys.path.insert(0, {str(zipped)!r}); import pyspark;"
