@@ -60,3 +60,10 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower-cases A-Z only; Spark's own function does it for texts that are all ASCII."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe
+from civictopics.llm import bpe, exact_dedup, mixing, simhash
 from civictopics.llm.common import tokenizer_path
 
 
@@ -12,9 +12,28 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the mix of sources takes each document."""
+    return mixing.mix(documents(spark, sf), keep=["doc_id", "source"]).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate"
+    )
+
+
+def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return exact_dedup.exact_groups(documents(spark, sf))
+
+
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicate_groups(documents(spark, sf))
+
+
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded and decoded with the byte-level file."""
     return bpe.round_trip(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES = {query.__name__: query for query in (op7_bpe,)}
+QUERIES = {
+    query.__name__: query for query in (op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe)
+}
