@@ -27,6 +27,7 @@ TOLERANCE = 1e-7
 # Documents of one source and size are dealt into parts of about so many rows.
 PART_ROWS = 256
 SLOTS = 1 << 20
+UNIT = 10**9
 
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
@@ -71,12 +72,12 @@ def balance(sizes: DataFrame, goals: DataFrame, limit: int = MAX_COPIES) -> Data
     ``sizes (key, size, docs)`` counts documents.  Sources without words keep rate 1.
     """
     size, docs = F.col("size"), F.col("docs")
-    scales = sizes.groupBy("key").agg((F.sum(docs * size * size) / F.sum(docs * size)).alias("scale"))
-    ratio = F.col("target") / F.col("source_size")
+    scales = sizes.groupBy("key").agg(F.try_divide(F.sum(docs * size * size), F.sum(docs * size)).alias("scale"))
+    ratio = F.try_divide("target", "source_size")
     state = cut(
         goals.join(scales, "key").select(
             "key", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"),
-            ((F.col("source_size") > 0) & (ratio >= limit * (1 - 1e-12))).alias("full"),
+            F.coalesce(ratio >= limit * (1 - 1e-12), F.lit(False)).alias("full"),
             F.lit(0.0).alias("at"),
             # All documents have a size of 1 or more here, so these two are beyond the solution.
             F.coalesce(F.least(F.lit(0.0), F.log(ratio)) * F.col("scale"), F.lit(0.0)).alias("low"),
@@ -97,7 +98,8 @@ def balance(sizes: DataFrame, goals: DataFrame, limit: int = MAX_COPIES) -> Data
         low = F.when(F.col("words") < F.col("target"), F.col("at")).otherwise(F.col("low"))
         high = F.when(F.col("words") > F.col("target"), F.col("at")).otherwise(F.col("high"))
         # Newton's step for the logarithm of the words, which is nearly straight.
-        newton = F.col("at") - F.log(F.col("words") / F.col("target")) * F.col("words") / F.col("slope")
+        off = F.log(F.try_divide("words", "target"))
+        newton = F.col("at") - off * F.try_divide("words", "slope")
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         near = F.abs(F.col("words") - F.col("target")) <= TOLERANCE * F.col("target")
         state = cut(
@@ -153,12 +155,13 @@ def mix(
     solved = balance(by_size, goals, limit).join(goals, "key")
     # Fractions of copies counted up from the longest document, then part by part.
     rated = by_size.join(solved, "key").withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), limit)).otherwise(1.0))
-    extra = F.col("rate") - F.floor("rate")
+    # As whole billionths, so that sums do not depend on their order.
+    extra = F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long")
     ahead = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     rated = cut(
         rated.withColumn("extra", extra).select(
             "key", "size", "source_size", "target", "rate", "extra",
-            F.coalesce(F.sum(F.col("extra") * F.col("docs")).over(ahead), F.lit(0.0)).alias("begun"),
+            F.coalesce(F.sum(F.col("extra") * F.col("docs")).over(ahead), F.lit(0)).alias("begun"),
         ),
         "mix-rates",
     )
@@ -172,7 +175,8 @@ def mix(
     docs = df.select(F.struct(*[df[c] for c in kept]).alias("row"), key, size, mark.alias("mark"), (slot % parts).alias("part"))
     numbered = docs.withColumn("rank", F.row_number().over(within))
     upto = F.col("begun") + F.col("extra") * (F.col("offset") + F.col("rank"))
-    one_more = F.floor(upto + 1e-9) - F.floor(upto - F.col("extra") + 1e-9)
+    before = upto - F.col("extra")
+    one_more = (upto - F.pmod(upto, F.lit(UNIT)) - before + F.pmod(before, F.lit(UNIT))) / UNIT
     copies = F.least(F.lit(limit), F.floor("rate") + one_more).cast("long")
     return (
         numbered.join(plan, ["key", "size", "part"])

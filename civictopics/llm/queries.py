@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe, exact_dedup, mixing, simhash
+from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash
 from civictopics.llm.common import tokenizer_path
 
 
@@ -12,6 +12,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every text, learned from the labelled documents that are not held out."""
+    docs = documents(spark, sf)
+    found = langid.identify(docs, langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """How often the mix of sources takes each document."""
     return mixing.mix(documents(spark, sf), keep=["doc_id", "source"]).select(
@@ -34,6 +41,12 @@ def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op8_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of every text, of its edited text, and their likeness."""
+    return digest.fingerprints(documents(spark, sf))
+
+
 QUERIES = {
-    query.__name__: query for query in (op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe)
+    query.__name__: query
+    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest)
 }
