@@ -7,4 +7,12 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM norm WINDOW same AS (PARTITION BY norm)""",
+    "op9_warc": """WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+best AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+         max(page_id) OVER (PARTITION BY payload) AS top FROM sized)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM best""",
 }

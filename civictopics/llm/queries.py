@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash
+from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash, warc
 from civictopics.llm.common import tokenizer_path
 
 
@@ -46,7 +46,12 @@ def op8_digest(spark: SparkSession, sf: str) -> DataFrame:
     return digest.fingerprints(documents(spark, sf))
 
 
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archived_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest)
+    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest, op9_warc)
 }
