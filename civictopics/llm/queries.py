@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash, warc
+from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash, tokenfile, warc
 from civictopics.llm.common import tokenizer_path
 
 
@@ -51,7 +51,12 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents written to coded files in order and read back."""
+    return tokenfile.token_files(documents(spark, sf), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest, op9_warc)
+    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest, op9_warc, op10_token_ids)
 }
