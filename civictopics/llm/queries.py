@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe, digest, exact_dedup, langid, mixing, simhash, tokenfile, warc
+from civictopics.llm import bpe, digest, exact_dedup, langid, linededup, mixing, rollup, simhash, tokenfile, warc
 from civictopics.llm.common import tokenizer_path
 
 
@@ -31,11 +31,21 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf))
 
 
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals by source, language and tokenizer after inserts, deletes and revised counts."""
+    return rollup.document_totals(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), "byte_bpe_50k")
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicate_groups(documents(spark, sf))
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document that are similar to an earlier one."""
+    return linededup.line_report(documents(spark, sf))
+
+
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded and decoded with the byte-level file."""
     return bpe.round_trip(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
@@ -58,5 +68,5 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_langid, op2_mixing, op3_exact_dedup, op5_simhash, op7_bpe, op8_digest, op9_warc, op10_token_ids)
+    for query in (op1_langid, op2_mixing, op3_exact_dedup, op4_token_counts, op5_simhash, op6_line_dedup, op7_bpe, op8_digest, op9_warc, op10_token_ids)
 }
