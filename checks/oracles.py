@@ -329,7 +329,8 @@ names AS (
 tax AS (
   SELECT p.n1_pos, p.n1, c.pair - 1 AS n2_pos, c.name AS n2 FROM (
     SELECT topic, topic || ' ' || name AS n1, row_number() OVER (ORDER BY topic) - 1 AS n1_pos FROM names WHERE pair = 0) p
-  LEFT JOIN (SELECT * FROM names WHERE pair > 0 AND topic <> 'fr') c USING (topic))"""
+  LEFT JOIN (SELECT * FROM names WHERE pair > 0) c USING (topic)
+  UNION ALL SELECT 1000, 'the of', NULL, NULL)"""
 
 
 def prompt() -> str:
@@ -351,10 +352,14 @@ def per_text(tokens: str) -> str:
 
 def lower_contains() -> str:
     options = "[" + ", ".join(text(n1) for n1 in subjects()) + "]"
-    return f"""SELECT conv_id, turn, response,
+    return f"""WITH listed AS (SELECT conv_id, turn, {counted('text')} AS words FROM conversations),
+said AS (
+  SELECT conv_id, turn, unnest(range(len(words))) AS place, unnest(words) AS response FROM listed WHERE len(words) > 0
+  UNION ALL SELECT conv_id, turn, NULL, NULL FROM listed WHERE coalesce(len(words), 0) = 0)
+SELECT conv_id, turn, place, response,
   CASE WHEN list_contains({options}, coalesce(response, '')) THEN response
        ELSE list_filter({options}, lambda o: contains(lower(o), lower(coalesce(response, ''))))[1] END AS label
-FROM (SELECT conv_id, turn, {counted('text')}[1] AS response FROM conversations)"""
+FROM said"""
 
 
 def merged_topics(target: int) -> str:
@@ -398,7 +403,9 @@ def grid_runs() -> str:
     return f"""{TOKENS},
 {GIVEN},
 {WORDS_OF},
-configs(config_id, model, nr_topics) AS (VALUES {configs}),
+configs AS (
+  SELECT CAST(config_id AS BIGINT) AS config_id, model, nr_topics
+  FROM (VALUES {configs}) AS c(config_id, model, nr_topics)),
 grid AS (SELECT *, unnest(range(3)) AS iteration FROM configs),
 groups AS (SELECT lang, source, word, count(*) AS cnt FROM words_of JOIN given USING (row_id) GROUP BY 1, 2, 3),
 assigned AS (
@@ -660,6 +667,14 @@ item_raw AS (
   SELECT config_id, model, avg(num_topics_found) AS num_topics_found, avg(nc) AS nc, avg(nd) AS nd,
          avg(wc) AS wc, avg(wd) AS wd, avg(ws) AS ws, count(nc) AS valid_iters FROM runs GROUP BY 1, 2)""",
     ),
+    "highest_probability": """SELECT vec_id AS row_id, round(CAST(list_max(embedding) AS DOUBLE), 6) AS probability
+FROM embeddings""",
+    "append_runs": """SELECT lang, NULL AS source, count(*) AS num_topics_found, NULL AS nc FROM documents GROUP BY lang
+UNION ALL
+SELECT NULL, CAST(substr(source, 4) AS BIGINT), count(*), round(avg(n_chars), 6) FROM documents GROUP BY source""",
+    "failed_responses": """SELECT conv_id, turn,
+  CASE WHEN strlen(text) >= 60 THEN substr(text, 1, 1) END AS response,
+  CASE WHEN strlen(text) < 60 THEN concat(strlen(text), ' bytes are too few') END AS error FROM conversations""",
     "csv_round_trip": "SELECT doc_id AS row_id, text AS proposal_text FROM documents",
     "decimal_comma": """SELECT lang, CAST(CAST(substr(source, 4) AS BIGINT) AS VARCHAR) AS source,
   replace(CAST(round(avg(n_chars), 2) AS VARCHAR), '.', ',') AS mean_chars FROM documents GROUP BY 1, 2""",

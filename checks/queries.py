@@ -38,10 +38,7 @@ GRID_ITERATIONS = 3
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A test table.  A file that comes as fewer splits than there are cores is spread first."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +257,10 @@ def coverage(spark, sf):
 
 
 def _agreement(spark, sf):
-    return rounded(ag.agreement(ag.contingency(gold_rows(spark, sf), "lang")), 9)
+    """``lang`` against the source; no other label is needed, so none is joined."""
+    topic = F.when(F.col("n_chars") < SHORT, -1).otherwise(F.col("source")).cast("long")
+    rows = proposals(spark, sf).select("row_id", "lang", topic.alias("topic"))
+    return rounded(ag.agreement(ag.contingency(rows, "lang")), 9)
 
 
 def ari(spark, sf):
@@ -379,13 +379,13 @@ def prompt_build(spark, sf):
 
 
 def validate_response(spark, sf):
-    """The first word of each conversation turn is taken for the response of a model."""
+    """Each word of each conversation turn is taken for the response of a model."""
     options = F.array(*[F.lit(n1) for n1 in ta.subjects()])
-    response = F.get(tx.model_tokens(F.col("text")), F.lit(0))
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", response.alias("response")
-    ).select("conv_id", "turn", "response",
-             la.validate_response(F.coalesce("response", F.lit("")), options).alias("label"))
+    words = F.posexplode_outer(tx.model_tokens(F.col("text"))).alias("place", "response")
+    return table(spark, sf, "conversations").select("conv_id", "turn", words).select(
+        "conv_id", "turn", F.col("place").cast("long").alias("place"), "response",
+        la.validate_response(F.coalesce("response", F.lit("")), options).alias("label"),
+    )
 
 
 def classify_two_level(spark, sf):
@@ -406,9 +406,9 @@ def word_taxonomy(spark, sf):
     children = pairs.filter("pair > 0").select(
         "topic", (F.col("pair") - 1).alias("n2_pos"), F.col("name").alias("n2")
     )
-    # The last language has no second level.
-    named = children.filter("topic <> 'fr'")
-    return parents.join(named, "topic", "left").select("n1_pos", "n1", "n2_pos", "n2")
+    # One more subject has no second level.
+    alone = spark.createDataFrame([(1000, "the of", None, None)], "n1_pos int, n1 string, n2_pos int, n2 string")
+    return parents.join(children, "topic", "left").select("n1_pos", "n1", "n2_pos", "n2").unionByName(alone)
 
 
 def classify_word_taxonomy(spark, sf):
@@ -548,6 +548,33 @@ def run_grid(spark, sf):
     return rounded(gr.leaderboard(gr.summarise(runs, config), ["config_id"]))
 
 
+def highest_probability(spark, sf):
+    """The numbers of a vector stand for the probabilities of a row."""
+    found = ev.highest_probability(embeddings(spark, sf), "embedding")
+    return rounded(found.select("row_id", "probability"))
+
+
+def append_runs(spark, sf):
+    """Two result tables with different columns, one below the other."""
+    rows = proposals(spark, sf)
+    first = rows.groupBy("lang").agg(F.count("*").alias("num_topics_found"))
+    second = rows.groupBy("source").agg(F.count("*").alias("num_topics_found"), F.avg("n_chars").alias("nc"))
+    return rounded(gr.append_runs(first, second).select("lang", "source", "num_topics_found", "nc"))
+
+
+def _first_letter(prompt: str) -> str:
+    size = len(prompt.encode())
+    if size < 60:
+        raise ValueError(f"{size} bytes are too few")
+    return prompt[0]
+
+
+def failed_responses(spark, sf):
+    """A model that fails on short turns: the response is missing and the reason is kept."""
+    asked = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return la.model_responses(_first_letter)(asked).select("conv_id", "turn", "response", "error")
+
+
 def csv_round_trip(spark, sf):
     path = new_path(spark, "proposals")
     ps.write_csv(proposals(spark, sf).select("row_id", "proposal_text"), path, bom=True)
@@ -582,6 +609,6 @@ QUERIES = {
         classify_word_taxonomy, label_distribution, attach_labels,
         fit_topics, fit_topic_info, fit_guided, evaluate_external, assign_benchmark,
         align_predictions, kept_rows, grid_scores, grid_leaderboard, run_grid,
-        csv_round_trip, decimal_comma,
+        highest_probability, append_runs, failed_responses, csv_round_trip, decimal_comma,
     )
 }

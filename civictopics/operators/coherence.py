@@ -8,18 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civictopics.operators.vocabulary import topics_with_words
-from civictopics.storage import cut, rows_within
+from civictopics.storage import cut
 
 # Smoothing inside the logarithms, and the weights of the two scores.
 EPSILON = 1e-12
 COHERENCE_SHARE = 0.8
 DIVERSITY_SHARE = 0.2
 
-# Up to this many distinct topic words travel inside the plan as a hash set; beyond it the
-# occurrences are found by a join.
-WORDS_IN_PLAN = 4096
-
-
 def topic_diversity(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., nd)``: distinct words over all words of the topics, 0 without topics."""
     per_word = words.groupBy(*by, "word").agg(F.count("*").alias("uses"))
@@ -28,22 +23,16 @@ def topic_diversity(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _marked_tokens(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """``(marks)``: the tokens of each text, null where they are no topic word."""
-    known = rows_within(words, WORDS_IN_PLAN)
-    if known is not None:
-        listed = [row["word"] for row in known]
-        marks = F.transform("tokens", lambda word: F.when(word.isin(listed), word))
-        return docs.select(marks.alias("marks"))
-    placed = (
-        docs.select("row_id", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "word"))
-        .join(words, "word")
-        .groupBy("row_id", "length")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("at"))
-    )
-    positions = F.sequence(F.lit(0), F.col("length") - 1)
-    return placed.select(
-        F.transform(positions, lambda pos: F.try_element_at("at", pos)).alias("marks")
-    )
+    """``(marks)``: the tokens of each text, null where they are no topic word.
+
+    Each topic word is looked up once per text that has it, not once per occurrence: the join runs
+    over the distinct words of a text.  ``words`` has one row per word, so Spark broadcasts it
+    when it is small and can split the rows of a frequent word when it is not.
+    """
+    distinct = docs.select("row_id", F.explode(F.array_distinct("tokens")).alias("word"))
+    known = distinct.join(words, "word").groupBy("row_id").agg(F.collect_list("word").alias("known"))
+    marks = F.transform("tokens", lambda word: F.when(F.array_contains("known", word), word))
+    return docs.join(known, "row_id").select(marks.alias("marks"))
 
 
 def _window_words(marks: Column, start: Column, window: int) -> Column:

@@ -60,19 +60,17 @@ def assign_nearest(
 
     ``probability`` is the cosine clipped to [0, 1]; below ``min_sim`` the topic is -1.  Ties go to
     the smallest topic.  Targets go out in blocks of a fixed size, and the best of all blocks
-    wins, so the result is exact for any number of them.  Rows are not shuffled.
+    wins, so the result is exact for any number of them.  Targets are the topics of a model; they
+    pass through the driver, so their number must stay far below that of texts.  Rows are not
+    shuffled.
     """
-    best = None
-    for ids, vectors in _blocks(targets, block):
-        found = vx.nearest_of(df.sparkSession, ids, vectors)(F.col(vector_col))
-        best = found if best is None else F.when(
-            found["sim"] > best["sim"], found
-        ).otherwise(best)
     rest = [c for c in df.columns if c not in ("topic", "probability")]
-    if best is None:
+    blocks = list(_blocks(targets, block))
+    if not blocks:
         return df.select(
             *rest, F.lit(-1).cast("long").alias("topic"), F.lit(None).cast("double").alias("probability")
         )
+    best = vx.nearest_of(df.sparkSession, blocks)(F.col(vector_col))
     scored = df.select(*rest, best.alias("_best"))
     topic = F.col("_best.topic")
     if min_sim is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +25,20 @@ def read_proposals(
 ) -> DataFrame:
     """Read a UTF-8 CSV with a header and quoted texts that may span lines.
 
-    A byte order mark is skipped.  Columns are matched by position, as ``schema`` lists them; with
-    ``schema=None`` the header names them and all are text.  A file with quoted line breaks cannot
-    be split, so large inputs should come as many files, or better as Parquet.
+    A byte order mark is skipped.  The header names the columns: those of ``schema`` are taken by
+    name, in any order, and cast; one that the header lacks is an error.  ``schema=None`` keeps all
+    columns as text.  A file with quoted line breaks cannot be split, so large inputs should come
+    as many files, or better as Parquet.
     """
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.csv(
-        path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8",
-        enforceSchema=True,
+    found = spark.read.csv(
+        path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8"
     )
+    if schema is None:
+        return found
+    missing = [name for name in schema.names if name not in found.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
@@ -65,9 +70,25 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "error")
 
 
 def decimal_text(df: DataFrame, decimal: str = ",") -> DataFrame:
-    """Doubles as text with the given decimal sign; other columns are unchanged."""
+    """Doubles as plain digits with the given decimal sign; other columns are unchanged.
+
+    Numbers keep their shortest form, without an exponent.  NaN and infinities keep their names.
+    """
+
+    def plain(name: str) -> Column:
+        value = F.col(name)
+        # The shortest form with its exponent written out; 38 digits hold it unless it is beyond
+        # 10^28 or below 10^-20, where the exponent stays.
+        short = value.cast("string")
+        size = F.abs(value)
+        wide = F.when(size >= 1, short.try_cast("decimal(38,10)").cast("string")).when(
+            size >= 1e-20, short.try_cast("decimal(38,37)").cast("string")
+        )
+        trimmed = F.regexp_replace(F.regexp_replace(wide, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+        return F.regexp_replace(F.when(short.contains("E"), F.coalesce(trimmed, short)).otherwise(short), r"\.", decimal)
+
     texts = {
-        field.name: F.regexp_replace(F.col(field.name).cast("string"), r"\.", decimal)
+        field.name: plain(field.name)
         for field in df.schema.fields
         if isinstance(field.dataType, (T.DoubleType, T.FloatType))
     }

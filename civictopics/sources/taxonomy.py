@@ -8,36 +8,153 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The government vocabulary, one first-level subject per line, followed by its
-# second-level subjects in official order.
-SUBJECTS = """
-Abastecimento:
-Administração: Cadastro; Compras governamentais; Fiscalização do Estado; Normas e Fiscalização; Operações de dívida pública; Orçamento; Patrimônio; Recursos humanos; Serviços Públicos; Outros em Administração
-Agropecuária, Pesca e Extrativismo: Defesa e vigilância sanitária; Produção agropecuária; Outros em Agropecuária
-Comércio e Serviços: Comercio externo; Defesa do Consumidor; Turismo; Outros em Comércio e serviços
-Comunicações: Comunicações Postais; Telecomunicações; Outros em Comunicações
-Cultura: Difusão Cultural; Patrimônio Cultural; Outros em Cultura
-Defesa Nacional: Defesa Civil; Defesa Militar; Outros em Defesa Nacional
-Economia e Finanças: Defesa da concorrência; Politica econômica; Sistema Financeiro; Outros em Economia e Finanças
-Educação: Educação básica; Educação profissionalizante; Educação superior; Outros em Educação
-Energia: Combustíveis; Energia elétrica; Outros em Energia
-Esporte e Lazer: Esporte comunitário; Esporte profissional; Lazer; Outros em Esporte e Lazer
-Habitação: Habitação Rural; Habitação Urbana; Outros em Habitação
-Indústria: Mineração; Produção Industrial; Propriedade Industrial; Outros em Industria
-Infraestrutura e Fomento:
-Meio ambiente: Água; Biodiversidade; Clima; Preservação e Conservação Ambiental; Outros em Meio Ambiente
-Pesquisa e Desenvolvimento: Difusão; Outros em Pesquisa e Desenvolvimento
-Planejamento e Gestão:
-Previdência Social: Combate a pobreza; Previdência Básica; Previdência Complementar; Benefícios Sociais; Outros em Previdência
-Proteção Social: Assistência à Criança e ao Adolescente; Assistência ao Idoso; Assistência ao Portador de Deficiência; Cidadania; Combate a desigualdade; Outros em Proteção Social
-Relações Internacionais: Cooperação Internacional; Relações Diplomáticas; Outros em Relações Internacionais
-Saneamento: Saneamento Básico Rural; Saneamento Básico Urbano; Outros em Saneamento
-Saúde: Assistência Hospitalar e Ambulatorial; Atendimento básico; Combate a epidemias; Defesa e vigilância sanitária; Medicamentos e aparelhos; Outros em Saúde
-Segurança e Ordem Pública: Defesa Civil; Policiamento; Outros em Segurança e Ordem Pública
-Trabalho: Empregabilidade; Fomento ao Trabalho; Proteção e Benefícios ao Trabalhador; Relações de Trabalho; Outros em Trabalho
-Transportes: Transporte Aéreo; Transporte Ferroviário; Transporte Hidroviário; Transporte Rodoviário; Outros em Transporte
-Urbanismo: Infraestrutura Urbana; Serviços Urbanos; Outros em Urbanismo
-"""
+# The government vocabulary, each first-level subject with its second-level subjects,
+# both in official order.
+SUBJECTS = {
+    "Abastecimento": [],
+    "Administração": [
+        "Cadastro",
+        "Compras governamentais",
+        "Fiscalização do Estado",
+        "Normas e Fiscalização",
+        "Operações de dívida pública",
+        "Orçamento",
+        "Patrimônio",
+        "Recursos humanos",
+        "Serviços Públicos",
+        "Outros em Administração",
+    ],
+    "Agropecuária, Pesca e Extrativismo": [
+        "Defesa e vigilância sanitária",
+        "Produção agropecuária",
+        "Outros em Agropecuária",
+    ],
+    "Comércio e Serviços": [
+        "Comercio externo",
+        "Defesa do Consumidor",
+        "Turismo",
+        "Outros em Comércio e serviços",
+    ],
+    "Comunicações": [
+        "Comunicações Postais",
+        "Telecomunicações",
+        "Outros em Comunicações",
+    ],
+    "Cultura": [
+        "Difusão Cultural",
+        "Patrimônio Cultural",
+        "Outros em Cultura",
+    ],
+    "Defesa Nacional": [
+        "Defesa Civil",
+        "Defesa Militar",
+        "Outros em Defesa Nacional",
+    ],
+    "Economia e Finanças": [
+        "Defesa da concorrência",
+        "Politica econômica",
+        "Sistema Financeiro",
+        "Outros em Economia e Finanças",
+    ],
+    "Educação": [
+        "Educação básica",
+        "Educação profissionalizante",
+        "Educação superior",
+        "Outros em Educação",
+    ],
+    "Energia": [
+        "Combustíveis",
+        "Energia elétrica",
+        "Outros em Energia",
+    ],
+    "Esporte e Lazer": [
+        "Esporte comunitário",
+        "Esporte profissional",
+        "Lazer",
+        "Outros em Esporte e Lazer",
+    ],
+    "Habitação": [
+        "Habitação Rural",
+        "Habitação Urbana",
+        "Outros em Habitação",
+    ],
+    "Indústria": [
+        "Mineração",
+        "Produção Industrial",
+        "Propriedade Industrial",
+        "Outros em Industria",
+    ],
+    "Infraestrutura e Fomento": [],
+    "Meio ambiente": [
+        "Água",
+        "Biodiversidade",
+        "Clima",
+        "Preservação e Conservação Ambiental",
+        "Outros em Meio Ambiente",
+    ],
+    "Pesquisa e Desenvolvimento": [
+        "Difusão",
+        "Outros em Pesquisa e Desenvolvimento",
+    ],
+    "Planejamento e Gestão": [],
+    "Previdência Social": [
+        "Combate a pobreza",
+        "Previdência Básica",
+        "Previdência Complementar",
+        "Benefícios Sociais",
+        "Outros em Previdência",
+    ],
+    "Proteção Social": [
+        "Assistência à Criança e ao Adolescente",
+        "Assistência ao Idoso",
+        "Assistência ao Portador de Deficiência",
+        "Cidadania",
+        "Combate a desigualdade",
+        "Outros em Proteção Social",
+    ],
+    "Relações Internacionais": [
+        "Cooperação Internacional",
+        "Relações Diplomáticas",
+        "Outros em Relações Internacionais",
+    ],
+    "Saneamento": [
+        "Saneamento Básico Rural",
+        "Saneamento Básico Urbano",
+        "Outros em Saneamento",
+    ],
+    "Saúde": [
+        "Assistência Hospitalar e Ambulatorial",
+        "Atendimento básico",
+        "Combate a epidemias",
+        "Defesa e vigilância sanitária",
+        "Medicamentos e aparelhos",
+        "Outros em Saúde",
+    ],
+    "Segurança e Ordem Pública": [
+        "Defesa Civil",
+        "Policiamento",
+        "Outros em Segurança e Ordem Pública",
+    ],
+    "Trabalho": [
+        "Empregabilidade",
+        "Fomento ao Trabalho",
+        "Proteção e Benefícios ao Trabalhador",
+        "Relações de Trabalho",
+        "Outros em Trabalho",
+    ],
+    "Transportes": [
+        "Transporte Aéreo",
+        "Transporte Ferroviário",
+        "Transporte Hidroviário",
+        "Transporte Rodoviário",
+        "Outros em Transporte",
+    ],
+    "Urbanismo": [
+        "Infraestrutura Urbana",
+        "Serviços Urbanos",
+        "Outros em Urbanismo",
+    ],
+}
 
 SCHEMA = T.StructType([
     T.StructField("n1_pos", T.IntegerType(), False),
@@ -49,8 +166,7 @@ SCHEMA = T.StructType([
 
 def subjects() -> dict[str, list[str]]:
     """First-level subject -> second-level subjects, both in official order."""
-    lines = (line.split(":", 1) for line in SUBJECTS.strip().splitlines())
-    return {n1: [n2.strip() for n2 in rest.split(";") if n2.strip()] for n1, rest in lines}
+    return {n1: list(children) for n1, children in SUBJECTS.items()}
 
 
 def taxonomy(

@@ -4,29 +4,57 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: tempfile.TemporaryDirectory | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set
+    on the context.
 
-    Only a session that names none (unit tests on one machine) gets a temporary folder, which is
-    removed when Python ends.
+    On a cluster a session without one is an error, because each executor would write to its own
+    disk and a later read would miss those files.  Only Spark on one machine (``local[...]``) then
+    gets a temporary folder, which is removed when Python ends.
     """
     global _own_folder
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.TemporaryDirectory(prefix="civictopics-")
     return _own_folder.name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/civictopics/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/civictopics/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, all tables that were written inside it.
+
+    Results that are still to be used must be written elsewhere, or collected, before it ends.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +66,3 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def rows_within(df: DataFrame, bound: int) -> list[Row] | None:
-    """All rows of ``df`` when there are at most ``bound`` of them, otherwise ``None``.
-
-    Never moves more than ``bound + 1`` rows to the driver.
-    """
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
