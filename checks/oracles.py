@@ -237,23 +237,23 @@ links AS (
   SELECT a.cell, b.cell AS other, round(({inner}) / ({norm('a')} * {norm('b')}), 9) AS sim, b.cnt
   FROM cells a JOIN cells b ON a.cell <> b.cell AND {adjacent}
   WHERE round(({inner}) / ({norm('a')} * {norm('b')}), 9) >= {sim}),
-dense AS (
-  SELECT cell FROM cells LEFT JOIN (SELECT cell, sum(cnt) AS around FROM links GROUP BY cell) USING (cell)
-  WHERE cnt + coalesce(around, 0) >= {min_pts}),
-reach AS (
-  SELECT cell, cell AS label FROM dense
-  UNION
-  SELECT l.other, r.label FROM reach r JOIN links l USING (cell) JOIN dense d ON d.cell = l.other),
-core AS (SELECT cell, min(label) AS label FROM reach GROUP BY cell),
-border AS (
-  SELECT cell, label FROM (
-    SELECT l.cell, c.label, row_number() OVER (PARTITION BY l.cell ORDER BY l.sim DESC, c.label) AS place
-    FROM links l JOIN core c ON c.cell = l.other WHERE l.cell NOT IN (SELECT cell FROM dense))
+dens AS (
+  SELECT cell, cnt, first_row, cnt + coalesce(around, 0) AS density
+  FROM cells LEFT JOIN (SELECT cell, sum(cnt) AS around FROM links GROUP BY cell) USING (cell)),
+up AS (
+  SELECT cell, other FROM (
+    SELECT l.cell, l.other, row_number() OVER (PARTITION BY l.cell ORDER BY l.sim DESC, l.other) AS place
+    FROM links l JOIN dens a ON a.cell = l.cell JOIN dens b ON b.cell = l.other
+    WHERE b.density > a.density OR (b.density = a.density AND b.cell < a.cell))
   WHERE place = 1),
-grouped AS (SELECT * FROM core UNION ALL SELECT * FROM border),
+climb AS (
+  SELECT cell, cell AS here FROM dens
+  UNION ALL
+  SELECT c.cell, u.other FROM climb c JOIN up u ON u.cell = c.here),
+grouped AS (SELECT cell, here AS label FROM climb WHERE here NOT IN (SELECT cell FROM up)),
 big AS (
   SELECT label, row_number() OVER (ORDER BY sum(cnt) DESC, min(first_row)) - 1 AS topic
-  FROM grouped JOIN cells USING (cell) GROUP BY label HAVING sum(cnt) >= {min_size}),
+  FROM grouped JOIN dens USING (cell) GROUP BY label HAVING sum(cnt) >= {min_size} AND max(density) >= {min_pts}),
 final AS (
   SELECT row_id, coalesce(topic, -1) AS topic FROM every_row
   LEFT JOIN keyed USING (row_id) LEFT JOIN grouped USING (cell) LEFT JOIN big USING (label))"""
@@ -436,7 +436,7 @@ def rounded(names: str, digits: int = 6) -> str:
 
 FITTED = (
     TOKENS, embedded(64), "every_row AS (SELECT row_id FROM tok)", projection(64, 4),
-    density(4, 0.25, 0.97, 10, 10),
+    density(4, 0.25, 0.9, 10, 10),
 )
 
 

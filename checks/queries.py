@@ -428,7 +428,7 @@ def attach_labels(spark, sf):
 
 
 # A fixed projection instead of principal components, so that SQL can follow.
-PROJECTED = {"dim": 64, "reducer": "projection", "k": 4, "width": 0.25, "sim": 0.97}
+PROJECTED = {"dim": 64, "reducer": "projection", "k": 4, "width": 0.25, "sim": 0.9}
 
 
 def fit_topics(spark, sf):

@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from civictopics.functions.vectors import sum_of
 from civictopics.storage import cut
 
-# Largest number of cells a grid may have; beyond it choose wider cells or fewer dimensions.
-CELL_LIMIT = 1 << 21
-
 
 class Grid:
     """Cells of the given width over unit vectors with ``k`` coordinates."""
@@ -29,11 +26,8 @@ class Grid:
         self.half = math.ceil(1 / width)
         # One spare cell on either side, so that a neighbour's key never wraps around.
         self.base = 2 * self.half + 3
-        if self.base**k > CELL_LIMIT:
-            raise ValueError(
-                f"{k} coordinates in cells of width {width} give {self.base ** k} cells, "
-                f"more than {CELL_LIMIT}"
-            )
+        if self.base**k >= 1 << 63:
+            raise ValueError(f"keys of {k} coordinates in cells of width {width} do not fit a long")
 
     def key(self, unit: Sequence[Column]) -> Column:
         steps = [F.floor(F.round(u, 9) / self.width) + (self.half + 1) for u in unit]
@@ -155,6 +149,22 @@ def connected_components(
             return labels
 
 
+def follow_pointers(pointers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., node, label)``: where the chain of ``pointers (by..., node, label)`` ends.
+
+    An end points to itself.  Each round takes the label of the label, so chains halve.
+    """
+    by = list(by)
+    keys = [*by, "node"]
+    labels = cut(pointers.select(*keys, "label"), "pointers")
+    while True:
+        jump = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("new_label"))
+        moved = cut(labels.join(jump, [*by, "label"]).select(*keys, "label", "new_label"), "pointers")
+        labels = moved.select(*keys, F.col("new_label").alias("label"))
+        if moved.filter("new_label <> label").isEmpty():
+            return labels
+
+
 def cell_topics(
     cells: DataFrame,
     links: DataFrame,
@@ -165,52 +175,47 @@ def cell_topics(
 ) -> DataFrame:
     """``(by..., cell, topic)`` for the cells that belong to a topic.
 
-    A cell is dense when it and its linked cells hold ``min_pts`` texts; linked dense cells form a
-    group, and any other cell joins its most similar dense neighbour.  Groups below
-    ``min_topic_size`` texts are outliers.  Topics are numbered by size, the largest is 0, equal
-    sizes by their smallest ``row_id``.  ``by_limits (by..., min_pts, min_topic_size)`` sets the
-    limits per run.
+    The density of a cell is the number of texts in it and its linked cells.  A cell points to its
+    most similar linked cell that is denser (ties to the smaller key), and those that point up to
+    the same peak are a group.  Only densities are compared, so groups do not run together, or
+    change, when all counts grow alike.  Groups whose peak is below ``min_pts``, or that hold fewer
+    than ``min_topic_size`` texts, are outliers.  Topics are numbered by size, the largest is 0,
+    equal sizes by their smallest ``row_id``.  ``by_limits (by..., min_pts, min_topic_size)`` sets
+    the limits per run.
     """
     by = list(by)
     around = links.groupBy(*by, "cell").agg(F.sum("cnt").alias("around"))
-    sized = cells.select(*by, "cell", "cnt", "first_row").join(around, [*by, "cell"], "left")
-    if by_limits is None:
-        sized = sized.withColumns(
-            {"min_pts": F.lit(min_pts), "min_topic_size": F.lit(min_topic_size)}
-        )
-    else:
-        sized = sized.join(by_limits.select(*by, "min_pts", "min_topic_size"), by)
     sized = cut(
-        sized.withColumn(
-            "dense", F.col("cnt") + F.coalesce("around", F.lit(0)) >= F.col("min_pts")
+        cells.select(*by, "cell", "cnt", "first_row").join(around, [*by, "cell"], "left").select(
+            *by, "cell", "cnt", "first_row", (F.col("cnt") + F.coalesce("around", F.lit(0))).alias("density")
         ),
         "cells",
     )
-    dense = sized.filter("dense").select(*by, F.col("cell").alias("node"))
-    dense_links = links.join(dense.withColumnRenamed("node", "other"), [*by, "other"], "left_semi")
-    inner = dense_links.join(dense.withColumnRenamed("node", "cell"), [*by, "cell"], "left_semi")
-    labels = connected_components(
-        dense, cut(inner.select(*by, F.col("cell").alias("node"), "other"), "links"), by
+    here = sized.select(*by, "cell", "density")
+    there = sized.select(*by, F.col("cell").alias("other"), F.col("density").alias("higher"))
+    denser = (F.col("higher") > F.col("density")) | (
+        (F.col("higher") == F.col("density")) & (F.col("other") < F.col("cell"))
     )
-    members = labels.select(*by, F.col("node").alias("cell"), "label")
-    edge = (
-        dense_links.join(sized.filter("not dense").select(*by, "cell"), [*by, "cell"], "left_semi")
-        .join(labels.withColumnRenamed("node", "other"), [*by, "other"])
+    up = (
+        links.select(*by, "cell", "other", "sim").join(here, [*by, "cell"]).join(there, [*by, "other"])
+        .filter(denser)
         .groupBy(*by, "cell")
-        .agg(F.max(F.struct("sim", (-F.col("label")).alias("minus"))).alias("best"))
+        .agg(F.max(F.struct("sim", (-F.col("other")).alias("minus"))).alias("best"))
         .select(*by, "cell", (-F.col("best.minus")).alias("label"))
     )
-    grouped = cut(
-        members.unionByName(edge).join(sized, [*by, "cell"]).select(
-            *by, "cell", "label", "cnt", "first_row", "min_topic_size"
-        ),
-        "grouped",
+    pointers = here.join(up, [*by, "cell"], "left").select(
+        *by, F.col("cell").alias("node"), F.coalesce("label", "cell").alias("label")
     )
-    groups = (
-        grouped.groupBy(*by, "label", "min_topic_size")
-        .agg(F.sum("cnt").alias("size"), F.min("first_row").alias("first_row"))
-        .filter(F.col("size") >= F.col("min_topic_size"))
+    labels = follow_pointers(pointers, by).withColumnRenamed("node", "cell")
+    grouped = cut(labels.join(sized, [*by, "cell"]), "grouped")
+    groups = grouped.groupBy(*by, "label").agg(
+        F.sum("cnt").alias("size"), F.min("first_row").alias("first_row"), F.max("density").alias("peak")
     )
+    if by_limits is None:
+        groups = groups.withColumns({"min_pts": F.lit(min_pts), "min_topic_size": F.lit(min_topic_size)})
+    else:
+        groups = groups.join(by_limits.select(*by, "min_pts", "min_topic_size"), by)
+    groups = groups.filter((F.col("size") >= F.col("min_topic_size")) & (F.col("peak") >= F.col("min_pts")))
     order = Window.partitionBy(*by).orderBy(F.desc("size"), "first_row")
     numbered = groups.select(
         *by, "label", (F.row_number().over(order) - 1).cast("long").alias("topic")

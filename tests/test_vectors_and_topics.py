@@ -72,7 +72,7 @@ def test_projection(spark):
 
 
 def brute_density(x, k, width, sim, min_pts, min_size):
-    """Cells compared pairwise, components by flooding."""
+    """Cells compared pairwise, then every cell climbs to its peak step by step."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     steps = np.floor(np.round(unit, 9) / width).astype(int)
     cells = {}
@@ -87,25 +87,15 @@ def brute_density(x, k, width, sim, min_pts, min_size):
         }
         for a in cells
     }
-    dense = {c for c in cells if len(cells[c]) + sum(len(cells[b]) for b in near[c]) >= min_pts}
-    group, seen = {}, set()
-    for start in dense:
-        if start in seen:
-            continue
-        stack, members = [start], set()
-        while stack:
-            c = stack.pop()
-            if c not in members:
-                members.add(c)
-                stack += [b for b in near[c] if b in dense]
-        seen |= members
-        group.update({c: start for c in members})
+    key = {c: sum((s + 1 + -(-1 // width)) * (2 * -(-1 // width) + 3) ** i for i, s in enumerate(c)) for c in cells}
+    density = {c: len(cells[c]) + sum(len(cells[b]) for b in near[c]) for c in cells}
     topics = {}
-    for c in cells:
-        best = max(((s, b) for b, s in near[c].items() if b in dense), default=None)
-        owner = group[c] if c in dense else (group[best[1]] if best else None)
-        if owner is not None:
-            topics.setdefault(owner, []).extend(cells[c])
+    for start in cells:
+        c = start
+        while higher := [(s, -key[b], b) for b, s in near[c].items() if (density[b], -key[b]) > (density[c], -key[c])]:
+            c = max(higher)[2]
+        if density[c] >= min_pts:
+            topics.setdefault(c, []).extend(cells[start])
     kept = sorted((m for m in topics.values() if len(m) >= min_size), key=lambda m: (-len(m), min(m)))
     out = np.full(len(x), -1)
     for number, members in enumerate(kept):
@@ -143,9 +133,31 @@ def test_zero_vectors_are_outliers(spark):
     assert [r.topic for r in found] == [-1, 0, 0, 0]
 
 
-def test_grid_size_is_limited():
+def test_keys_must_fit():
+    assert de.Grid(7, 0.25).base ** 7 > 1 << 21
     with pytest.raises(ValueError):
-        de.Grid(12, 0.1)
+        de.Grid(20, 0.1)
+
+
+def test_copies_of_all_texts_change_no_group(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(scale=0.2, size=(60, 3)) for c in rng.normal(size=(5, 3))])
+    once = {r.row_id: r.topic for r in de.density_topics(vectors(spark, x, "reduced"), 3, 0.25, min_topic_size=1, min_pts=1).collect()}
+    ten = de.density_topics(vectors(spark, np.tile(x, (10, 1)), "reduced"), 3, 0.25, min_topic_size=10, min_pts=10).collect()
+    assert {(once[r.row_id % len(x)], r.topic) for r in ten} == {(t, t) for t in set(once.values())}
+    assert len(set(once.values())) >= 4
+
+
+@pytest.mark.parametrize("blocks", [1, 64])
+def test_nearest_of_many_blocks(spark, blocks):
+    """The plan does not grow with the blocks, and they give what one block gives."""
+    rng = np.random.default_rng(2)
+    targets = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(128)], "topic long, embedding array<double>")
+    df = vectors(spark, rng.normal(size=(50, 4)), "embedding")
+    found = to.assign_nearest(df, targets, block=128 // blocks)
+    whole = to.assign_nearest(df, targets)
+    assert sorted(map(tuple, found.select("row_id", "topic").collect())) == sorted(map(tuple, whole.select("row_id", "topic").collect()))
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 3000
 
 
 def test_components_of_a_long_chain(spark):
@@ -192,10 +204,9 @@ def test_merging_keeps_the_largest(spark):
         "topic long, word string, weight double",
     )
     merged = dict(to.reduce_topics(assigned, weights, 3).collect())
-    # 1 and 2 share a word and are now the largest, 3 shares none and joins the larger topic.
-    assert [merged[i] for i in (0, 5, 9, 11, 12)] == [0, 1, 1, 0, -1] or [
-        merged[i] for i in (0, 5, 9, 11, 12)
-    ] == [1, 0, 0, 1, -1]
+    # 1 and 2 share a word; 3 shares none and joins the larger topic.  Both then have 6 texts, and
+    # the one with the smaller row id is numbered first.
+    assert [merged[i] for i in (0, 5, 9, 11, 12)] == [0, 1, 1, 0, -1]
     sizes = Counter(merged.values())
     assert sizes[0] >= sizes[1] and set(merged.values()) == {-1, 0, 1}
     assert to.reduce_topics(assigned, weights, None) is assigned

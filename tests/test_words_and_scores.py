@@ -88,10 +88,7 @@ def words_table(spark):
     return spark.createDataFrame(rows, "topic long, rank long, word string, weight double")
 
 
-@pytest.mark.parametrize("in_plan", [4096, 0])
-def test_npmi_against_brute_force(spark, docs, monkeypatch, in_plan):
-    """Once with the words inside the plan, once with the join that has no size limit."""
-    monkeypatch.setattr(co, "WORDS_IN_PLAN", in_plan)
+def test_npmi_against_brute_force(spark, docs):
     got = {r.topic: r.npmi for r in co.topic_coherence(docs, words_table(spark)).collect()}
     expected = brute_npmi([t for _, _, t in DOCS], TOPIC_WORDS)
     assert got.keys() == expected.keys()
