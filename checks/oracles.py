@@ -625,6 +625,19 @@ FROM labelled GROUP BY n1, n2""",
         last='SELECT row_id, lang, n1 AS "VCGE_N1", n2 AS "VCGE_N2" FROM labelled',
     ),
     "fit_topics": with_(*FITTED, last="SELECT * FROM final", recursive=True),
+    "fit_info_projected": with_(
+        *FITTED,
+        """counts AS (
+  SELECT topic, word, count(*) AS cnt FROM (SELECT row_id, unnest(tokens) AS word FROM tok)
+  JOIN final USING (row_id) GROUP BY 1, 2)""",
+        tfidf(), top(),
+        last="""SELECT topic, cnt, concat(topic, '_', name) AS name, representation,
+  CASE WHEN topic = -1 THEN NULL ELSE least(cnt, 3) END AS docs FROM (
+  SELECT topic, count(*) AS cnt FROM final GROUP BY 1) JOIN (
+  SELECT topic, string_agg(word, '_' ORDER BY rank) FILTER (rank <= 4) AS name,
+         string_agg(word, ' ' ORDER BY rank) AS representation FROM top_words GROUP BY topic) USING (topic)""",
+        recursive=True,
+    ),
     "evaluate_external": with_(
         *FITTED, nearest_fitted("vec"),
         "compared AS (SELECT row_id, topic, lang FROM nearest JOIN documents ON doc_id = row_id)",

@@ -442,6 +442,15 @@ def fit_topic_info(spark, sf):
     return info.select("topic", "cnt", "name", F.size("representative_docs").alias("docs"))
 
 
+def fit_info_projected(spark, sf):
+    """The description of a model with a fixed projection, which SQL can follow."""
+    info = mo.fit_topics(prepared(spark, sf), mo.Settings(**PROJECTED)).info
+    return info.select(
+        "topic", "cnt", "name", F.array_join("representation", " ").alias("representation"),
+        F.size("representative_docs").cast("long").alias("docs"),
+    )
+
+
 def fit_guided(spark, sf):
     """Taxonomy seeds strengthen words and pull texts; small topics are merged."""
     tax = ta.taxonomy(spark)
@@ -607,7 +616,7 @@ QUERIES = {
         assign_nearest, seed_guide, reduce_topics,
         taxonomy_usage, seed_groups, prompt_build, validate_response, classify_two_level,
         classify_word_taxonomy, label_distribution, attach_labels,
-        fit_topics, fit_topic_info, fit_guided, evaluate_external, assign_benchmark,
+        fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,
         align_predictions, kept_rows, grid_scores, grid_leaderboard, run_grid,
         highest_probability, append_runs, failed_responses, csv_round_trip, decimal_comma,
     )

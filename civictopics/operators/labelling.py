@@ -59,22 +59,28 @@ def label_tokens(label: Column, words: Sequence[str]) -> Column:
     return F.array_distinct(tx.without_words(tx.model_tokens(label), words))
 
 
+def option_words(options: Column, language: str = "portuguese") -> Column:
+    """The words of each option that count."""
+    words = stop_words(language)
+    return F.transform(options, lambda option: label_tokens(option, words))
+
+
 def overlap_responses(asked: DataFrame, language: str = "portuguese") -> DataFrame:
     """The built-in responder: the option with the largest share of its words in the text.
 
-    Ties go to the first option; without any shared word the response is null.
+    Ties go to the first option; without any shared word the response is null.  ``asked`` may bring
+    the words of its options as ``option_words``, which saves splitting the names for every text.
     """
-    words = stop_words(language)
+    if "option_words" not in asked.columns:
+        asked = asked.withColumn("option_words", option_words(F.col("options"), language))
     # The words of all options first cut the text down to what can match.
-    every = F.array_distinct(
-        F.flatten(F.transform("options", lambda option: label_tokens(option, words)))
-    )
+    every = F.array_distinct(F.flatten("option_words"))
     reduced = asked.withColumn(
         "_found", F.array_intersect(every, tx.model_tokens(F.coalesce("text", F.lit(""))))
     )
 
     def share(option: Column, place: Column) -> Column:
-        own = label_tokens(option, words)
+        own = F.get("option_words", place)
         hit = F.size(F.array_intersect(own, F.col("_found")))
         return F.struct(
             F.round(F.coalesce(F.try_divide(hit, F.size(own)), F.lit(0.0)), 9).alias("share"),
@@ -84,7 +90,7 @@ def overlap_responses(asked: DataFrame, language: str = "portuguese") -> DataFra
 
     best = F.array_max(F.transform("options", share))
     return reduced.select(
-        *asked.columns,
+        *[c for c in asked.columns if c != "option_words"],
         F.when(best["share"] > 0, best["option"]).alias("response"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -130,12 +136,15 @@ def _options_by_parent(tax: DataFrame) -> DataFrame:
         tax.groupBy("n1")
         .agg(F.min("n1_pos").alias("n1_pos"), named.alias("placed"))
         .select("n1_pos", "n1", F.col("placed.n2").alias("children"))
+        .withColumn("child_words", option_words(F.col("children")))
     )
 
 
-def _first_options(parents: DataFrame) -> Column:
+def _first_options(parents: DataFrame) -> DataFrame:
+    """One row ``(options, option_words)``: all first-level names in order."""
     placed = F.sort_array(F.collect_list(F.struct("n1_pos", "n1")))
-    return parents.agg(placed.alias("placed")).select(F.col("placed.n1").alias("options")).scalar()
+    options = parents.agg(placed.alias("placed")).select(F.col("placed.n1").alias("options"))
+    return options.withColumn("option_words", option_words(F.col("options")))
 
 
 def classify(
@@ -158,12 +167,15 @@ def classify(
     the labels back.
     """
     parents = cut(_options_by_parent(tax), "subjects")
+    top = cut(_first_options(parents), "options")
+    # Only the built-in responder asks for the words of the names.
+    split = ["option_words"] if respond is overlap_responses else []
 
     def asked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         prompt = build_prompt(F.col("text"), F.col("options"), prompt_chars)
         return respond(
             rows.select(
-                "row_id", *keep, *columns, "text", "options",
+                "row_id", *keep, *columns, "text", "options", *split,
                 F.when(F.size("options") > 0, prompt).alias("prompt"),
             )
         )
@@ -171,14 +183,18 @@ def classify(
     cleaned = df.select(
         "row_id", *keep,
         tx.clean_text(F.col(text_col), drop_words, clean_chars).alias("text"),
-        _first_options(parents).alias("options"),
+        top.select("options").scalar().alias("options"), top.select("option_words").scalar().alias("option_words"),
     )
     first = asked(cleaned, []).select(
         "row_id", *keep, "text", F.col("response").alias("response_1"), F.col("error").alias("error_1"),
         validate_response(F.col("response"), F.col("options")).alias("n1"),
     )
-    second = first.join(parents.select("n1", F.col("children").alias("options")), "n1", "left")
-    ready = second.withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
+    known = parents.select("n1", F.col("children").alias("options"), F.col("child_words").alias("option_words"))
+    second = first.join(known, "n1", "left")
+    ready = second.withColumns({
+        "options": F.coalesce("options", F.array().cast("array<string>")),
+        "option_words": F.coalesce("option_words", F.array().cast("array<array<string>>")),
+    })
     answered = asked(ready, ["n1", "response_1", "error_1"])
     childless = F.size("options") == 0
     return answered.select(
