@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
 from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
+from civictopics.storage import cut
 
 
 def standardise(
@@ -60,7 +61,9 @@ def lemmatise(df: DataFrame, lexicon: DataFrame, tokens_col: str = "tokens") ->
     again from its own tokens, so a group is never larger than one text.
     """
     others = [c for c in df.columns if c != tokens_col]
-    known = lexicon.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    # Written first, so that Spark sees its size: small ones are broadcast, and for others Spark
+    # can split the rows of a frequent token, as each token has one row here.
+    known = cut(lexicon.groupBy("token").agg(F.min("lemma").alias("lemma")), "lexicon")
     changed = (
         df.select("row_id", F.posexplode(tokens_col).alias("pos", "token"))
         .join(known, "token", "left")
