@@ -6,7 +6,7 @@ document id and place, has a Jaccard similarity of 0.8 or more with it; lines wi
 The join orders the words of a line from rare to frequent.  Two similar lines share a word among
 the first ``n - ceil(0.8 n) + 1`` of either, so only these are posted, and words that occur once
 are left out.  Lines that share a posted word are compared by length, by the place of the word,
-and by a 64-bit parity sketch whose differing bits are at most the words the sets do not share.
+and by a 128-bit parity sketch whose differing bits are at most the words the sets do not share.
 What passes all three is verified on the whole sets.
 
 1. The best earlier candidate of each line and posted word is verified.  Most lines that have a
@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from civictopics.storage import cut
 
 RARITY_BUCKETS = 1 << 22
-PAGE_ROWS = 4096
+# Words with more occurrences are posted in pages of about so many.
+PAGE_ROWS = 1 << 17
 # Lines to verify are marked in so many bits; lines marked by chance are read in vain.
 MARKS = 1 << 27
 # Sets that a task remembers to have posted; when there are more, it may post some again.
-REMEMBERED = 1_000_000
-SLICE = 1 << 22
+REMEMBERED = 200_000
+SLICE = 1 << 20
 LINES = 4096
 HASH_BITS = 46
 
@@ -118,8 +119,11 @@ class Sets:
 def sets(texts: list[str | None], rarity: np.ndarray) -> Iterator[Sets]:
     """Word sets of all lines that have words.  A word is its rarity class, then its hash."""
     for found in words(texts):
-        if not len(found.hashed):
-            continue
+        yield from _sets_of(found, rarity)
+
+
+def _sets_of(found: Words, rarity: np.ndarray) -> Iterator[Sets]:
+    if len(found.hashed):
         new = np.concatenate([[True], (found.row[1:] != found.row[:-1]) | (found.line[1:] != found.line[:-1])])
         number = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
@@ -164,53 +168,69 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None]]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# A row of the first pass: a bucket of words and its count, or a line with two hashes of its set.
+SCAN = "doc long, line int, one long, two long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+    plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
     for batch in batches:
-        for found in words(_texts(batch)[1]):
-            at = (found.hashed & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)
-            total += np.bincount(at, minlength=RARITY_BUCKETS)
+        docs, texts = _texts(batch)
+        for found in words(texts):
+            at, number = np.unique(found.hashed & np.uint64(RARITY_BUCKETS - 1), return_counts=True)
+            total[at] += number
+            for some in _sets_of(found, plain):
+                one, two = (np.add.reduceat(mixed(some.words, salt), some.start) for salt in (1, 2))
+                columns = [docs[some.row], some.line.astype(np.int32), _signed(one), _signed(two)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "line", "one", "two"])
     used = np.flatnonzero(total)
     for at in range(0, len(used), 1 << 18):
         part = used[at : at + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+        none = pa.nulls(len(part), pa.int64())
+        columns = [none, pa.array(np.full(len(part), BUCKET, dtype=np.int32)), pa.array(part), pa.array(total[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "one", "two"])
 
 
-def rarity(source: DataFrame) -> np.ndarray:
+def rarity(scan: DataFrame) -> np.ndarray:
     """Class of each bucket of words, from the words of all texts; a table of fixed size."""
-    counted = source.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    buckets = scan.filter(F.col("line") == BUCKET).groupBy("one").agg(F.sum("two").alias("n")).toArrow()
     total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-    total[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    total[buckets["one"].to_numpy()] = buckets["n"].to_numpy()
     return rarity_class(total)
 
 
-POSTING = "word long, page int, pages int, doc long, line int, size int, place int, sketch long"
-# Rows for whole lines have place -1; word and sketch then hold two hashes of the set.
-LINE = -1
+POSTING = "word long, page int, doc long, line int, size int, place int, sketch long, sketch_too long"
+# Line number of the rows that count a bucket.
+BUCKET = -1
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
-def _postings(rarity_table, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch], lines=None, posted=None) -> Iterator[pa.RecordBatch]:
+    """Postings of the first line of each set in this task, by id and place.
+
+    With ``lines`` (marks), only of marked lines and of words posted in pages; with ``posted``
+    (marks), only of marked words.
+    """
     seen: dict[int, tuple[int, int]] = {}
     for batch in batches:
         docs, texts = _texts(batch)
-        for found in sets(texts, rarity_table.value):
-            doc = docs[found.row]
+        for found in sets(texts, table.value):
+            doc, n = docs[found.row], len(found.row)
             one = np.add.reduceat(mixed(found.words, 1), found.start)
-            two = np.add.reduceat(mixed(found.words, 2), found.start)
-            bit = np.uint64(1) << (mixed(found.words, 3) >> np.uint64(58))
-            sketch = np.bitwise_xor.reduceat(bit, found.start)
-            n, zero = len(doc), np.zeros(len(doc), dtype=np.int32)
-            yield _posted(_signed(one), zero, zero, doc, found.line, found.size, np.full(n, LINE), _signed(two))
-            # The first line of each set in this task, by id and place.
+            spot = mixed(found.words, 3)
+            sketches = [
+                np.bitwise_xor.reduceat(np.where((spot >> np.uint64(57) & np.uint64(1)) == half, np.uint64(1) << (spot >> np.uint64(58)), np.uint64(0)), found.start)
+                for half in (0, 1)
+            ]
             fresh = np.zeros(n, dtype=bool)
             if len(seen) > REMEMBERED:
                 seen.clear()
-            for i in np.lexsort((found.line, doc)).tolist():
-                key, at = int(one[i]), (int(doc[i]), int(found.line[i]))
+            order = np.lexsort((found.line, doc))
+            for i, key, at in zip(order.tolist(), one[order].tolist(), zip(doc[order].tolist(), found.line[order].tolist())):
                 if key not in seen or at < seen[key]:
                     seen[key] = at
                     fresh[i] = True
@@ -219,17 +239,20 @@ def _postings(rarity_table, page_rows: int, batches: Iterator[pa.RecordBatch]) -
             place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
             word = found.words[found.start[owner] + place]
             classes = (word >> np.uint64(HASH_BITS)).astype(np.int64)
-            shared = classes > 0
-            owner, place, word, classes = owner[shared], place[shared], word[shared], classes[shared]
             pages = pages_of(classes, page_rows)
+            chosen = classes > 0
+            if lines is not None:
+                chosen &= (pages > 1) | _is_marked(lines.value, _mark(doc, found.line))[owner]
+            if posted is not None:
+                chosen &= _is_marked(posted.value, _mark(word.view(np.int64), np.zeros(1, dtype=np.int64)))
+            owner, place, word, pages = owner[chosen], place[chosen], word[chosen], pages[chosen]
             page = (mixed(doc[owner].astype(np.uint64), 4) + found.line[owner].astype(np.uint64)) % pages.astype(np.uint64)
-            yield _posted(_signed(word), page, pages, doc[owner], found.line[owner], found.size[owner], place, _signed(sketch[owner]))
-
-
-def _posted(*columns) -> pa.RecordBatch:
-    kinds = ("int64", "int32", "int32", "int64", "int32", "int32", "int32", "int64")
-    names = [c.split()[0] for c in POSTING.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(k)) for c, k in zip(columns, kinds)], names=names)
+            # Words in one page only have page -1.
+            page = np.where(pages > 1, page.astype(np.int64), -1)
+            columns = [_signed(word), page.astype(np.int32), doc[owner], found.line[owner].astype(np.int32),
+                       found.size[owner].astype(np.int32), place.astype(np.int32), *(_signed(k[owner]) for k in sketches)]
+            names = [c.split()[0] for c in POSTING.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 PAIR = "doc long, line int, other_doc long, other_line int, apart int, more boolean"
@@ -254,8 +277,8 @@ def _best_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
-    word, page, pages, doc, line, size, place, sketch = columns
-    size, place, sketch = size.astype(np.int64), place.astype(np.int64), sketch.view(np.uint64)
+    word, page, doc, line, size, place, *sketches = columns
+    size, place = size.astype(np.int64), place.astype(np.int64)
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (page[1:] != page[:-1])])
     rank = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
     best, found = np.full(len(word), 1 << 20, dtype=np.int64), np.full(len(word), -1)
@@ -267,7 +290,7 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
         a, b = size[later], size[earlier]
         need = (4 * (a + b) + 8) // 9
         reach = np.minimum(place[later], place[earlier]) + 1 + np.minimum(a - place[later], b - place[earlier]) - 1
-        apart = np.bitwise_count(sketch[later] ^ sketch[earlier]).astype(np.int64)
+        apart = sum(np.bitwise_count((k[later] ^ k[earlier]).view(np.uint64)).astype(np.int64) for k in sketches)
         ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (reach >= need) & (apart <= a + b - 2 * need)
         # Rows that repeat an id post the same line twice.
         ok &= (doc[later] != doc[earlier]) | (line[later] != line[earlier])
@@ -288,8 +311,12 @@ def _mark(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (spread % np.uint64(MARKS)).astype(np.int64)
 
 
+def _is_marked(table: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return (table[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _marked(lines: DataFrame) -> np.ndarray:
-    """Bits for ``lines (doc, line)``, in a table of fixed size."""
+    """Bits for ``lines (doc, line)``, or for words with line 0, in a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +331,7 @@ def _marked(lines: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(source: DataFrame, pairs: DataFrame, table) -> DataFrame:
+def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs (doc, line, other_doc, other_line)`` whose word sets are similar enough.
 
     The sets are made again from the texts, for the lines of the pairs only.
@@ -315,18 +342,17 @@ def verified(source: DataFrame, pairs: DataFrame, table) -> DataFrame:
     wanted = source.sparkSession.sparkContext.broadcast(_marked(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
         for batch in batches:
             docs, texts = _texts(batch)
-            for found in sets(texts, table.value):
-                doc = docs[found.row]
-                at = _mark(doc, found.line)
-                keep = np.flatnonzero(wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                sizes = found.size[keep]
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                inside = np.repeat(found.start[keep] - ends[:-1], sizes) + np.arange(ends[-1])
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(found.words[inside])))
-                columns = [pa.array(doc[keep]), pa.array(found.line[keep].astype(np.int32)), values]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "words"])
+            for every in words(texts):
+                keep = _is_marked(wanted.value, _mark(docs[every.row], every.line))
+                some = Words(every.row[keep], every.line[keep], every.hashed[keep])
+                for found in _sets_of(some, plain):
+                    ends = np.concatenate([[0], np.cumsum(found.size)]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(found.words)))
+                    columns = [pa.array(docs[found.row]), pa.array(found.line.astype(np.int32)), values]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "words"])
 
     known = cut(source.mapInArrow(run, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"]), "line-sets")
     others = known.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
@@ -345,51 +371,57 @@ def _later(line: str, other: str) -> Column:
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
     """``(doc, line)`` of the lines to remove, numbered from 0; ``doc`` is the id, the least long for null."""
-    source = _source(df, id_col, text_col)
-    table = df.sparkSession.sparkContext.broadcast(rarity(source))
-    rows = cut(source.mapInArrow(lambda batches: _postings(table, page_rows, batches), POSTING), "line-postings")
-    every = rows.filter(F.col("place") == LINE).select(F.col("word").alias("one"), F.col("sketch").alias("two"), "doc", "line")
+    source, context = _source(df, id_col, text_col), df.sparkSession.sparkContext
+    scan = cut(source.mapInArrow(_scan, SCAN), "line-scan")
+    table = context.broadcast(rarity(scan))
+    every = scan.filter(F.col("line") != BUCKET)
     firsts = every.groupBy("one", "two").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")
     ).filter("n > 1").select("one", "two", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
     equal = cut(every.join(firsts, ["one", "two"]).filter(_later("doc", "first_doc")).select("doc", "line"), "line-equal")
 
-    postings = rows.filter(F.col("place") != LINE)
+    postings = source.mapInArrow(lambda batches: _postings(table, page_rows, batches), POSTING)
     dealt = postings.repartition("word", "page").sortWithinPartitions("word", "page", "doc", "line")
-    best = dealt.mapInArrow(_best_earlier, PAIR)
+    best = cut(dealt.mapInArrow(_best_earlier, PAIR), "line-best")
     chosen = cut(
         best.groupBy("doc", "line").agg(
             F.min(F.struct("apart", "other_doc", "other_line")).alias("best"),
             F.max("more").alias("more"), F.min(F.struct("other_doc", "other_line")).alias("low"),
             F.max(F.struct("other_doc", "other_line")).alias("high"),
         ).select("doc", "line", "best.other_doc", "best.other_line", (F.col("more") | (F.col("low") != F.col("high"))).alias("more")),
-        "line-best",
+        "line-chosen",
     )
-    settled = cut(verified(source, chosen.drop("more"), table).unionByName(equal).distinct(), "line-settled")
+    settled = cut(verified(source, chosen.drop("more")).unionByName(equal).distinct(), "line-settled")
 
     key = ["doc", "line"]
-    unsure = chosen.filter("more").select(key)
+    unsure = cut(chosen.filter("more").select(key).join(settled, key, "left_anti"), "line-unsure")
+    lines = context.broadcast(_marked(unsure))
+    some = source.mapInArrow(lambda batches: _postings(table, page_rows, batches, lines), POSTING)
+    paged = F.col("page") >= 0
     probes = cut(
-        postings.join(unsure, key, "left_semi").unionByName(postings.filter("pages > 1")).distinct()
-        .join(settled, key, "left_anti"),
+        some.join(unsure.withColumn("open", F.lit(True)), key, "left").filter(paged | F.col("open"))
+        .join(settled, key, "left_anti").drop("open", "page"),
         "line-probes",
     )
     if probes.isEmpty():
         return settled
-    others = postings.select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc", "line", "size", "place", "sketch")])
+    posted = context.broadcast(_marked(probes.select("word", F.lit(0).alias("line")).distinct()))
+    others = source.mapInArrow(lambda batches: _postings(table, page_rows, batches, None, posted), POSTING)
+    others = others.select("word", *[F.col(c).alias(f"other_{c}") for c in others.columns if c not in ("word", "page")])
     need = F.expr("(4 * (size + other_size) + 8) div 9")
     reach = F.least("place", "other_place") + F.least(F.expr("size - place"), F.expr("other_size - other_place"))
-    close = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= F.expr("size + other_size") - 2 * need
+    apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in ("sketch", "sketch_too"))
     alike = 5 * F.least("size", "other_size") >= 4 * F.greatest("size", "other_size")
+    close = (reach >= need) & (apart <= F.expr("size + other_size") - 2 * need)
     pairs = cut(
-        probes.join(others, "word").filter(_later("doc", "other_doc") & alike & (reach >= need) & close)
+        probes.join(others, "word").filter(_later("doc", "other_doc") & alike & close)
         .select("doc", "line", "other_doc", "other_line").distinct()
         .join(chosen.drop("more"), ["doc", "line", "other_doc", "other_line"], "left_anti"),
         "line-pairs",
     )
     if pairs.isEmpty():
         return settled
-    return settled.unionByName(verified(source, pairs, table)).distinct()
+    return settled.unionByName(verified(source, pairs)).distinct()
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
