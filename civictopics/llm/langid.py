@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civictopics.llm.common import add_columns
+from civictopics.storage import cut
 
 BUCKETS = 1 << 16
 LENGTHS = (2, 3, 4)
 # Texts are read in slices of so many characters; no subword runs from one slice into the next.
-SLICE = 1 << 20
+SLICE = 1 << 18
 PER_LANGUAGE = 300
 WIDTH = 16
 EPOCHS = 6
@@ -187,7 +188,8 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_languag
         df[lang_col].cast("string").alias("lang"), df[text_col].cast("string").alias("text"),
         F.xxhash64(df[id_col]).alias("mark"), held_out(df[id_col]).alias("out"),
     ).filter("not out and lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    # Written first, so that Spark sees how small it is and does not move the texts for it.
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     wanted = F.least(F.lit(1.0), 2.0 * (per_language + 20) / F.col("rows")) * float(1 << 31)
     few = labelled.join(sizes, "lang").filter(F.pmod("mark", F.lit(1 << 31)) < wanted)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
