@@ -26,7 +26,7 @@ from civictopics.llm.common import add_columns
 NO_RANK = 1 << 60
 SHORT_WORD = 96
 # Pieces remembered by a Python worker; when there are more, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 # Unicode white space, and the pattern that splits text before the merges.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # A word is a run of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
+# Texts that a task holds as Python strings at a time.
+ROWS_AT_A_TIME = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -44,15 +46,21 @@ def add_columns(
     schema = T.StructType([df.schema[c] for c in kept] + added.fields)
     types = to_arrow_schema(added)
 
+    # A text that stays is sent to the function once, not a second time to be read.
+    read = text_col if text_col in kept and schema[text_col].dataType == T.StringType() else None
+    place = kept.index(read) if read else len(kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i) for i in range(len(kept))]
-            values = compute(batch.column(len(kept)).to_pylist())
-            columns += [pa.array(v, type=f.type) for v, f in zip(values, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    text = F.col(text_col).cast("string").alias("text to read")
-    return df.select(*[df[c] for c in kept], text).mapInArrow(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_A_TIME):
+                batch = whole.slice(at, ROWS_AT_A_TIME)
+                columns = [batch.column(i) for i in range(len(kept))]
+                values = compute(batch.column(place).to_pylist())
+                columns += [pa.array(v, type=f.type) for v, f in zip(values, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    more = [] if read else [F.col(text_col).cast("string").alias("text to read")]
+    return df.select(*[df[c] for c in kept], *more).mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str) -> str:
