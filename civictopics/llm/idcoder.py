@@ -23,7 +23,7 @@ from collections.abc import Sequence
 import numpy as np
 
 BLOCK = 4096
-GROUP = 1024
+GROUP = 2048
 
 _SLOT_BITS = 11
 _DIGIT_SLOTS = 256
@@ -238,12 +238,18 @@ def _code(lengths: Sequence[int], digits: int, coder, ids: np.ndarray | None) ->
     return out
 
 
+def group_size(blocks: int) -> int:
+    """Groups of equal size, since a step costs nearly as much for few blocks as for many."""
+    return -(-blocks // max(1, -(-blocks // GROUP)))
+
+
 def encode(blocks: Sequence[np.ndarray], digits: int) -> list[bytes]:
     """Coded form of each block of ids below ``16 ** digits``, none of them empty."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for at in range(0, len(order), GROUP):
-        group = order[at : at + GROUP]
+    size = group_size(len(order))
+    for at in range(0, len(order), size or 1):
+        group = order[at : at + size]
         lengths = [len(blocks[i]) for i in group]
         ids = np.zeros((len(group), lengths[0]), dtype=np.uint32)
         for row, i in enumerate(group):
@@ -260,8 +266,9 @@ def decode(coded: Sequence[bytes], lengths: Sequence[int], digits: int) -> list[
     """The ids of each coded block."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(coded)
     order = sorted(range(len(coded)), key=lambda i: -lengths[i])
-    for at in range(0, len(order), GROUP):
-        group = order[at : at + GROUP]
+    size = group_size(len(order))
+    for at in range(0, len(order), size or 1):
+        group = order[at : at + size]
         ids = _code([lengths[i] for i in group], digits, _Decoder([coded[i] for i in group]), None)
         for row, i in enumerate(group):
             out[i] = ids[row, : lengths[i]]

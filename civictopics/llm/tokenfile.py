@@ -84,7 +84,7 @@ def load(path: str) -> WordTokenizer:
 
 
 class FileWriter:
-    """Writes ids document by document; holds one group of blocks at most."""
+    """Writes ids document by document; holds two groups of blocks at most."""
 
     def __init__(self, stream, digits: int, block: int = idcoder.BLOCK) -> None:
         self.stream, self.digits, self.block = stream, digits, block
@@ -97,8 +97,9 @@ class FileWriter:
         self.docs.append((doc_id or 0, doc_id is None, len(ids)))
         self.held.append(ids)
         self.size += len(ids)
-        if self.size >= self.block * idcoder.GROUP:
-            self._write(self.size - self.size % self.block)
+        # What is left in the end is cut into groups of equal size, so one group always waits.
+        if self.size >= 2 * self.block * idcoder.GROUP:
+            self._write(self.block * idcoder.GROUP)
 
     def _write(self, number: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, dtype="<u4")
@@ -139,9 +140,10 @@ class FileReader:
     def groups(self) -> Iterator[np.ndarray]:
         """All ids in order, some blocks at a time."""
         self.file.seek(len(MAGIC))
-        for at in range(0, self.n_blocks, idcoder.GROUP):
+        step = idcoder.group_size(self.n_blocks)
+        for at in range(0, self.n_blocks, step or 1):
             lengths, coded, sums = [], [], []
-            for _ in range(min(idcoder.GROUP, self.n_blocks - at)):
+            for _ in range(min(step, self.n_blocks - at)):
                 number, size, packed, plain = struct.unpack("<IIII", self.file.read(16))
                 data = self.file.read(size)
                 if len(data) != size or zlib.crc32(data) != packed:
