@@ -19,11 +19,16 @@ from civictopics.storage import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """How topics are found.  ``nr_topics=None`` means no reduction."""
+    """How topics are found.  ``nr_topics=None`` means no reduction.
+
+    ``frequency_buckets`` is the size of the table of document frequencies.  Words that share a
+    bucket share a weight, so choose it well above the number of words that matter.
+    """
 
     method: str | Callable[[Column], Column] = "hash"
     dim: int = 256
     salt: str = ""
+    frequency_buckets: int = embed.FREQUENCY_BUCKETS
     reducer: str = "pca"
     k: int = 5
     width: float = 0.25
@@ -97,7 +102,7 @@ def fit_topics(
         .select("row_id", "clean_text", "tokens"),
         "tokens",
     )
-    idf = embed.inverse_frequencies(tokens) if settings.method == "hash" else None
+    idf = embed.inverse_frequencies(tokens, settings.frequency_buckets) if settings.method == "hash" else None
     embedded = _embedded(tokens, settings, idf, vectors)
     if seed_topics is not None:
         # Precomputed vectors say nothing about seed texts, so guidance needs an encoder.

@@ -307,3 +307,13 @@ def test_summary_ignores_nan_and_null(spark):
 def test_highest_probability(spark):
     df = spark.createDataFrame([(1, [0.1, 0.7]), (2, None)], "row_id long, probabilities array<double>")
     assert [r.probability for r in ev.highest_probability(df).orderBy("row_id").collect()] == [0.7, None]
+
+
+def test_bucket_weights_come_near_exact_ones(spark):
+    """With far more buckets than words nearly all weights are exact; with few they are averages."""
+    rows = [(i, [f"w{j}" for j in range(400) if (i * 31 + j * 17) % (j + 2) == 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, tokens array<string>")
+    exact = {w: np.log(61 / (1 + n)) for w, n in Counter(w for _, t in rows for w in set(t)).items()}
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in exact}
+    off = {b: np.mean([abs(em.inverse_frequencies(df, b)[place[w] % b] - e) for w, e in exact.items()]) for b in (1 << 18, 64)}
+    assert off[1 << 18] < 0.01 < off[64]
