@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,19 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a bounded number of rows, and at the end the memory given back.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def add_columns(
     df: DataFrame,
     text_col: str,
@@ -51,13 +66,11 @@ def add_columns(
     place = kept.index(read) if read else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_A_TIME):
-                batch = whole.slice(at, ROWS_AT_A_TIME)
-                columns = [batch.column(i) for i in range(len(kept))]
-                values = compute(batch.column(place).to_pylist())
-                columns += [pa.array(v, type=f.type) for v, f in zip(values, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in parts(batches):
+            columns = [batch.column(i) for i in range(len(kept))]
+            values = compute(batch.column(place).to_pylist())
+            columns += [pa.array(v, type=f.type) for v, f in zip(values, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     more = [] if read else [F.col(text_col).cast("string").alias("text to read")]
     return df.select(*[df[c] for c in kept], *more).mapInArrow(run, schema)

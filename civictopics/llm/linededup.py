@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civictopics.llm.common import parts
 from civictopics.storage import cut
 
 RARITY_BUCKETS = 1 << 22
@@ -175,7 +176,7 @@ SCAN = "doc long, line int, one long, two long"
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
     plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
-    for batch in batches:
+    for batch in parts(batches):
         docs, texts = _texts(batch)
         for found in words(texts):
             at, number = np.unique(found.hashed & np.uint64(RARITY_BUCKETS - 1), return_counts=True)
@@ -216,7 +217,7 @@ def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch], lines=No
     (marks), only of marked words.
     """
     seen: dict[int, tuple[int, int]] = {}
-    for batch in batches:
+    for batch in parts(batches):
         docs, texts = _texts(batch)
         for found in sets(texts, table.value):
             doc, n = docs[found.row], len(found.row)
@@ -343,7 +344,7 @@ def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
-        for batch in batches:
+        for batch in parts(batches):
             docs, texts = _texts(batch)
             for every in words(texts):
                 keep = _is_marked(wanted.value, _mark(docs[every.row], every.line))
