@@ -8,8 +8,9 @@ Because everything behind the look-up is linear, prediction uses one table of su
 Training reads a bounded sample: at most ``per_language`` whole texts of each language, chosen by
 a hash of their id, each as subword counts, so what reaches the driver is bounded by that number
 and the size of the table.  A fifth of the sample is left out of the descent and calibrates the
-scores: a temperature makes them probabilities, and the rejection threshold is the smallest score
-from which on the wanted share of predictions is right.
+scores: a temperature makes them probabilities.  When fewer predictions than the wanted share are
+right, the rejection threshold cuts off the low scores among which wrong answers outnumber right
+ones; wrong labels, which have scores of any height, do not move it up.
 """
 
 from __future__ import annotations
@@ -162,15 +163,15 @@ def calibrate(logits: np.ndarray, truth: np.ndarray, right: float) -> tuple[floa
     temperature = float(temperatures[int(np.argmin(losses))])
     chances = softmax(logits / temperature)
     best = chances.max(axis=1)
-    order = np.argsort(-best, kind="stable")
+    order = np.argsort(best, kind="stable")
     hits = (chances.argmax(axis=1) == truth)[order]
-    share = np.cumsum(hits) / np.arange(1, len(hits) + 1)
-    enough = np.flatnonzero(share >= right)
-    if not len(enough):
-        return temperature, float(best.max())
-    # All examples accepted: nothing says that any score is too low.
-    last = enough[-1]
-    return temperature, 0.0 if last == len(hits) - 1 else float(best[order[last]])
+    if hits.mean() >= right:
+        return temperature, 0.0
+    # By how much wrong answers outnumber right ones among the lowest scores.
+    excess = np.concatenate([[0], np.cumsum(np.where(hits, -1, 1))])
+    rejected = int(np.argmax(excess))
+    # Nothing rejected: wrong answers are no more frequent among low scores.
+    return temperature, float(best[order[min(rejected, len(hits) - 1)]]) if rejected else 0.0
 
 
 def held_out(id_col: Column) -> Column:

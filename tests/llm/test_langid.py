@@ -72,3 +72,28 @@ def test_temperature_and_threshold():
     _, threshold = langid.calibrate(logits, np.array([0, 0, 1, 1]), 0.99)
     assert langid.softmax(np.array([0.2, 0])).max() < 1 and threshold > 0
     assert langid.calibrate(logits[:3], np.array([0, 0, 1]), 0.99)[1] == 0.0
+
+
+def test_wrong_labels_do_not_reject_clean_texts(spark):
+    random = np.random.default_rng(5)
+    for share in (0.01, 0.02, 0.05):
+        accepted = []
+        for _ in range(40):
+            truth = random.integers(0, 4, 480)
+            logits = random.uniform(0.5, 6, (480, 1)) * np.eye(4)[truth]
+            said = np.where(random.random(480) < share, (truth + 1) % 4, truth)
+            temperature, threshold = langid.calibrate(logits, said, 0.99)
+            accepted.append((langid.softmax(logits / temperature).max(axis=1) >= threshold).mean())
+        assert np.mean(accepted) > 0.98
+    wrong = [(i, t, "de" if i % 20 == 0 else lang, a, b) for i, t, lang, a, b in rows(900)]
+    df = spark.createDataFrame(wrong, SCHEMA)
+    assert langid.identify(df, langid.fit(df)).filter("not rejected").count() > 0.97 * 900
+
+
+def test_low_scores_that_are_mostly_wrong_are_rejected():
+    truth = np.arange(300) % 2
+    strength = np.where(np.arange(300) < 40, 0.3, 3.0)[:, None]
+    logits = strength * np.eye(2)[np.where((np.arange(300) < 40) & (np.arange(300) % 5 > 0), 1 - truth, truth)]
+    temperature, threshold = langid.calibrate(logits, truth, 0.99)
+    best = langid.softmax(logits / temperature).max(axis=1)
+    assert (best[:40] < threshold).all() and (best[40:] >= threshold).all()
