@@ -87,7 +87,7 @@ class TokenRollup:
         ).filter("docs <> 0 or tokens <> 0")
         number = versions[-1][0] + 1 if versions else 0
         # What a cut-off attempt has left under this name is overwritten.
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{number:012d}-{batch}")
+        summed.write.mode("overwrite").parquet(f"{self.path}/{number:012d}-{batch}")
         return True
 
     def follow(self, stream: DataFrame, name: str, checkpoint: str):

@@ -68,3 +68,15 @@ def test_life_of_documents(spark):
     got = rows(ro.document_totals(df, PATH, "bpe"))
     assert got == {(*k, "bpe"): (number[k], want[k]) for k in number} | {(*k, "words"): (number[k], words[k]) for k in number}
     assert ro.document_totals(df.limit(0), PATH, "bpe").count() == 0
+
+
+def test_a_version_is_not_written_by_one_task(spark, totals, tmp_path):
+    change = spark.createDataFrame([(f"s{i}", "en", "t", None, i, 1) for i in range(200)], CHANGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch in ("a", "b"):
+            assert totals.apply(batch, change)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(list(folder.glob("part-*"))) > 1 for folder in (tmp_path / "totals").iterdir())
+    assert rows(totals.totals()) == {(f"s{i}", "en", "t"): (2, 2 * i) for i in range(200)}
