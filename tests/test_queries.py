@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 from checks.compare import connect, difference
+from checks.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
@@ -19,7 +20,7 @@ def con():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("name", [n for n in driver.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, con, name):
     assert difference(spark, con, DATA, name) is None
 
