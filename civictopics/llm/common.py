@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import suppress
 
@@ -23,6 +24,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes that end at white space, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + size)
+        end = space.end() if space else len(data)
+        yield data[at:end]
+        at = end
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without the columns whose names are taken by ``names``, in any case."""
     taken = {name.lower() for name in names}

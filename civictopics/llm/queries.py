@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civictopics.llm import bpe, digest, exact_dedup, langid, linededup, mixing, rollup, simhash, tokenfile, warc
+from civictopics.llm import (
+    bpe,
+    digest,
+    exact_dedup,
+    importance,
+    langid,
+    linededup,
+    mixing,
+    prefixtrie,
+    repetition,
+    rollup,
+    simhash,
+    tokenfile,
+    warc,
+)
 from civictopics.llm.common import tokenizer_path
 
 
@@ -66,7 +80,26 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefixtrie.prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet")).drop("key", "parent")
+
+
+def op12_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    return repetition.quality(documents(spark, sf), keep=["doc_id"]).drop("longest_repeat", "n_repeats")
+
+
+def op13_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the benchmark texts."""
+    found = importance.scored(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id").drop("n_words")
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op1_langid, op2_mixing, op3_exact_dedup, op4_token_counts, op5_simhash, op6_line_dedup, op7_bpe, op8_digest, op9_warc, op10_token_ids)
+    for query in (
+        op1_langid, op2_mixing, op3_exact_dedup, op4_token_counts, op5_simhash, op6_line_dedup, op7_bpe, op8_digest, op9_warc,
+        op10_token_ids, op11_prefix_trie, op12_quality, op13_importance,
+    )
 }
