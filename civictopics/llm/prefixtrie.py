@@ -36,7 +36,7 @@ BASES = (1_493_116_093_547_872_183, 2_014_753_988_617_309_427)
 GROUP = 100
 HEAD_TURNS = 6
 # A node with more members than this, and than the square root of all path rows, is at the top.
-TOP_MEMBERS = 4096
+TOP_MEMBERS = 64
 BLOCK_DEPTH = 256
 BLOCKS = 8
 # Messages of a queue that are held in memory.
