@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from civictopics.storage import cut, new_path, scratch, shared_folder
+from civictopics.storage import cut, new_path, scratch, settled, shared_folder
 
 
 def session(master, configured=None, checkpoint=None):
@@ -36,3 +36,16 @@ def test_scratch_tables_are_deleted(spark):
     assert before.count() == 3
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_settled_keeps_only_its_result(spark):
+    places = []
+
+    def make():
+        inside = cut(spark.range(5).toDF("a"), "gone")
+        places.append(inside.inputFiles()[0])
+        return inside.filter("a > 1")
+
+    assert sorted(r.a for r in settled(spark, "stays", make).collect()) == [2, 3, 4]
+    path = spark._jvm.org.apache.hadoop.fs.Path(places[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
