@@ -7,16 +7,19 @@ The join orders the words of a line from rare to frequent.  Two similar lines sh
 the first ``n - ceil(0.8 n) + 1`` of either, so only these are posted, and words that occur once
 are left out.  Lines that share a posted word are compared by length, by the place of the word,
 and by a 128-bit parity sketch whose differing bits are at most the words the sets do not share.
-What passes all three is verified on the whole sets.
+What passes all three is verified on the words themselves.
 
 1. The best earlier candidate of each line and posted word is verified.  Most lines that have a
    similar one are settled here, so a large group of near copies never becomes all its pairs.
-2. Lines not settled, with further candidates, are joined with all postings.
-
-A frequent word is posted in pages of bounded size; lines of such a word that their own page does
-not settle take part in step 2, whose join Spark can split.  Equal sets are removed by a grouping
-beforehand, and a task posts a set once.  Rarity comes from counts in a fixed number of buckets;
-any order of words gives the same result, a good one posts fewer common words.
+2. Lines not settled meet all postings of those words that gave them further candidates.  These
+   postings carry the words of their line, so that the join itself verifies, and gives out similar
+   lines only, however many of one family lie just below the threshold.
+
+A task posts a set once; lines equal to one that the task has posted are settled at once.  A frequent
+word is posted in pages of bounded size, dealt by the set, so that equal sets share a page; lines of
+four words or more that their own page does not settle take part in step 2, whose join Spark can
+split (sets of fewer words are similar to equal sets only).  Rarity comes from counts in a fixed number
+of buckets; any order of words gives the same result, a good one posts fewer common words.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civictopics.llm.common import parts
-from civictopics.storage import cut
+from civictopics.llm.common import parts, pieces
+from civictopics.storage import cut, settled
 
 RARITY_BUCKETS = 1 << 22
 # Words with more occurrences are posted in pages of about so many.
@@ -42,21 +46,13 @@ REMEMBERED = 200_000
 SLICE = 1 << 20
 LINES = 4096
 HASH_BITS = 46
+# Longer words are hashed one by one.
+SHORT_WORD = 64
+CHUNK = 1 << 16
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(size: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _powers or len(_powers[0]) < size:
-        _powers[:] = [
-            np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]), dtype=np.uint64) for b in (_BASE, _INVERSE)
-        ]
-    return _powers
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -67,6 +63,21 @@ def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def hashed_words(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, mixed eight bytes at a time; ``data`` goes on for 8 bytes after the last word."""
+    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = mixed(size.astype(np.uint64), 0x9E3779B9)
+    left, at = np.flatnonzero(size <= SHORT_WORD), 0
+    while len(left):
+        rest = np.minimum(size[left] - at, 8)
+        out[left] = mixed(out[left] ^ (eights[first[left] + at] & _TAILS[rest]), 0x632BE5AB)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > SHORT_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[first[k] : first[k] + size[k]].tobytes(), 7)
+    return out
+
+
 @dataclass
 class Words:
     """Hashed words of some texts, in order; ``row`` and ``line`` say where each one stands."""
@@ -74,36 +85,60 @@ class Words:
     row: np.ndarray
     line: np.ndarray
     hashed: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    data: bytes
+
+
+def _line_slices(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """A long text in slices of whole lines, with the number of the first; a line that is longer than a
+    slice is given as its different words."""
+    at = line = 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= SLICE else data.rfind(b"\n", at, at + SLICE)
+        if end >= 0:
+            part = data[at:end]
+        else:
+            end = data.find(b"\n", at + SLICE)
+            end = len(data) if end < 0 else end
+            different: set[bytes] = set()
+            for piece in pieces(data[at:end]):
+                different.update(piece.split())
+            part = b" ".join(sorted(different))
+        yield part, line
+        line += part.count(b"\n") + 1
+        at = end + 1
 
 
 def words(texts: list[str | None]) -> Iterator[Words]:
     """The words of whole texts, of about ``SLICE`` bytes at a time."""
-    held, rows, size = [], [], 0
+    held, size = [], 0
     for row, text in enumerate(texts):
-        if text:
-            data = text.encode().lower()
-            held.append(data)
-            rows.append(row)
-            size += len(data)
-        if held and (size >= SLICE or row == len(texts) - 1):
-            yield _words_of(held, np.array(rows))
-            held, rows, size = [], [], 0
+        data = text.encode().lower() if text else b""
+        for part, line in _line_slices(data) if len(data) > SLICE else [(data, 0)] if data else []:
+            held.append((part, row, line))
+            size += len(part) + 1
+            if size >= SLICE:
+                yield _words_of(held)
+                held, size = [], 0
     if held:
-        yield _words_of(held, np.array(rows))
+        yield _words_of(held)
 
 
-def _words_of(held: list[bytes], rows: np.ndarray) -> Words:
-    data = np.frombuffer(b"\n".join([*held, b""]), dtype=np.uint8)
+def _words_of(held: list[tuple[bytes, int, int]]) -> Words:
+    whole = b"\n".join([*(part for part, _, _ in held), bytes(8)])
+    data = np.frombuffer(whole, dtype=np.uint8)
     space = _SPACE[data]
+    space[-8:] = True
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    last = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
-    up, down = _powers_to(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    hashed = mixed((sums[last + 1] - sums[first]) * down[first]) >> np.uint64(64 - HASH_BITS)
-    begin = np.cumsum([0, *(len(h) + 1 for h in held[:-1])])
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    last = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+    hashed = hashed_words(data, first, last - first)
+    begin = np.cumsum([0, *(len(part) + 1 for part, _, _ in held[:-1])])
+    breaks = np.flatnonzero(data == 10)
     place = np.searchsorted(begin, first, side="right") - 1
-    return Words(rows[place], (breaks[first] - breaks[begin[place]]).astype(np.int64), hashed)
+    rows, lines = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2))
+    line = np.searchsorted(breaks, first) - np.searchsorted(breaks, begin)[place] + lines[place]
+    return Words(rows[place], line, hashed, first, last, whole)
 
 
 @dataclass
@@ -115,30 +150,32 @@ class Sets:
     size: np.ndarray
     start: np.ndarray
     words: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    data: bytes
+
+    def said(self, at: int) -> str:
+        """The different words of a line in one fixed order."""
+        return b" ".join(sorted(set(self.data[self.begin[at] : self.end[at]].split()))).decode()
 
 
 def sets(texts: list[str | None], rarity: np.ndarray) -> Iterator[Sets]:
     """Word sets of all lines that have words.  A word is its rarity class, then its hash."""
     for found in words(texts):
-        yield from _sets_of(found, rarity)
-
-
-def _sets_of(found: Words, rarity: np.ndarray) -> Iterator[Sets]:
-    if len(found.hashed):
+        if not len(found.hashed):
+            continue
         new = np.concatenate([[True], (found.row[1:] != found.row[:-1]) | (found.line[1:] != found.line[:-1])])
         number = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
+        heads = np.append(np.flatnonzero(new), len(new))
         classes = rarity[found.hashed & np.uint64(RARITY_BUCKETS - 1)].astype(np.uint64)
-        ranked = classes << np.uint64(HASH_BITS) | found.hashed
-        for at in range(0, len(heads), LINES):
-            lo = heads[at]
-            hi = heads[at + LINES] if at + LINES < len(heads) else len(ranked)
+        ranked = classes << np.uint64(HASH_BITS) | found.hashed >> np.uint64(64 - HASH_BITS)
+        for at in range(0, len(heads) - 1, LINES):
+            chosen = heads[at : at + LINES + 1]
+            lo, hi = chosen[0], chosen[-1]
             keys = np.unique((number[lo:hi] - at).astype(np.uint64) << np.uint64(52) | ranked[lo:hi])
-            line = (keys >> np.uint64(52)).astype(np.int64)
-            size = np.bincount(line)
-            chosen = heads[at : at + LINES]
-            yield Sets(found.row[chosen], found.line[chosen], size, np.cumsum(size) - size,
-                       keys & np.uint64((1 << 52) - 1))
+            size = np.bincount((keys >> np.uint64(52)).astype(np.int64))
+            yield Sets(found.row[chosen[:-1]], found.line[chosen[:-1]], size, np.cumsum(size) - size,
+                       keys & np.uint64((1 << 52) - 1), found.first[chosen[:-1]], found.last[chosen[1:] - 1], found.data)
 
 
 def rarity_class(counts: np.ndarray) -> np.ndarray:
@@ -159,104 +196,140 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------------------ passes
 
+KEY = ["doc", "mark", "line"]
+
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids and texts; a null id comes before all others."""
-    return df.select(F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc"), df[text_col].cast("string").alias("text"))
+    """Ids, hashes of texts and texts; a null id comes before all others."""
+    text = df[text_col].cast("string")
+    return df.select(F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None]]:
-    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    doc, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return doc, mark, batch.column(2).to_pylist()
 
 
-# A row of the first pass: a bucket of words and its count, or a line with two hashes of its set.
-SCAN = "doc long, line int, one long, two long"
+def _signed(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-    plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
-    for batch in parts(batches):
-        docs, texts = _texts(batch)
-        for found in words(texts):
-            at, number = np.unique(found.hashed & np.uint64(RARITY_BUCKETS - 1), return_counts=True)
-            total[at] += number
-            for some in _sets_of(found, plain):
-                one, two = (np.add.reduceat(mixed(some.words, salt), some.start) for salt in (1, 2))
-                columns = [docs[some.row], some.line.astype(np.int32), _signed(one), _signed(two)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "line", "one", "two"])
-    used = np.flatnonzero(total)
-    for at in range(0, len(used), 1 << 18):
-        part = used[at : at + (1 << 18)]
-        none = pa.nulls(len(part), pa.int64())
-        columns = [none, pa.array(np.full(len(part), BUCKET, dtype=np.int32)), pa.array(part), pa.array(total[part])]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "one", "two"])
-
-
-def rarity(scan: DataFrame) -> np.ndarray:
-    """Class of each bucket of words, from the words of all texts; a table of fixed size."""
-    buckets = scan.filter(F.col("line") == BUCKET).groupBy("one").agg(F.sum("two").alias("n")).toArrow()
-    total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-    total[buckets["one"].to_numpy()] = buckets["n"].to_numpy()
-    return rarity_class(total)
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-POSTING = "word long, page int, doc long, line int, size int, place int, sketch long, sketch_too long"
-# Line number of the rows that count a bucket.
-BUCKET = -1
+def packed(values: DataFrame, size: int) -> np.ndarray:
+    """A table of ``size`` small numbers from rows ``(place int, value int)``, packed into chunks on Spark."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, np.zeros(CHUNK, dtype=np.uint8)
+        for batch in parts(batches, 1 << 20):
+            place, value = (batch.column(k).to_numpy() for k in (0, 1))
+            edges = np.flatnonzero(np.concatenate([[True], place[1:] // CHUNK != place[:-1] // CHUNK, [True]]))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if place[lo] // CHUNK != chunk:
+                    if chunk is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([held.tobytes()])], names=["chunk", "held"])
+                    chunk, held = int(place[lo] // CHUNK), np.zeros(CHUNK, dtype=np.uint8)
+                held[place[lo:hi] % CHUNK] = value[lo:hi]
+        if chunk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([held.tobytes()])], names=["chunk", "held"])
+
+    dealt = values.repartition(F.expr(f"place div {CHUNK}")).sortWithinPartitions("place")
+    out = np.zeros(-(-size // CHUNK) * CHUNK, dtype=np.uint8)
+    for chunk, held in dealt.mapInArrow(run, "chunk int, held binary").collect():
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(held, dtype=np.uint8)
+    return out
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
+def rarity(source: DataFrame) -> np.ndarray:
+    """Class of each bucket of words, from the words of all texts; a table of fixed size."""
 
-def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch], lines=None, posted=None) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+        for batch in parts(batches):
+            for found in words(_texts(batch)[2]):
+                at, number = np.unique(found.hashed & np.uint64(RARITY_BUCKETS - 1), return_counts=True)
+                total[at.astype(np.int64)] += number
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 1 << 18):
+            part = used[at : at + (1 << 18)]
+            yield _batch("place int, n long", [part, total[part]])
+
+    counts = source.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    # The class as rarity_class has it; the logarithm never meets a whole number from below.
+    value = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n").cast("double")) + 1e-9)).cast("int")
+    return packed(counts.select("place", value.alias("value")), RARITY_BUCKETS)
+
+
+POSTING = ("word long, page int, doc long, mark long, line int, size int, place int, sketch long, sketch_too long")
+# The page of rows that say that a line equals one its task has posted.
+EQUAL = -2
+
+
+class _Poster:
+    """What a task posts of its lines."""
+
+    def __init__(self, page_rows: int):
+        self.page_rows = page_rows
+        self.seen: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def post(self, found: Sets, doc: np.ndarray, mark: np.ndarray) -> tuple[list[np.ndarray], list[tuple], np.ndarray]:
+        """Columns of ``POSTING``, lines equal to an earlier one, and the line of each posting."""
+        n = len(found.row)
+        one, two = (np.add.reduceat(mixed(found.words, salt), found.start) for salt in (1, 2))
+        spot = mixed(found.words, 3)
+        sketches = [
+            np.bitwise_xor.reduceat(np.where((spot >> np.uint64(57) & np.uint64(1)) == half, np.uint64(1) << (spot >> np.uint64(58)), np.uint64(0)), found.start)
+            for half in (0, 1)
+        ]
+        fresh, equal = np.zeros(n, dtype=bool), []
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        order = np.lexsort((found.line, mark, doc))
+        for i, *key, a, b, c in zip(order.tolist(), *(x[order].tolist() for x in (one, two, doc, mark, found.line))):
+            key, at = tuple(key), (a, b, c)
+            known = self.seen.get(key)
+            if known is None or at < known:
+                self.seen[key] = at
+                fresh[i] = True
+            elif at > known:
+                equal.append((at, known))
+        length = np.where(fresh, prefix_length(found.size), 0)
+        owner = np.repeat(np.arange(n), length)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+        word = found.words[found.start[owner] + place]
+        chosen = word >> np.uint64(HASH_BITS) > 0
+        owner, place, word = owner[chosen], place[chosen], word[chosen]
+        pages = pages_of((word >> np.uint64(HASH_BITS)).astype(np.int64), self.page_rows)
+        # Words in one page only have page -1.
+        page = np.where(pages > 1, (one[owner] % pages.astype(np.uint64)).astype(np.int64), -1)
+        columns = [_signed(word), page, doc[owner], mark[owner], found.line[owner], found.size[owner], place, *(_signed(k[owner]) for k in sketches)]
+        return columns, equal, owner
+
+
+def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the first line of each set in this task, by id and place.
 
-    With ``lines`` (marks), only of marked lines and of words posted in pages; with ``posted``
-    (marks), only of marked words.
+    Lines equal to one of these come with the place of that one where others have their sketch.
     """
-    seen: dict[int, tuple[int, int]] = {}
+    poster = _Poster(page_rows)
     for batch in parts(batches):
-        docs, texts = _texts(batch)
+        docs, marks, texts = _texts(batch)
         for found in sets(texts, table.value):
-            doc, n = docs[found.row], len(found.row)
-            one = np.add.reduceat(mixed(found.words, 1), found.start)
-            spot = mixed(found.words, 3)
-            sketches = [
-                np.bitwise_xor.reduceat(np.where((spot >> np.uint64(57) & np.uint64(1)) == half, np.uint64(1) << (spot >> np.uint64(58)), np.uint64(0)), found.start)
-                for half in (0, 1)
-            ]
-            fresh = np.zeros(n, dtype=bool)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            order = np.lexsort((found.line, doc))
-            for i, key, at in zip(order.tolist(), one[order].tolist(), zip(doc[order].tolist(), found.line[order].tolist())):
-                if key not in seen or at < seen[key]:
-                    seen[key] = at
-                    fresh[i] = True
-            length = np.where(fresh, prefix_length(found.size), 0)
-            owner = np.repeat(np.arange(n), length)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-            word = found.words[found.start[owner] + place]
-            classes = (word >> np.uint64(HASH_BITS)).astype(np.int64)
-            pages = pages_of(classes, page_rows)
-            chosen = classes > 0
-            if lines is not None:
-                chosen &= (pages > 1) | _is_marked(lines.value, _mark(doc, found.line))[owner]
-            if posted is not None:
-                chosen &= _is_marked(posted.value, _mark(word.view(np.int64), np.zeros(1, dtype=np.int64)))
-            owner, place, word, pages = owner[chosen], place[chosen], word[chosen], pages[chosen]
-            page = (mixed(doc[owner].astype(np.uint64), 4) + found.line[owner].astype(np.uint64)) % pages.astype(np.uint64)
-            # Words in one page only have page -1.
-            page = np.where(pages > 1, page.astype(np.int64), -1)
-            columns = [_signed(word), page.astype(np.int32), doc[owner], found.line[owner].astype(np.int32),
-                       found.size[owner].astype(np.int32), place.astype(np.int32), *(_signed(k[owner]) for k in sketches)]
-            names = [c.split()[0] for c in POSTING.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-
-PAIR = "doc long, line int, other_doc long, other_line int, apart int, more boolean"
+            columns, equal, _ = poster.post(found, docs[found.row], marks[found.row])
+            yield _batch(POSTING, columns)
+            if equal:
+                doc, mark, line = (np.array(x, dtype=np.int64) for x in zip(*(at for at, _ in equal)))
+                to_doc, to_mark, to_line = (np.array(x, dtype=np.int64) for x in zip(*(to for _, to in equal)))
+                dealt = mixed(doc.view(np.uint64) ^ mixed(line.view(np.uint64)))
+                none = np.zeros(len(doc), dtype=np.int64)
+                yield _batch(POSTING, [_signed(dealt), none + EQUAL, doc, mark, line, none, to_line, to_doc, to_mark])
+
+
+PAIR = ("doc long, mark long, line int, other_doc long, other_mark long, other_line int, apart int, more boolean, word long, page int")
 
 
 def _best_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +351,11 @@ def _best_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
-    word, page, doc, line, size, place, *sketches = columns
+    known = columns[1] == EQUAL
+    _, _, *equal = [c[known] for c in columns]
+    word, page, doc, mark, line, size, place, *sketches = [c[~known] for c in columns]
     size, place = size.astype(np.int64), place.astype(np.int64)
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (page[1:] != page[:-1])])
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (page[1:] != page[:-1])])[: len(word)]
     rank = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
     best, found = np.full(len(word), 1 << 20, dtype=np.int64), np.full(len(word), -1)
     passing = np.zeros(len(word), dtype=np.int64)
@@ -290,160 +365,163 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
         earlier = later - lag
         a, b = size[later], size[earlier]
         need = (4 * (a + b) + 8) // 9
-        reach = np.minimum(place[later], place[earlier]) + 1 + np.minimum(a - place[later], b - place[earlier]) - 1
+        reach = np.minimum(place[later], place[earlier]) + np.minimum(a - place[later], b - place[earlier])
         apart = sum(np.bitwise_count((k[later] ^ k[earlier]).view(np.uint64)).astype(np.int64) for k in sketches)
         ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (reach >= need) & (apart <= a + b - 2 * need)
-        # Rows that repeat an id post the same line twice.
-        ok &= (doc[later] != doc[earlier]) | (line[later] != line[earlier])
+        # Equal rows post the same line twice.
+        ok &= (doc[later] != doc[earlier]) | (mark[later] != mark[earlier]) | (line[later] != line[earlier])
         hit, near = later[ok], apart[ok]
         passing[hit] += 1
         closer = near < best[hit]
         best[hit[closer]], found[hit[closer]] = near[closer], hit[closer] - lag
         lag += 1
         later = later[rank[later] >= lag]
-    at = np.flatnonzero(found >= 0)
-    to = found[at]
-    columns = [doc[at], line[at], doc[to], line[to], best[at].astype(np.int32), passing[at] > 1]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in PAIR.split(", ")])
+    # A posting in a page goes on even without a candidate, unless only equal sets are similar to it.
+    at = np.flatnonzero((found >= 0) | (page >= 0) & (size > 3))
+    to = np.where(found[at] >= 0, found[at], at)
+    more = (passing[at] > 1) | (page[at] >= 0) & (size[at] > 3)
+    columns = [doc[at], mark[at], line[at], doc[to], mark[to], line[to], best[at], more, word[at], page[at]]
+    doc, mark, line, _, to_line, to_doc, to_mark = equal
+    none = np.zeros(len(doc), dtype=np.int64)
+    columns = [np.concatenate(c) for c in zip(columns, [doc, mark, line, to_doc, to_mark, to_line, none - 1, none > 0, none, none])]
+    return _batch(PAIR, columns)
 
 
-def _mark(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    spread = mixed(mixed(doc.astype(np.int64).view(np.uint64), 5) + line.astype(np.uint64), 6)
-    return (spread % np.uint64(MARKS)).astype(np.int64)
+def _spots(doc: np.ndarray, mark: np.ndarray, line: np.ndarray) -> np.ndarray:
+    spread = mixed(mixed(doc.astype(np.int64).view(np.uint64), 5) ^ mark.astype(np.int64).view(np.uint64), 6) + line.astype(np.uint64)
+    return (mixed(spread, 7) % np.uint64(MARKS)).astype(np.int64)
 
 
-def _is_marked(table: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    return (table[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
+def _is_marked(table: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    return (table[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _marked(lines: DataFrame) -> np.ndarray:
-    """Bits for ``lines (doc, line)``, or for words with line 0, in a table of fixed size."""
+def _marked(rows: DataFrame) -> np.ndarray:
+    """Bits for ``rows (doc, mark, line)`` in a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mark = _mark(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((mark >> 3).astype(np.int32)), pa.array(1 << (mark & 7).astype(np.int32))], names=["octet", "bit"]
-            )
-
-    rows = lines.mapInArrow(run, "octet int, bit int").groupBy("octet").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(MARKS // 8, dtype=np.uint8)
-    out[rows["octet"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
-    return out
+            spot = _spots(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            yield _batch("place int, bit int", [spot >> 3, 1 << (spot & 7)])
+
+    bits = rows.mapInArrow(run, "place int, bit int").groupBy("place").agg(F.bit_or("bit").alias("value"))
+    return packed(bits, MARKS // 8)
+
+
+def _similar(said: Column, other: Column) -> Column:
+    """Whether two sets, as joined words, have a Jaccard similarity of 0.8 or more."""
+    mine, theirs = F.split(said, " "), F.split(other, " ")
+    shared = F.size(F.array_intersect(mine, theirs))
+    return 5 * shared >= 4 * (F.size(mine) + F.size(theirs) - shared)
+
+
+SAID = "doc long, mark long, line int, said string"
 
 
 def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs (doc, line, other_doc, other_line)`` whose word sets are similar enough.
+    """The lines of ``pairs`` whose words are similar enough to those of the other line.
 
-    The sets are made again from the texts, for the lines of the pairs only.
+    The words are read again from the texts, for the lines of the pairs only.
     """
-    lines = pairs.select("doc", "line").unionByName(
-        pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
-    )
+    lines = pairs.select(*KEY).unionByName(pairs.select(*[F.col(f"other_{k}").alias(k) for k in KEY]))
     wanted = source.sparkSession.sparkContext.broadcast(_marked(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
         for batch in parts(batches):
-            docs, texts = _texts(batch)
-            for every in words(texts):
-                keep = _is_marked(wanted.value, _mark(docs[every.row], every.line))
-                some = Words(every.row[keep], every.line[keep], every.hashed[keep])
-                for found in _sets_of(some, plain):
-                    ends = np.concatenate([[0], np.cumsum(found.size)]).astype(np.int32)
-                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(found.words)))
-                    columns = [pa.array(docs[found.row]), pa.array(found.line.astype(np.int32)), values]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "words"])
-
-    known = cut(source.mapInArrow(run, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"]), "line-sets")
-    others = known.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
-    joined = pairs.join(known, ["doc", "line"]).join(others, ["other_doc", "other_line"])
-    shared = F.size(F.array_intersect("words", "other_words"))
-    similar = 5 * shared >= 4 * (F.size("words") + F.size("other_words") - shared)
-    return joined.filter(similar).select("doc", "line")
-
-
-def _later(line: str, other: str) -> Column:
-    """Whether a line comes after another one, by id and place."""
-    return (F.col(line) > F.col(other)) | (
-        (F.col(line) == F.col(other)) & (F.col(line.replace("doc", "line")) > F.col(other.replace("doc", "line")))
+            docs, marks, texts = _texts(batch)
+            for found in sets(texts, plain):
+                doc, mark = docs[found.row], marks[found.row]
+                at = np.flatnonzero(_is_marked(wanted.value, _spots(doc, mark, found.line)))
+                yield _batch(SAID, [doc[at], mark[at], found.line[at], [found.said(k) for k in at.tolist()]])
+
+    known = cut(source.mapInArrow(run, SAID).dropDuplicates(KEY), "line-words")
+    others = known.select(*[F.col(c).alias(f"other_{c}") for c in known.columns])
+    joined = pairs.join(known, KEY).join(others, [f"other_{k}" for k in KEY])
+    return joined.filter(_similar(F.col("said"), F.col("other_said"))).select(*KEY)
+
+
+def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> DataFrame:
+    """Lines of ``probes (doc, mark, line, word)`` that are similar to any earlier line posted under that word."""
+    none = F.lit(0)
+    posted = source.sparkSession.sparkContext.broadcast(
+        _marked(probes.select(F.col("word").alias("doc"), none.cast("long").alias("mark"), none.alias("line")).distinct())
     )
+    schema = f"{POSTING}, said string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poster = _Poster(page_rows)
+        for batch in parts(batches):
+            docs, marks, texts = _texts(batch)
+            for found in sets(texts, table.value):
+                columns, _, owner = poster.post(found, docs[found.row], marks[found.row])
+                zero = np.zeros(len(owner), dtype=np.int64)
+                at = np.flatnonzero(_is_marked(posted.value, _spots(columns[0], zero, zero)))
+                said = {k: found.said(k) for k in np.unique(owner[at]).tolist()}
+                yield _batch(schema, [*(c[at] for c in columns), [said[k] for k in owner[at].tolist()]])
+
+    postings = cut(source.mapInArrow(run, schema).drop("page").dropDuplicates(["word", *KEY]), "line-postings")
+    mine = postings.join(probes, ["word", *KEY], "left_semi")
+    others = postings.select("word", *[F.col(c).alias(f"other_{c}") for c in postings.columns if c != "word"])
+    need = F.expr("(4 * (size + other_size) + 8) div 9")
+    reach = F.least("place", "other_place") + F.least(F.expr("size - place"), F.expr("other_size - other_place"))
+    apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in ("sketch", "sketch_too"))
+    alike = 5 * F.least("size", "other_size") >= 4 * F.greatest("size", "other_size")
+    close = (reach >= need) & (apart <= F.expr("size + other_size") - 2 * need)
+    later = F.struct(*KEY) > F.struct(*[F.col(f"other_{k}").alias(k) for k in KEY])
+    pair = (mine["word"] == others["word"]) & later & alike & close & _similar(F.col("said"), F.col("other_said"))
+    return mine.join(others, pair, "left_semi").select(*KEY)
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
-    """``(doc, line)`` of the lines to remove, numbered from 0; ``doc`` is the id, the least long for null."""
-    source, context = _source(df, id_col, text_col), df.sparkSession.sparkContext
-    scan = cut(source.mapInArrow(_scan, SCAN), "line-scan")
-    table = context.broadcast(rarity(scan))
-    every = scan.filter(F.col("line") != BUCKET)
-    firsts = every.groupBy("one", "two").agg(
-        F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")
-    ).filter("n > 1").select("one", "two", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
-    # Written first: joined from a table, the rows of a very common line can be split among tasks.
-    firsts = cut(firsts, "line-firsts")
-    equal = cut(every.join(firsts, ["one", "two"]).filter(_later("doc", "first_doc")).select("doc", "line"), "line-equal")
+    """``(doc, mark, line)`` of the lines to remove, numbered from 0.
 
+    ``doc`` is the id, the least long for null, and ``mark`` a hash of the text, which tells apart
+    different texts of one id and orders them.
+    """
+    source, context = _source(df, id_col, text_col), df.sparkSession.sparkContext
+    table = context.broadcast(rarity(source))
     postings = source.mapInArrow(lambda batches: _postings(table, page_rows, batches), POSTING)
-    dealt = postings.repartition("word", "page").sortWithinPartitions("word", "page", "doc", "line")
+    dealt = postings.repartition("word", "page").sortWithinPartitions("word", "page", *KEY)
     best = cut(dealt.mapInArrow(_best_earlier, PAIR), "line-best")
+    other = [f"other_{k}" for k in KEY]
     chosen = cut(
-        best.groupBy("doc", "line").agg(
-            F.min(F.struct("apart", "other_doc", "other_line")).alias("best"),
-            F.max("more").alias("more"), F.min(F.struct("other_doc", "other_line")).alias("low"),
-            F.max(F.struct("other_doc", "other_line")).alias("high"),
-        ).select("doc", "line", "best.other_doc", "best.other_line", (F.col("more") | (F.col("low") != F.col("high"))).alias("more")),
+        best.filter(F.col("apart") < 1 << 20).groupBy(*KEY).agg(F.min(F.struct("apart", *other)).alias("best"))
+        .select(*KEY, "best.*"),
         "line-chosen",
     )
-    settled = cut(verified(source, chosen.drop("more")).unionByName(equal).distinct(), "line-settled")
-
-    key = ["doc", "line"]
-    unsure = cut(chosen.filter("more").select(key).join(settled, key, "left_anti"), "line-unsure")
-    lines = context.broadcast(_marked(unsure))
-    some = source.mapInArrow(lambda batches: _postings(table, page_rows, batches, lines), POSTING)
-    paged = F.col("page") >= 0
-    probes = cut(
-        some.join(unsure.withColumn("open", F.lit(True)), key, "left").filter(paged | F.col("open"))
-        .join(settled, key, "left_anti").drop("open", "page"),
-        "line-probes",
+    equal = chosen.filter("apart = -1").select(*KEY)
+    settled = cut(verified(source, chosen.filter("apart >= 0").drop("apart")).unionByName(equal).distinct(), "line-settled")
+    # Words that gave a line further candidates than the one verified, or other best ones.
+    open_words = (
+        best.join(chosen.select(*KEY, *[F.col(c).alias(f"best_{c}") for c in other]), KEY, "left")
+        .filter(F.col("more") | ~F.struct(*other).eqNullSafe(F.struct(*[F.col(f"best_{c}").alias(c) for c in other])))
+        .filter("apart >= 0").select(*KEY, "word")
     )
+    probes = cut(open_words.join(settled, KEY, "left_anti").distinct(), "line-probes")
     if probes.isEmpty():
         return settled
-    posted = context.broadcast(_marked(probes.select("word", F.lit(0).alias("line")).distinct()))
-    others = source.mapInArrow(lambda batches: _postings(table, page_rows, batches, None, posted), POSTING)
-    others = others.select("word", *[F.col(c).alias(f"other_{c}") for c in others.columns if c not in ("word", "page")])
-    need = F.expr("(4 * (size + other_size) + 8) div 9")
-    reach = F.least("place", "other_place") + F.least(F.expr("size - place"), F.expr("other_size - other_place"))
-    apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in ("sketch", "sketch_too"))
-    alike = 5 * F.least("size", "other_size") >= 4 * F.greatest("size", "other_size")
-    close = (reach >= need) & (apart <= F.expr("size + other_size") - 2 * need)
-    pairs = cut(
-        probes.join(others, "word").filter(_later("doc", "other_doc") & alike & close)
-        .select("doc", "line", "other_doc", "other_line").distinct()
-        .join(chosen.drop("more"), ["doc", "line", "other_doc", "other_line"], "left_anti"),
-        "line-pairs",
-    )
-    if pairs.isEmpty():
-        return settled
-    return settled.unionByName(verified(source, pairs)).distinct()
+    return settled.unionByName(_further(source, table, page_rows, probes)).distinct()
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row; ``removed`` lists lines from 0 in order.
 
     Lines end at a line feed.  A null text has no line, an empty one has one, which stays.  Null
-    ids come before all others.  Rows that repeat an id are read as one document: lines at the same
-    place share their fate.  Texts of any length and number of lines count whole.  Other columns
-    are not read.
+    ids come before all others.  Different texts of one id, null included, keep their own lines and come in
+    the order of a hash of the text; rows equal in id and text are one document, with the same result.
+    Texts of any length and number of lines count whole.  Other columns are not read.
     """
-    removed = cut(
-        removed_lines(df, id_col, text_col, page_rows).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed")),
-        "line-removed",
+    removed = settled(
+        df.sparkSession, "line-removed",
+        lambda: removed_lines(df, id_col, text_col, page_rows).groupBy("doc", "mark")
+        .agg(F.sort_array(F.collect_set("line")).alias("removed")),
     )
     source = _source(df, id_col, text_col)
     lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    counted = source.select("doc", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"))
+    counted = source.select("doc", "mark", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    return counted.join(removed, "doc", "left").select(
+    return counted.join(removed, ["doc", "mark"], "left").select(
         F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "n_lines",
         F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"),
     )
@@ -452,13 +530,16 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the removed lines taken out of its texts; no row is dropped.
 
-    Texts meet their lists of removed lines by id; a text without any stays as it is.
+    Texts meet their lists of removed lines by id and hash; a text without any stays as it is.  Null ids,
+    repeated ids and rows are treated as by ``line_report``.
     """
-    removed = cut(
-        removed_lines(df, id_col, text_col).groupBy("doc").agg(F.collect_set("line").alias("removed lines")), "line-removed"
+    removed = settled(
+        df.sparkSession, "line-removed",
+        lambda: removed_lines(df, id_col, text_col).groupBy("doc", "mark").agg(F.collect_set("line").alias("removed lines")),
     )
     key = F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)))
-    joined = df.join(removed, key == removed["doc"], "left")
+    mark = F.xxhash64(df[text_col].cast("string"))
+    joined = df.join(removed, (key == removed["doc"]) & (mark == removed["mark"]), "left")
     kept = F.filter(F.split(df[text_col], "\n", -1), lambda _, place: ~F.array_contains("removed lines", place))
     text = F.when(F.col("removed lines").isNull(), df[text_col]).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else df[c] for c in df.columns])

@@ -8,17 +8,21 @@ iteration is one aggregation over the table of sizes, for all sources at once.
 the interval known to hold the solution is replaced by its middle.
 
 Rates become whole copies by counting up the fractions from the longest document of a source to
-the shortest and taking one more copy at each whole number.  The words taken then miss the target
-by about the longest document of the source at most.
+the shortest, from one half on, and taking one more copy at each whole number.  What the words taken
+then miss is settled from the longest documents that fit to the shortest ones, with one copy more
+or one fewer, so that at most about the shortest document of the source is missing in the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civictopics.llm.common import n_words, without
-from civictopics.storage import cut
+from civictopics.llm.common import n_words, parts, without
+from civictopics.storage import cut, settled
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -118,6 +122,36 @@ def balance(sizes: DataFrame, goals: DataFrame, limit: int = MAX_COPIES) -> Data
     return state.select("key", "at", "scale", "full")
 
 
+def settlement(classes: DataFrame) -> DataFrame:
+    """``(key, size, change)``: how many documents of a size get one more copy, or one fewer if negative.
+
+    ``classes (key, size, docs, base, more, missing)``: of ``docs`` documents ``more`` have ``base + 1``
+    copies and the others ``base``; ``missing`` are the words the whole source lacks.  Each source is
+    gone through once from its longest size down, with what is still missing carried along.
+    """
+    schema = "key string, size long, change long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, 0.0
+        for batch in parts(batches, 1 << 16):
+            key, size, room_up, room_down, missing = (c.to_pylist() for c in batch.columns)
+            changes = []
+            for k, s, up, down, m in zip(key, size, room_up, room_down, missing):
+                if k != last:
+                    last, left = k, m
+                change = min(up, int(left // s)) if left > 0 else -min(down, int(-left // s))
+                left -= change * s
+                changes.append(change)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(changes, pa.int64())], names=["key", "size", "change"])
+
+    base, docs, more = F.col("base"), F.col("docs"), F.col("more")
+    limit = F.col("most")
+    up = F.when(base + 1 < limit, docs).when(base + 1 == limit, docs - more).otherwise(0).cast("long")
+    down = F.when(base >= 1, docs).otherwise(more).cast("long")
+    rows = classes.filter("size > 0").select("key", "size", up.alias("up"), down.alias("down"), F.col("missing").cast("double"))
+    return rows.repartition("key").sortWithinPartitions("key", F.desc("size")).mapInArrow(run, schema)
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -132,7 +166,7 @@ def mix(
     ``copies`` is how often the mix takes the document, from 0 to ``limit``, and ``taken`` the
     words this makes.  ``keep`` names the columns that stay (default: all); those named like an
     added one are replaced.  A null source is a source of its own, a null text has size 0; a
-    document of size 0 has rate 1.  Which documents of one source and size get one more copy
+    document of size 0 has rate 1.  Which documents of one source and size get one copy more
     follows hashes of id and text, so reruns agree; rows that are the same in both may swap.  A
     source of nothing but empty texts has target 0.  An empty table gives an empty result.
     """
@@ -148,39 +182,61 @@ def mix(
         "mix-slots",
     )
     n_rows = counted.agg(F.sum("docs")).first()[0] or 0
-    parts = min(SLOTS, 1 + n_rows // PART_ROWS)
-    by_size = cut(counted.groupBy("key", "size").agg(F.sum("docs").alias("docs")), "mix-sizes")
-    per_source = counted.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
-    goals = cut(targets(per_source, weights, limit), "mix-targets")
-    solved = balance(by_size, goals, limit).join(goals, "key")
-    # Fractions of copies counted up from the longest document, then part by part.
-    rated = by_size.join(solved, "key").withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), limit)).otherwise(1.0))
-    # As whole billionths, so that sums do not depend on their order.
-    extra = F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long")
-    ahead = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    rated = cut(
-        rated.withColumn("extra", extra).select(
-            "key", "size", "source_size", "target", "rate", "extra",
-            F.coalesce(F.sum(F.col("extra") * F.col("docs")).over(ahead), F.lit(0)).alias("begun"),
-        ),
-        "mix-rates",
-    )
-    part = F.col("slot") % parts
-    earlier = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.groupBy("key", "size", part.alias("part")).agg(F.sum("docs").alias("docs")).select(
-        "key", "size", "part", F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("offset")
-    )
-    plan = cut(offsets.join(rated, ["key", "size"]), "mix-plan")
+    dealt = min(SLOTS, 1 + n_rows // PART_ROWS)
+    part = F.col("slot") % dealt
+    docs, begun, extra, base = F.col("docs"), F.col("begun"), F.col("extra"), F.col("base")
+
+    def plan() -> DataFrame:
+        by_size = cut(counted.groupBy("key", "size").agg(F.sum("docs").alias("docs")), "mix-sizes")
+        per_source = counted.groupBy("key", "source").agg(F.sum(F.col("size") * docs).alias("source_size"))
+        goals = cut(targets(per_source, weights, limit), "mix-targets")
+        solved = balance(by_size, goals, limit).join(goals, "key")
+        # Fractions of copies counted up from the longest document, then part by part.
+        rated = by_size.join(solved, "key").withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), limit)).otherwise(1.0))
+        # As whole billionths, so that sums do not depend on their order.
+        fraction = F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("long")
+        ahead = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        rated = cut(
+            rated.withColumns({"extra": fraction, "base": F.floor("rate")}).select(
+                "key", "size", "source_size", "target", "rate", "extra", "base", "docs",
+                (F.coalesce(F.sum(extra * docs).over(ahead), F.lit(0)) + UNIT // 2).alias("begun"),
+            ),
+            "mix-rates",
+        )
+        # A class of documents with copies at their limit has no fraction.
+        more = _whole(begun + extra * docs) - _whole(begun)
+        classes = rated.withColumns({"more": more, "most": F.lit(limit)})
+        taken = classes.groupBy("key").agg(
+            (F.max("target") - F.sum(F.col("size") * (base * docs + F.col("more")))).alias("missing")
+        )
+        changes = settlement(classes.join(taken, "key"))
+        rated = cut(rated.drop("docs").join(changes, ["key", "size"], "left").fillna(0, ["change"]), "mix-changes")
+        earlier = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counted.groupBy("key", "size", part.alias("part")).agg(F.sum("docs").alias("docs")).select(
+            "key", "size", "part", F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("offset")
+        )
+        return offsets.join(rated, ["key", "size"])
+
+    planned = settled(df.sparkSession, "mix-plan", plan)
     within = Window.partitionBy("key", "size", "part").orderBy("mark")
-    docs = df.select(F.struct(*[df[c] for c in kept]).alias("row"), key, size, mark.alias("mark"), (slot % parts).alias("part"))
-    numbered = docs.withColumn("rank", F.row_number().over(within))
-    upto = F.col("begun") + F.col("extra") * (F.col("offset") + F.col("rank"))
-    before = upto - F.col("extra")
-    one_more = (upto - F.pmod(upto, F.lit(UNIT)) - before + F.pmod(before, F.lit(UNIT))) / UNIT
-    copies = F.least(F.lit(limit), F.floor("rate") + one_more).cast("long")
+    every = df.select(F.struct(*[df[c] for c in kept]).alias("row"), key, size, mark.alias("mark"), (slot % dealt).alias("part"))
+    place = F.col("offset") + F.col("rank")
+    upto = _whole(begun + extra * place) - _whole(begun)
+    one_more = upto - _whole(begun + extra * (place - 1)) + _whole(begun)
+    # The first documents of a size that can take a change have it.
+    change = F.col("change")
+    rising = F.when(base + 1 < limit, place <= change).otherwise((one_more == 0) & (place - upto <= change))
+    falling = F.when(base >= 1, place <= -change).otherwise((one_more == 1) & (upto <= -change))
+    copies = (base + one_more + F.when((change > 0) & rising, 1).when((change < 0) & falling, -1).otherwise(0)).cast("long")
     return (
-        numbered.join(plan, ["key", "size", "part"])
+        every.withColumn("rank", F.row_number().over(within))
+        .join(planned, ["key", "size", "part"])
         .withColumn("copies", copies)
         .select("row.*", "size", "source_size", "target", "rate", "copies",
                 (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def _whole(billionths: Column) -> Column:
+    """Whole units; the division is of a multiple, so it is exact."""
+    return ((billionths - F.pmod(billionths, F.lit(UNIT))) / UNIT).cast("long")

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civictopics.llm.common import add_columns
-from civictopics.operators.density import connected_components
-from civictopics.storage import cut
+from civictopics.storage import cut, settled
 
 SHINGLE = 3
 SEED = 42
@@ -109,6 +108,62 @@ def similar_fingerprints(fingerprints: DataFrame, cell_rows: int = CELL_ROWS) ->
     return links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``(node, label)`` for every node of ``links (node, other)``; ``label`` is the smallest one it reaches.
+
+    Rounds of large and small stars: first the larger neighbours of each node move to its smallest
+    neighbour, then the smaller ones and itself, until every component is a star around its smallest
+    node.  The joins carry no hint and have one row for a node on one side, so Spark can split a hot one.
+    """
+
+    def lowest(edges: DataFrame) -> DataFrame:
+        return edges.groupBy("node").agg(F.least("node", F.min("other")).alias("low"))
+
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "other"))).first())
+
+    def turned(edges: DataFrame) -> DataFrame:
+        return edges.select(F.col("other").alias("node"), F.col("node").alias("other"))
+
+    edges = cut(links.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct(), "stars")
+    before = mark(edges)
+    while True:
+        both = edges.unionByName(turned(edges))
+        large = cut(
+            both.join(lowest(both), "node").filter("other > node").select(F.col("other").alias("node"), F.col("low").alias("other")).distinct(),
+            "stars",
+        )
+        low = lowest(large)
+        smaller = large.join(low, "node").filter("other <> low").select(F.col("other").alias("node"), F.col("low").alias("other"))
+        edges = cut(smaller.unionByName(low.withColumnRenamed("low", "other")).distinct(), "stars")
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("other").alias("node"), F.col("other").alias("label")).distinct()
+    return edges.withColumnRenamed("other", "label").unionByName(roots)
+
+
+def _rows_and_components(source: DataFrame, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, bits)`` of the rows of ``source (doc_id, mark, text)``, and ``(bits, component_id)``."""
+    rows = cut(with_fingerprints(source, "text", size, seed, keep=["doc_id", "mark"]), "simhash-rows")
+
+    def linked() -> DataFrame:
+        known = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-known")
+        labels = components(cut(similar_fingerprints(known.select("bits")), "simhash-links"))
+        members = labels.select(F.col("node").alias("bits"), "label").join(known, "bits")
+        lowest = members.groupBy("label").agg(F.min("first").alias("lowest"))
+        found = members.join(lowest, "label").select("bits", "lowest")
+        return known.join(found, "bits", "left").select("bits", F.coalesce("lowest", "first").alias("component_id"))
+
+    return rows, settled(source.sparkSession, "simhash-components", linked)
+
+
+def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = df[text_col].cast("string")
+    return df.select(df[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def near_duplicate_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED
 ) -> DataFrame:
@@ -119,29 +174,24 @@ def near_duplicate_groups(
     empty or without words have fingerprint 0, which is linked like any other.  Texts of any length
     count whole.  Repeated rows have the same result.  Extra columns are not read.
     """
-    source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    rows = cut(with_fingerprints(source, "text", size, seed, keep=["doc_id"]), "simhash-rows")
-    known = cut(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-known")
-    links = cut(similar_fingerprints(known.select("bits")), "simhash-links")
-    labels = connected_components(links.select("node").distinct(), links)
-    members = labels.select(F.col("node").alias("bits"), "label").join(known, "bits")
-    lowest = members.groupBy("label").agg(F.min("first").alias("lowest"))
-    linked = members.join(lowest, "label").select("bits", "lowest")
-    components = cut(
-        known.join(linked, "bits", "left").select("bits", F.coalesce("lowest", "first").alias("component_id")),
-        "simhash-components",
-    )
+    rows, found = _rows_and_components(_source(df, id_col, text_col), size, seed)
     # One row for each fingerprint on this side, so Spark can split a frequent one's rows among tasks.
-    return rows.join(components, "bits").select(
+    return rows.join(found, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """The rows of ``df`` whose id is that of their group, with all their columns.
 
-    ``id_col`` should be a key; rows that repeat an id share its fate.
+    Rows without an id stay where no row of their group has one.  Different texts of one id are told
+    apart by a hash of the text; rows equal in both share their fate.  An empty table stays empty.
     """
-    groups = near_duplicate_groups(df, id_col, text_col)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept id"))
-    return df.join(kept, df[id_col].eqNullSafe(kept["kept id"]), "left_semi")
+    rows, found = _rows_and_components(_source(df, id_col, text_col), size, seed)
+    kept = settled(
+        df.sparkSession, "simhash-kept",
+        lambda: rows.join(found, "bits").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias("kept id"), F.col("mark").alias("kept mark")).distinct(),
+    )
+    same = df[id_col].eqNullSafe(kept["kept id"]) & (F.xxhash64(df[text_col].cast("string")) == kept["kept mark"])
+    return df.join(kept, same, "left_semi")

@@ -84,6 +84,54 @@ def test_repeated_rows_and_texts_that_stay(spark):
     assert got == [(1, rows[0][1], 1, "x", "y")] * 2 + [(2, "six seven\n", 1, "x", "y")]
 
 
+def test_different_texts_of_one_id_keep_their_own_lines(spark):
+    texts = ["k1 k2 k3\nk1 k2 k3", "m1 m2\np1 p2 unique line", "k1 k2 k3\nother line here", None, "m2 m1"]
+    rows = [(i, t) for i in (None, 7) for t in texts]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
+    got = [(r[0], r[1]) for r in ld.line_dedup(df.repartition(3)).collect()]
+    assert len(got) == len(rows)
+    # Of each set of words one line stays, under the null id.
+    kept = sorted(frozenset(line.split()) for i, t in got if i is None and t for line in t.split("\n") if line.split())
+    assert sorted(map(sorted, kept)) == sorted(map(sorted, [{"k1", "k2", "k3"}, {"m1", "m2"}, {"p1", "p2", "unique", "line"}, {"other", "line", "here"}]))
+    assert all(not (t or "").split() for i, t in got if i == 7)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_long_words_of_two_letters_differ(spark, size):
+    """The Thue-Morse word and its complement, which polynomial hashes modulo 2^64 take for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(i, f"{word}\n{word} tail") for i, word in enumerate(words)]
+    assert {i: r.removed for i, r in report(spark, rows).items()} == brute(rows) == {0: [], 1: []}
+
+
+def test_hashes_depend_on_every_byte():
+    words = [b"a" * n for n in range(1, 90)] + [b"a" * (n - 1) + b"b" for n in range(1, 90)] + [b"b" + b"a" * (n - 1) for n in range(2, 90)]
+    data = b" ".join(words) + bytes(8)
+    first = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    found = ld.hashed_words(np.frombuffer(data, np.uint8), first, np.array([len(w) for w in words]))
+    assert len(set(found.tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_long_texts_in_slices(spark, monkeypatch, size):
+    monkeypatch.setattr(ld, "SLICE", size)
+    texts = ["one two\nthree\n\nfour five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen\nx y", "\n" * 90 + "end word", "word " * 50]
+    plain = np.zeros(ld.RARITY_BUCKETS, dtype=np.uint8)
+    got = {(int(s.row[k]), int(s.line[k])): (int(s.size[k]), s.said(k)) for s in ld.sets(texts, plain) for k in range(len(s.row))}
+    want = {(i, k): (len(set(line.split())), " ".join(sorted(set(line.split())))) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.split()}
+    assert got == want
+
+
+def test_family_just_below_the_threshold(spark):
+    """Each two lines share 31 of 41 words: no pair is similar, and the join gives out none."""
+    base = [f"b{i}" for i in range(31)]
+    rows = [(i, " ".join([*base, *(f"own{i}x{k}" for k in range(5)), "two", "common"])) for i in range(200)]
+    rows += [(500, " ".join(base)), (501, " ".join(base[::-1]))]
+    got, want = report(spark, rows), brute(rows)
+    assert {i: r.removed for i, r in got.items()} == want
+
+
 def test_filters_never_lose_a_similar_pair():
     r = random.Random(5)
     for _ in range(300):
