@@ -7,13 +7,14 @@ The join orders the words of a line from rare to frequent.  Two similar lines sh
 the first ``n - ceil(0.8 n) + 1`` of either, so only these are posted, and words that occur once
 are left out.  Lines that share a posted word are compared by length, by the place of the word,
 and by a 128-bit parity sketch whose differing bits are at most the words the sets do not share.
-What passes all three is verified on the words themselves.
+What passes all three is verified on the words themselves, unless the two lines are equal: that is
+decided by their sketch, which comes from one 64-bit hash of the words, and the sum of another one.
 
 1. The best earlier candidate of each line and posted word is verified.  Most lines that have a
    similar one are settled here, so a large group of near copies never becomes all its pairs.
-2. Lines not settled meet all postings of those words that gave them further candidates.  These
-   postings carry the words of their line, so that the join itself verifies, and gives out similar
-   lines only, however many of one family lie just below the threshold.
+2. Lines not settled meet all postings of those words that gave them further candidates, under
+   sketches of 512 bits, which hardly let a pair below the threshold pass, however many there are in
+   one family.  The words of these lines come with the first of their postings.
 
 A task posts a set once; lines equal to one that the task has posted are settled at once.  A frequent
 word is posted in pages of bounded size, dealt by the set, so that equal sets share a page; lines of
@@ -63,19 +64,21 @@ def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def hashed_words(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, mixed eight bytes at a time; ``data`` goes on for 8 bytes after the last word."""
+def hashed_words(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, mixed eight bytes at a time; ``data`` goes on for 8 bytes after the last."""
     eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    out = mixed(size.astype(np.uint64), 0x9E3779B9)
+    one, two = mixed(size.astype(np.uint64), 0x9E3779B9), mixed(size.astype(np.uint64), 0x85EBCA6B)
     left, at = np.flatnonzero(size <= SHORT_WORD), 0
     while len(left):
-        rest = np.minimum(size[left] - at, 8)
-        out[left] = mixed(out[left] ^ (eights[first[left] + at] & _TAILS[rest]), 0x632BE5AB)
+        some = eights[first[left] + at] & _TAILS[np.minimum(size[left] - at, 8)]
+        one[left] = mixed(one[left] ^ some, 0x632BE5AB)
+        two[left] = mixed(two[left] + some * np.uint64(0xD6E8FEB86659FD93), 0x1B873593)
         at += 8
         left = left[size[left] > at]
     for k in np.flatnonzero(size > SHORT_WORD).tolist():
-        out[k] = xxhash.xxh64_intdigest(data[first[k] : first[k] + size[k]].tobytes(), 7)
-    return out
+        word = data[first[k] : first[k] + size[k]].tobytes()
+        one[k], two[k] = (xxhash.xxh64_intdigest(word, seed) for seed in (7, 11))
+    return one, two
 
 
 @dataclass
@@ -85,6 +88,7 @@ class Words:
     row: np.ndarray
     line: np.ndarray
     hashed: np.ndarray
+    second: np.ndarray
     first: np.ndarray
     last: np.ndarray
     data: bytes
@@ -132,24 +136,28 @@ def _words_of(held: list[tuple[bytes, int, int]]) -> Words:
     space[-8:] = True
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     last = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-    hashed = hashed_words(data, first, last - first)
+    hashed, second = hashed_words(data, first, last - first)
     begin = np.cumsum([0, *(len(part) + 1 for part, _, _ in held[:-1])])
     breaks = np.flatnonzero(data == 10)
     place = np.searchsorted(begin, first, side="right") - 1
     rows, lines = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2))
     line = np.searchsorted(breaks, first) - np.searchsorted(breaks, begin)[place] + lines[place]
-    return Words(rows[place], line, hashed, first, last, whole)
+    return Words(rows[place], line, hashed, second, first, last, whole)
 
 
 @dataclass
 class Sets:
-    """Word sets of lines, each from its rarest word on: one row per line, words end to end."""
+    """Word sets of lines, each from its rarest word on: one row per line, words end to end.
+
+    ``whole`` is the sum of the second hashes of all words of a line, repeats included.
+    """
 
     row: np.ndarray
     line: np.ndarray
     size: np.ndarray
     start: np.ndarray
     words: np.ndarray
+    whole: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     data: bytes
@@ -175,7 +183,7 @@ def sets(texts: list[str | None], rarity: np.ndarray) -> Iterator[Sets]:
             keys = np.unique((number[lo:hi] - at).astype(np.uint64) << np.uint64(52) | ranked[lo:hi])
             size = np.bincount((keys >> np.uint64(52)).astype(np.int64))
             yield Sets(found.row[chosen[:-1]], found.line[chosen[:-1]], size, np.cumsum(size) - size,
-                       keys & np.uint64((1 << 52) - 1), found.first[chosen[:-1]], found.last[chosen[1:] - 1], found.data)
+                       keys & np.uint64((1 << 52) - 1), np.add.reduceat(found.second[lo:hi], chosen[:-1] - lo), found.first[chosen[:-1]], found.last[chosen[1:] - 1], found.data)
 
 
 def rarity_class(counts: np.ndarray) -> np.ndarray:
@@ -264,7 +272,7 @@ def rarity(source: DataFrame) -> np.ndarray:
     return packed(counts.select("place", value.alias("value")), RARITY_BUCKETS)
 
 
-POSTING = ("word long, page int, doc long, mark long, line int, size int, place int, sketch long, sketch_too long")
+POSTING = "word long, page int, doc long, mark long, line int, size int, place int, whole long, sketch long, sketch_too long"
 # The page of rows that say that a line equals one its task has posted.
 EQUAL = -2
 
@@ -274,22 +282,18 @@ class _Poster:
 
     def __init__(self, page_rows: int):
         self.page_rows = page_rows
-        self.seen: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.seen: dict[tuple[int, int, int], tuple[int, int, int]] = {}
 
     def post(self, found: Sets, doc: np.ndarray, mark: np.ndarray) -> tuple[list[np.ndarray], list[tuple], np.ndarray]:
         """Columns of ``POSTING``, lines equal to an earlier one, and the line of each posting."""
         n = len(found.row)
-        one, two = (np.add.reduceat(mixed(found.words, salt), found.start) for salt in (1, 2))
         spot = mixed(found.words, 3)
-        sketches = [
-            np.bitwise_xor.reduceat(np.where((spot >> np.uint64(57) & np.uint64(1)) == half, np.uint64(1) << (spot >> np.uint64(58)), np.uint64(0)), found.start)
-            for half in (0, 1)
-        ]
+        sketches = parity(found, spot, 2)
         fresh, equal = np.zeros(n, dtype=bool), []
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         order = np.lexsort((found.line, mark, doc))
-        for i, *key, a, b, c in zip(order.tolist(), *(x[order].tolist() for x in (one, two, doc, mark, found.line))):
+        for i, *key, a, b, c in zip(order.tolist(), *(x[order].tolist() for x in (found.whole, *sketches, doc, mark, found.line))):
             key, at = tuple(key), (a, b, c)
             known = self.seen.get(key)
             if known is None or at < known:
@@ -305,11 +309,18 @@ class _Poster:
         owner, place, word = owner[chosen], place[chosen], word[chosen]
         pages = pages_of((word >> np.uint64(HASH_BITS)).astype(np.int64), self.page_rows)
         # Words in one page only have page -1.
-        page = np.where(pages > 1, (one[owner] % pages.astype(np.uint64)).astype(np.int64), -1)
-        columns = [_signed(word), page, doc[owner], mark[owner], found.line[owner], found.size[owner], place, *(_signed(k[owner]) for k in sketches)]
+        page = np.where(pages > 1, (sketches[0][owner] % pages.astype(np.uint64)).astype(np.int64), -1)
+        columns = [_signed(word), page, doc[owner], mark[owner], found.line[owner], found.size[owner], place, _signed(found.whole[owner]), *(_signed(k[owner]) for k in sketches)]
         return columns, equal, owner
 
 
+def parity(found: Sets, spot: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of each line ``n`` times 64 bits, flipped once by each of its words."""
+    part = spot >> np.uint64(52) & np.uint64(n - 1)
+    bit = np.uint64(1) << (spot >> np.uint64(58))
+    return [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), found.start) for k in range(n)]
+
+
 def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the first line of each set in this task, by id and place.
 
@@ -326,7 +337,7 @@ def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Itera
                 to_doc, to_mark, to_line = (np.array(x, dtype=np.int64) for x in zip(*(to for _, to in equal)))
                 dealt = mixed(doc.view(np.uint64) ^ mixed(line.view(np.uint64)))
                 none = np.zeros(len(doc), dtype=np.int64)
-                yield _batch(POSTING, [_signed(dealt), none + EQUAL, doc, mark, line, none, to_line, to_doc, to_mark])
+                yield _batch(POSTING, [_signed(dealt), none + EQUAL, doc, mark, line, none, to_line, to_doc, to_mark, none])
 
 
 PAIR = ("doc long, mark long, line int, other_doc long, other_mark long, other_line int, apart int, more boolean, word long, page int")
@@ -353,7 +364,7 @@ def _best_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
     known = columns[1] == EQUAL
     _, _, *equal = [c[known] for c in columns]
-    word, page, doc, mark, line, size, place, *sketches = [c[~known] for c in columns]
+    word, page, doc, mark, line, size, place, whole, *sketches = [c[~known] for c in columns]
     size, place = size.astype(np.int64), place.astype(np.int64)
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (page[1:] != page[:-1])])[: len(word)]
     rank = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
@@ -370,7 +381,8 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
         ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (reach >= need) & (apart <= a + b - 2 * need)
         # Equal rows post the same line twice.
         ok &= (doc[later] != doc[earlier]) | (mark[later] != mark[earlier]) | (line[later] != line[earlier])
-        hit, near = later[ok], apart[ok]
+        same = (apart == 0) & (a == b) & (whole[later] == whole[earlier])
+        hit, near = later[ok], np.where(same, -1, apart)[ok]
         passing[hit] += 1
         closer = near < best[hit]
         best[hit[closer]], found[hit[closer]] = near[closer], hit[closer] - lag
@@ -379,9 +391,9 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
     # A posting in a page goes on even without a candidate, unless only equal sets are similar to it.
     at = np.flatnonzero((found >= 0) | (page >= 0) & (size > 3))
     to = np.where(found[at] >= 0, found[at], at)
-    more = (passing[at] > 1) | (page[at] >= 0) & (size[at] > 3)
+    more = ((passing[at] > 1) | (page[at] >= 0) & (size[at] > 3)) & (best[at] >= 0)
     columns = [doc[at], mark[at], line[at], doc[to], mark[to], line[to], best[at], more, word[at], page[at]]
-    doc, mark, line, _, to_line, to_doc, to_mark = equal
+    doc, mark, line, _, to_line, to_doc, to_mark, _ = equal
     none = np.zeros(len(doc), dtype=np.int64)
     columns = [np.concatenate(c) for c in zip(columns, [doc, mark, line, to_doc, to_mark, to_line, none - 1, none > 0, none, none])]
     return _batch(PAIR, columns)
@@ -435,42 +447,59 @@ def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_is_marked(wanted.value, _spots(doc, mark, found.line)))
                 yield _batch(SAID, [doc[at], mark[at], found.line[at], [found.said(k) for k in at.tolist()]])
 
-    known = cut(source.mapInArrow(run, SAID).dropDuplicates(KEY), "line-words")
+    return _by_words(pairs, cut(source.mapInArrow(run, SAID), "line-words"))
+
+
+def _by_words(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The lines of ``pairs`` that are similar to the other line, by the words of both in ``known``."""
+    # Equal rows have their lines twice.  This shuffle is the one that the join needs.
+    mine = known.groupBy(*KEY).agg(F.min("said").alias("said"))
     others = known.select(*[F.col(c).alias(f"other_{c}") for c in known.columns])
-    joined = pairs.join(known, KEY).join(others, [f"other_{k}" for k in KEY])
+    others = others.groupBy(*[f"other_{k}" for k in KEY]).agg(F.min("other_said").alias("other_said"))
+    joined = pairs.join(mine, KEY).join(others, [f"other_{k}" for k in KEY])
     return joined.filter(_similar(F.col("said"), F.col("other_said"))).select(*KEY)
 
 
+# 512 bits of a line in one binary value cannot be compared in Spark, so they are eight numbers.
+WIDE = [f"wide{k}" for k in range(8)]
+FURTHER = "word long, doc long, mark long, line int, size int, place int, " + ", ".join(f"{w} long" for w in WIDE) + ", said string"
+
+
 def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> DataFrame:
     """Lines of ``probes (doc, mark, line, word)`` that are similar to any earlier line posted under that word."""
     none = F.lit(0)
     posted = source.sparkSession.sparkContext.broadcast(
         _marked(probes.select(F.col("word").alias("doc"), none.cast("long").alias("mark"), none.alias("line")).distinct())
     )
-    schema = f"{POSTING}, said string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poster = _Poster(page_rows)
         for batch in parts(batches):
             docs, marks, texts = _texts(batch)
             for found in sets(texts, table.value):
-                columns, _, owner = poster.post(found, docs[found.row], marks[found.row])
+                (word, _, doc, mark, line, size, place, *_), _, owner = poster.post(found, docs[found.row], marks[found.row])
                 zero = np.zeros(len(owner), dtype=np.int64)
-                at = np.flatnonzero(_is_marked(posted.value, _spots(columns[0], zero, zero)))
-                said = {k: found.said(k) for k in np.unique(owner[at]).tolist()}
-                yield _batch(schema, [*(c[at] for c in columns), [said[k] for k in owner[at].tolist()]])
-
-    postings = cut(source.mapInArrow(run, schema).drop("page").dropDuplicates(["word", *KEY]), "line-postings")
-    mine = postings.join(probes, ["word", *KEY], "left_semi")
-    others = postings.select("word", *[F.col(c).alias(f"other_{c}") for c in postings.columns if c != "word"])
+                at = np.flatnonzero(_is_marked(posted.value, _spots(word, zero, zero)))
+                if not len(at):
+                    continue
+                wide = parity(found, mixed(found.words, 4), len(WIDE))
+                first = np.concatenate([[True], owner[at][1:] != owner[at][:-1]])
+                said = [found.said(k) if new else None for k, new in zip(owner[at].tolist(), first.tolist())]
+                yield _batch(FURTHER, [*(c[at] for c in (word, doc, mark, line, size, place)), *(_signed(w[owner[at]]) for w in wide), said])
+
+    postings = cut(source.mapInArrow(run, FURTHER), "line-postings")
+    every = postings.drop("said")
+    mine = every.join(probes, ["word", *KEY], "left_semi")
+    others = every.select("word", *[F.col(c).alias(f"other_{c}") for c in every.columns if c != "word"])
     need = F.expr("(4 * (size + other_size) + 8) div 9")
     reach = F.least("place", "other_place") + F.least(F.expr("size - place"), F.expr("other_size - other_place"))
-    apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in ("sketch", "sketch_too"))
+    apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in WIDE)
     alike = 5 * F.least("size", "other_size") >= 4 * F.greatest("size", "other_size")
     close = (reach >= need) & (apart <= F.expr("size + other_size") - 2 * need)
-    later = F.struct(*KEY) > F.struct(*[F.col(f"other_{k}").alias(k) for k in KEY])
-    pair = (mine["word"] == others["word"]) & later & alike & close & _similar(F.col("said"), F.col("other_said"))
-    return mine.join(others, pair, "left_semi").select(*KEY)
+    other = [f"other_{k}" for k in KEY]
+    later = F.struct(*KEY) > F.struct(*[F.col(c).alias(k) for c, k in zip(other, KEY)])
+    pairs = cut(mine.join(others, "word").filter(later & alike & close).select(*KEY, *other).distinct(), "line-pairs")
+    return _by_words(pairs, postings.filter("said is not null").select(*KEY, "said"))
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:

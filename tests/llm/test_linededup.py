@@ -109,8 +109,8 @@ def test_hashes_depend_on_every_byte():
     words = [b"a" * n for n in range(1, 90)] + [b"a" * (n - 1) + b"b" for n in range(1, 90)] + [b"b" + b"a" * (n - 1) for n in range(2, 90)]
     data = b" ".join(words) + bytes(8)
     first = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-    found = ld.hashed_words(np.frombuffer(data, np.uint8), first, np.array([len(w) for w in words]))
-    assert len(set(found.tolist())) == len(set(words))
+    for found in ld.hashed_words(np.frombuffer(data, np.uint8), first, np.array([len(w) for w in words])):
+        assert len(set(found.tolist())) == len(set(words))
 
 
 @pytest.mark.parametrize("size", [1 << 20, 64])
