@@ -689,6 +689,8 @@ SELECT NULL, CAST(substr(source, 4) AS BIGINT), count(*), round(avg(n_chars), 6)
   CASE WHEN strlen(text) >= 60 THEN substr(text, 1, 1) END AS response,
   CASE WHEN strlen(text) < 60 THEN concat(strlen(text), ' bytes are too few') END AS error FROM conversations""",
     "csv_round_trip": "SELECT doc_id AS row_id, text AS proposal_text FROM documents",
+    "csv_split_read": """SELECT doc_id AS row_id, lang, source, md5(text) AS text_md5,
+  length(text) - length(replace(text, chr(10), '')) AS line_breaks FROM documents""",
     "decimal_comma": """SELECT lang, CAST(CAST(substr(source, 4) AS BIGINT) AS VARCHAR) AS source,
   replace(CAST(round(avg(n_chars), 2) AS VARCHAR), '.', ',') AS mean_chars FROM documents GROUP BY 1, 2""",
 }

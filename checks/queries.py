@@ -590,6 +590,17 @@ def csv_round_trip(spark, sf):
     return ps.read_proposals(spark, path)
 
 
+def csv_split_read(spark, sf):
+    """Records of CSV files with line breaks inside quotes, read in ranges."""
+    path = new_path(spark, "documents")
+    ps.write_csv(table(spark, sf, "documents"), path)
+    read = ps.read_proposals(spark, path, schema=None)
+    return read.select(
+        F.col("doc_id").cast("long").alias("row_id"), "lang", "source", F.md5("text").alias("text_md5"),
+        F.regexp_count("text", F.lit("\n")).cast("long").alias("line_breaks"),
+    )
+
+
 def decimal_comma(spark, sf):
     shares = _agreement_by_lang(spark, sf)
     path = new_path(spark, "results")
@@ -618,6 +629,6 @@ QUERIES = {
         classify_word_taxonomy, label_distribution, attach_labels,
         fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,
         align_predictions, kept_rows, grid_scores, grid_leaderboard, run_grid,
-        highest_probability, append_runs, failed_responses, csv_round_trip, decimal_comma,
+        highest_probability, append_runs, failed_responses, csv_round_trip, csv_split_read, decimal_comma,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civictopics.sources.csv_records import read_records
 from civictopics.storage import cut
 
 PROPOSALS = T.StructType([
@@ -21,18 +22,21 @@ BYTE_ORDER_MARK = "\ufeff"
 
 
 def read_proposals(
-    spark: SparkSession, path: str, schema: T.StructType | None = PROPOSALS, sep: str = ","
+    spark: SparkSession, path: str, schema: T.StructType | None = PROPOSALS, sep: str = ",", strict: bool = True
 ) -> DataFrame:
     """Read a UTF-8 CSV with a header and quoted texts that may span lines.
 
     A byte order mark is skipped.  The header names the columns: those of ``schema`` are taken by
     name, in any order, and cast; one that the header lacks is an error.  ``schema=None`` keeps all
-    columns as text.  A file with quoted line breaks cannot be split, so large inputs should come
-    as many files, or better as Parquet.
+    columns as text.  Many tasks read one file, also when its texts have line breaks; ``strict=False``
+    takes files whose quotes do not stand as they should, one task for a file.
     """
-    found = spark.read.csv(
-        path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8"
-    )
+    if strict:
+        found = read_records(spark, path, sep)
+    else:
+        found = spark.read.csv(
+            path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8"
+        )
     if schema is None:
         return found
     missing = [name for name in schema.names if name not in found.columns]
