@@ -464,6 +464,14 @@ EVERY_VECTOR = "every_row AS (SELECT vec_id AS row_id FROM embeddings)"
 
 # --------------------------------------------------------------------------- oracles
 
+# As checks.queries has them.
+RULES = [("s", ""), ("ers", "er"), ("ions", "ion"), ("ed", "er"), ("ed", ""), ("ing", ""), ("ing", "ion"), ("ly", "")]
+HALVES = f"""words AS (
+  SELECT DISTINCT unnest({simple('text')}) AS word FROM documents),
+lexicon AS (
+  SELECT a.word AS token, b.word AS lemma FROM words a JOIN words b ON a.word = b.word || 's' WHERE substr(md5(a.word), 1, 1) < '8'
+  UNION ALL SELECT word, word FROM words WHERE ends_with(word, 'er') OR ends_with(word, 'ion'))"""
+
 ORACLES = {
     "prepare_corpus": with_(
         PREPARED,
@@ -490,6 +498,26 @@ lexicon AS (
 SELECT doc_id AS row_id, coalesce(clean_text, '') AS clean_text FROM documents LEFT JOIN (
   SELECT row_id, string_agg(coalesce(lemma, word), ' ' ORDER BY p) AS clean_text
   FROM t LEFT JOIN lexicon USING (word) GROUP BY row_id) ON row_id = doc_id""",
+    "detached_lemmas": f"""WITH {HALVES},
+rules(ending, replacement, weight) AS (VALUES {', '.join(f"('{a}', '{b}', {8 - i})" for i, (a, b) in enumerate(RULES))}),
+exceptions(word, excepted) AS (VALUES ('the', 'article'), ('and', 'conjunction')),
+found AS (
+  SELECT word, excepted, listed FROM words LEFT JOIN exceptions USING (word)
+  LEFT JOIN (SELECT token AS word, min(lemma) AS listed FROM lexicon GROUP BY token) USING (word)),
+detached AS (
+  SELECT word, first(made ORDER BY length(ending) DESC, weight DESC, made) AS made FROM (
+    SELECT word, ending, weight, left(word, length(word) - length(ending)) || replacement AS made
+    FROM found JOIN rules ON ends_with(word, ending) AND length(word) - length(ending) >= 2
+    WHERE listed IS NULL AND excepted IS NULL)
+  WHERE made IN (SELECT lemma FROM lexicon) GROUP BY word)
+SELECT word, coalesce(excepted, listed, made, word) AS lemma,
+       CASE WHEN excepted IS NOT NULL THEN 'exception' WHEN listed IS NOT NULL THEN 'lexicon'
+            WHEN made IS NOT NULL THEN 'rule' ELSE 'none' END AS found_by
+FROM found LEFT JOIN detached USING (word)""",
+    "induced_rules": f"""WITH {HALVES}
+SELECT right(a.word, n) AS ending, '' AS replacement, count(*) AS weight
+FROM (SELECT word, unnest([2, 3]) AS n FROM words WHERE length(word) > 5) a JOIN words b ON b.word = left(a.word, length(a.word) - n)
+GROUP BY 1 HAVING count(*) >= 3""",
     "clean_text": f"SELECT doc_id AS row_id, {cleaned('text', ('the', 'der', 'que', 'les'))} AS clean_text FROM documents",
     "vocabulary": with_(TOKENS, WORDS_OF, VOCABULARY, last="SELECT * FROM vocab"),
     "topic_term_counts": with_(counts("lang"), last="SELECT * FROM counts"),

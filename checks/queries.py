@@ -15,6 +15,7 @@ from civictopics.operators import coherence as co
 from civictopics.operators import density as de
 from civictopics.operators import embed as em
 from civictopics.operators import labelling as la
+from civictopics.operators import morphology as mr
 from civictopics.operators import prepare as pr
 from civictopics.operators import topics as to
 from civictopics.operators import vocabulary as vo
@@ -174,6 +175,38 @@ def lemmatize_lexicon(spark, sf):
     return pr.lemmatise(tokens, lexicon).select("row_id", F.array_join("tokens", " ").alias("clean_text"))
 
 
+def _halves_of_words(spark, sf):
+    """Words of the texts, and a lexicon of those of them in -s (md5 even) that occur without it too."""
+    tokens = tx.simple_tokens(F.col("proposal_text"))
+    words = cut(proposals(spark, sf).select(F.explode(tokens).alias("word")).distinct(), "words")
+    plural = words.filter(F.endswith("word", F.lit("s")) & (F.substring(F.md5("word"), 1, 1) < "8")).select(
+        F.col("word").alias("token"), F.expr("left(word, length(word) - 1)").alias("lemma")
+    )
+    stems = plural.join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi")
+    # The other words that end in -er or -ion are lemmas as they are.
+    own = words.filter(F.endswith("word", F.lit("er")) | F.endswith("word", F.lit("ion"))).select(F.col("word").alias("token"), F.col("word").alias("lemma"))
+    return words, cut(stems.select("token", "lemma").unionByName(own), "lexicon")
+
+
+RULES = [("s", ""), ("ers", "er"), ("ions", "ion"), ("ed", "er"), ("ed", ""), ("ing", ""), ("ing", "ion"), ("ly", "")]
+EXCEPTIONS = [("the", "article"), ("and", "conjunction")]
+
+
+def detached_lemmas(spark, sf):
+    """Lemmas by exception, lexicon and detachment rules of every word of the texts."""
+    words, lexicon = _halves_of_words(spark, sf)
+    exceptions = spark.createDataFrame(EXCEPTIONS, "token string, lemma string")
+    return mr.lemmas_of(words, lexicon, mr.detachment_rules(spark, RULES), exceptions)
+
+
+def induced_rules(spark, sf):
+    """Rules that pairs of words show which differ by an ending only."""
+    words, _ = _halves_of_words(spark, sf)
+    pairs = words.select(F.col("word").alias("token"), F.explode(F.expr("transform(sequence(2, least(3, char_length(word) - 2)), n -> left(word, char_length(word) - n))")).alias("lemma"))
+    known = pairs.filter(F.char_length("token") > 5).join(words.withColumnRenamed("word", "lemma"), "lemma", "left_semi")
+    return mr.induced_rules(known.select("token", "lemma"), min_pairs=3)
+
+
 def clean_text(spark, sf):
     return proposals(spark, sf).select(
         "row_id", tx.clean_text(F.col("proposal_text"), DROPPED).alias("clean_text")
@@ -618,7 +651,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         prepare_corpus, prepare_null_literal, tokenize_simple, tokenize_model, ngrams_1_2,
-        remove_stopwords, lemmatize_lexicon, clean_text,
+        remove_stopwords, lemmatize_lexicon, detached_lemmas, induced_rules, clean_text,
         vocabulary, topic_term_counts, class_tfidf_topn, class_tfidf_seeded, unmatched_seeds,
         topic_info, topics_found, representative_docs, topic_diversity, npmi_coherence,
         weighted_score,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
 from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
+from civictopics.operators.morphology import full_lexicon
 from civictopics.storage import cut
 
 
@@ -90,12 +91,15 @@ def clean_and_prepare(
     lexicon: DataFrame | None = None,
     min_len: int = 2,
     max_len: int = 15,
+    rules: DataFrame | None = None,
+    exceptions: DataFrame | None = None,
 ) -> DataFrame:
     """``(row_id, original_text, clean_text, tokens)`` of the distinct non-empty texts.
 
     ``original_text`` is the stripped text, ``clean_text`` its tokens joined by spaces.  A text
     that consists of stop words only stays, with no tokens.  ``words`` overrides the stop words
-    of ``language``.
+    of ``language``.  With detachment ``rules`` (see ``morphology``) words that the lexicon does not list
+    are led back to its lemmas, and ``exceptions`` go before both.
     """
     dropped = stop_words(language) if words is None else words
     kept = first_of_each_text(drop_empty(standardise(df, text_col, id_col, null_policy)))
@@ -104,6 +108,9 @@ def clean_and_prepare(
     )
     tokenised = kept.select("row_id", "original_text", tokens.alias("tokens"))
     if lexicon is not None:
+        if rules is not None or exceptions is not None:
+            tokenised = cut(tokenised, "tokenised")
+            lexicon = full_lexicon(tokenised, lexicon, rules, exceptions)
         tokenised = lemmatise(tokenised, lexicon)
     return tokenised.select(
         "row_id", "original_text", F.array_join("tokens", " ").alias("clean_text"), "tokens"
