@@ -464,6 +464,26 @@ EVERY_VECTOR = "every_row AS (SELECT vec_id AS row_id FROM embeddings)"
 
 # --------------------------------------------------------------------------- oracles
 
+PHRASES = f"""texts AS (
+  SELECT doc_id, lang, {counted('text')} AS tokens FROM documents),
+singles AS (
+  SELECT doc_id, lang, tokens, unnest(range(1, len(tokens) + 1)) AS p FROM texts),
+heads AS (
+  SELECT {counted('text')} AS w FROM benchmark),
+seed_parts AS (
+  SELECT unnest([w[1:2], w[1:3], w[3:4]]) AS part FROM heads),
+seed_words AS (
+  SELECT DISTINCT unnest(part) AS word FROM seed_parts
+  UNION SELECT array_to_string(part, ' ') FROM seed_parts WHERE len(part) > 1),
+phrase_counts AS (
+  SELECT lang AS topic, word, count(*) AS cnt FROM (
+    SELECT lang, array_to_string(tokens[p:p + n], ' ') AS word
+    FROM singles CROSS JOIN (SELECT unnest([1, 2]) AS n) WHERE p + n <= len(tokens))
+  WHERE word IN (SELECT array_to_string(part, ' ') FROM seed_parts WHERE len(part) > 1) GROUP BY 1, 2),
+counts AS (
+  SELECT lang AS topic, tokens[p] AS word, count(*) AS cnt FROM singles GROUP BY 1, 2
+  UNION ALL SELECT * FROM phrase_counts)"""
+
 # As checks.queries has them.
 RULES = [("s", ""), ("ers", "er"), ("ions", "ion"), ("ed", "er"), ("ed", ""), ("ing", ""), ("ing", "ion"), ("ly", "")]
 HALVES = f"""words AS (
@@ -529,6 +549,9 @@ GROUP BY 1 HAVING count(*) >= 3""",
         TOKENS, WORDS_OF, VOCABULARY, SEED_WORDS,
         last="SELECT word FROM seed_words WHERE word NOT IN (SELECT word FROM vocab)",
     ),
+    "phrase_counts": with_(PHRASES, last="SELECT * FROM phrase_counts"),
+    "class_tfidf_phrases": with_(PHRASES, tfidf(seeds=True).replace("THEN 2 ELSE 1", "THEN 50 ELSE 1"), top(), last="SELECT * FROM top_words"),
+    "unmatched_phrases": with_(PHRASES, last="SELECT word FROM seed_words WHERE word NOT IN (SELECT word FROM counts)"),
     "topic_info": with_(
         counts("source"), tfidf(), top(),
         last="""SELECT topic, cnt, concat(topic, '_', name) AS name, representation FROM (

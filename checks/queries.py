@@ -16,6 +16,7 @@ from civictopics.operators import density as de
 from civictopics.operators import embed as em
 from civictopics.operators import labelling as la
 from civictopics.operators import morphology as mr
+from civictopics.operators import phrases as ph
 from civictopics.operators import prepare as pr
 from civictopics.operators import topics as to
 from civictopics.operators import vocabulary as vo
@@ -242,6 +243,36 @@ def unmatched_seeds(spark, sf):
     return vo.unmatched_seeds(vo.vocabulary(counted_tokens(spark, sf)), _seed_words(spark, sf))
 
 
+def _phrase_seeds(spark, sf):
+    """The first two and three words of the ``benchmark`` texts, and words 3 and 4, are seeds."""
+    words = tx.model_tokens(F.col("text"))
+    parts = F.array(*[F.array_join(F.slice(words, a, n), " ") for a, n in ((1, 2), (1, 3), (3, 2))])
+    return table(spark, sf, "benchmark").select(F.explode(parts).alias("seed"))
+
+
+def _texts_with_phrases(spark, sf):
+    tokens = proposals(spark, sf).select("row_id", F.col("lang").alias("topic"), tx.model_tokens(F.col("proposal_text")).alias("tokens"))
+    return tokens, ph.seed_phrases(_phrase_seeds(spark, sf))
+
+
+def phrase_counts(spark, sf):
+    """How often each seed phrase occurs in the texts of each language."""
+    found = ph.find_phrases(*_texts_with_phrases(spark, sf))
+    return vo.topic_term_counts(found, tokens_col="phrases")
+
+
+def class_tfidf_phrases(spark, sf):
+    """Heaviest words of each language when seed phrases count as words and are strengthened."""
+    counts = cut(vo.topic_term_counts(ph.with_phrases(*_texts_with_phrases(spark, sf))), "counts")
+    return vo.top_words(vo.class_tfidf(counts, seed_words=ph.seed_terms(_phrase_seeds(spark, sf)), seed_multiplier=50.0))
+
+
+def unmatched_phrases(spark, sf):
+    """Seeds, phrases included, that never occur."""
+    texts, phrases = _texts_with_phrases(spark, sf)
+    return vo.unmatched_seeds(vo.vocabulary(ph.with_phrases(texts, phrases)), ph.seed_terms(_phrase_seeds(spark, sf)))
+
+
 def topic_info(spark, sf):
     tokens = cut(with_topics(spark, sf, counted_tokens(spark, sf), "source"), "tokens")
     counts = cut(vo.topic_term_counts(tokens), "counts")
@@ -653,6 +684,7 @@ QUERIES = {
         prepare_corpus, prepare_null_literal, tokenize_simple, tokenize_model, ngrams_1_2,
         remove_stopwords, lemmatize_lexicon, detached_lemmas, induced_rules, clean_text,
         vocabulary, topic_term_counts, class_tfidf_topn, class_tfidf_seeded, unmatched_seeds,
+        phrase_counts, class_tfidf_phrases, unmatched_phrases,
         topic_info, topics_found, representative_docs, topic_diversity, npmi_coherence,
         weighted_score,
         contingency, coverage, ari, nmi, v_measure, agreement_by_quality,

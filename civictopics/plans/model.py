@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civictopics.operators import embed, topics, vocabulary
+from civictopics.operators import embed, phrases, topics, vocabulary
 from civictopics.operators.density import density_topics
 from civictopics.operators.prepare import with_model_tokens
 from civictopics.sources.taxonomy import seed_texts
@@ -22,7 +22,8 @@ class Settings:
     """How topics are found.  ``nr_topics=None`` means no reduction.
 
     ``frequency_buckets`` is the size of the table of document frequencies.  Words that share a
-    bucket share a weight, so choose it well above the number of words that matter.
+    bucket share a weight, so choose it well above the number of words that matter.  With
+    ``seed_phrases``, seeds of several words are counted and weighted as one word where they occur.
     """
 
     method: str | Callable[[Column], Column] = "hash"
@@ -40,6 +41,7 @@ class Settings:
     words_per_topic: int = 10
     docs_per_topic: int = 3
     seed_multiplier: float = 2.0
+    seed_phrases: bool = True
     seed_weight: tuple[float, float] = (3, 1)
     min_sim: float | None = None
 
@@ -97,19 +99,21 @@ def fit_topics(
     Tokens and vectors stay on the row of their text from start to end: the topic of a cell is
     looked up in a small table, so no text is shuffled by ``row_id``.
     """
-    tokens = cut(
-        with_model_tokens(docs, n_gram_range=settings.n_gram_range)
-        .select("row_id", "clean_text", "tokens"),
-        "tokens",
-    )
+    counted = with_model_tokens(docs, n_gram_range=settings.n_gram_range).select("row_id", "clean_text", "tokens")
+    with_seeds = seed_words is not None and settings.seed_phrases
+    if with_seeds:
+        # Shorter ones are n-grams that the range counts already.
+        longer = phrases.seed_phrases(seed_words).filter(F.size("words") > settings.n_gram_range[1])
+        counted = phrases.find_phrases(counted, longer)
+    tokens = cut(counted, "tokens")
     idf = embed.inverse_frequencies(tokens, settings.frequency_buckets) if settings.method == "hash" else None
     embedded = _embedded(tokens, settings, idf, vectors)
     if seed_topics is not None:
         # Precomputed vectors say nothing about seed texts, so guidance needs an encoder.
         if settings.method == "precomputed":
             raise ValueError("seed topics need method='hash' or a callable")
-        phrases = with_model_tokens(seed_texts(seed_topics))
-        seeds = _embedded(phrases, settings, idf, None).select(
+        joined = with_model_tokens(seed_texts(seed_topics))
+        seeds = _embedded(joined, settings, idf, None).select(
             F.col("row_id").alias("topic"), "embedding"
         )
         embedded = topics.seed_guide(cut(embedded, "embedded"), seeds, settings.seed_weight)
@@ -125,9 +129,13 @@ def fit_topics(
         ).drop("reduced"),
         "assigned",
     )
-    boosted = None if seed_words is None else vocabulary.seed_tokens(seed_words)
+    boosted = None
+    if seed_words is not None:
+        boosted = phrases.seed_terms(seed_words) if with_seeds else vocabulary.seed_tokens(seed_words)
 
     def weights_of(rows: DataFrame) -> DataFrame:
+        if with_seeds:
+            rows = rows.withColumn("tokens", F.concat("tokens", "phrases"))
         counts = cut(vocabulary.topic_term_counts(rows), "counts")
         return vocabulary.class_tfidf(counts, (), boosted, settings.seed_multiplier)
 
