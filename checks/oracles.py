@@ -464,6 +464,18 @@ EVERY_VECTOR = "every_row AS (SELECT vec_id AS row_id FROM embeddings)"
 
 # --------------------------------------------------------------------------- oracles
 
+SIMILAR = f"""texts AS (
+  SELECT doc_id AS row_id, list_sort({counted('text')}) AS tokens FROM documents),
+classes AS (SELECT tokens, min(row_id) AS representative, count(*) AS class_size FROM texts GROUP BY tokens),
+tf AS (
+  SELECT representative AS r, word, count(*) AS tf FROM (SELECT representative, unnest(tokens) AS word FROM classes) GROUP BY ALL),
+raw AS (
+  SELECT r, word, tf * ln((SELECT count(*) FROM classes) / CAST(count(*) OVER (PARTITION BY word) AS DOUBLE)) AS w FROM tf),
+unit AS (SELECT r, word, w / sqrt(sum(w * w) OVER (PARTITION BY r)) AS w FROM raw WHERE w > 0),
+links AS (
+  SELECT a.r AS representative, b.r AS other, round(sum(a.w * b.w), 9) AS sim
+  FROM unit a JOIN unit b ON a.word = b.word AND a.r <> b.r GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.8)"""
+
 PHRASES = f"""texts AS (
   SELECT doc_id, lang, {counted('text')} AS tokens FROM documents),
 singles AS (
@@ -552,6 +564,16 @@ GROUP BY 1 HAVING count(*) >= 3""",
     "phrase_counts": with_(PHRASES, last="SELECT * FROM phrase_counts"),
     "class_tfidf_phrases": with_(PHRASES, tfidf(seeds=True).replace("THEN 2 ELSE 1", "THEN 50 ELSE 1"), top(), last="SELECT * FROM top_words"),
     "unmatched_phrases": with_(PHRASES, last="SELECT word FROM seed_words WHERE word NOT IN (SELECT word FROM counts)"),
+    "similar_texts": with_(SIMILAR, last="""SELECT row_id, representative,
+  CAST(class_size - 1 + coalesce(around, 0) AS BIGINT) AS n_links FROM texts JOIN classes USING (tokens) LEFT JOIN (
+    SELECT l.representative, sum(c.class_size) AS around FROM links l JOIN classes c ON c.representative = l.other GROUP BY 1)
+  USING (representative)"""),
+    "similar_text_links": with_(SIMILAR, last="SELECT representative, other, round(sim, 6) AS sim FROM links"),
+    "nearest_of_many": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (
+  SELECT a.vec_id AS row_id, b.vec_id AS topic, round(list_cosine_similarity(list_reverse(a.e), b.e), 9) AS sim FROM v a CROSS JOIN v b)
+SELECT row_id, first(topic ORDER BY sim DESC, topic) AS topic, round(greatest(0, least(1, max(sim))), 6) AS probability
+FROM sims GROUP BY row_id""",
     "topic_info": with_(
         counts("source"), tfidf(), top(),
         last="""SELECT topic, cnt, concat(topic, '_', name) AS name, representation FROM (

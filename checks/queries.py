@@ -18,6 +18,7 @@ from civictopics.operators import labelling as la
 from civictopics.operators import morphology as mr
 from civictopics.operators import phrases as ph
 from civictopics.operators import prepare as pr
+from civictopics.operators import similar as si
 from civictopics.operators import topics as to
 from civictopics.operators import vocabulary as vo
 from civictopics.plans import evaluation as ev
@@ -391,6 +392,29 @@ def assign_nearest(spark, sf):
     return rounded(found.select("row_id", "topic", "probability"))
 
 
+def nearest_of_many(spark, sf):
+    """For the mirror image of every vector the most similar of all vectors, which do not all go to the tasks."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    mirrored = vectors.select("row_id", F.reverse("embedding").alias("embedding"))
+    targets = vectors.withColumnRenamed("row_id", "topic")
+    return rounded(to.assign_nearest(mirrored, targets, most_targets=100).select("row_id", "topic", "probability"))
+
+
+def _similar(spark, sf):
+    tokens = tx.model_tokens(F.col("proposal_text"))
+    return si.similar_texts(proposals(spark, sf).select("row_id", tokens.alias("tokens")))
+
+
+def similar_texts(spark, sf):
+    """The class of every text, and to how many other texts it is similar."""
+    return _similar(spark, sf).link_counts()
+
+
+def similar_text_links(spark, sf):
+    """Similar classes of texts, by their representatives."""
+    return rounded(_similar(spark, sf).links)
+
+
 def seed_guide(spark, sf):
     """The centroids are the seed topics."""
     vectors = cut(labelled_embeddings(spark, sf), "vectors")
@@ -689,7 +713,7 @@ QUERIES = {
         weighted_score,
         contingency, coverage, ari, nmi, v_measure, agreement_by_quality,
         hash_embed, random_projection, pca, similar_cells, density_topics, topic_centroids,
-        assign_nearest, seed_guide, reduce_topics,
+        assign_nearest, nearest_of_many, similar_texts, similar_text_links, seed_guide, reduce_topics,
         taxonomy_usage, seed_groups, prompt_build, validate_response, classify_two_level,
         classify_word_taxonomy, label_distribution, attach_labels,
         fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,

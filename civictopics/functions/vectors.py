@@ -78,37 +78,26 @@ def projected(matrix: np.ndarray) -> Callable[[Column], Column]:
     return F.arrow_udf(project, returnType="array<double>")
 
 
-def nearest_of(
-    spark: SparkSession, blocks: list[tuple[np.ndarray, np.ndarray]]
-) -> Callable[[Column], Column]:
-    """Vector -> ``struct<topic, sim>`` of the most similar row of all blocks ``(ids, vectors)``.
+def nearest_of(spark: SparkSession, block: tuple[np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
+    """Vector -> ``struct<topic, sim>`` of the most similar row of ``block (ids, vectors)``.
 
-    Similarities are rounded before they are compared; ties go to the first row.  Each block is
-    broadcast by itself, and one function goes through them, so the plan does not grow with them.
+    Similarities are rounded before they are compared; ties go to the first row.
     """
-    shared = []
-    for ids, vectors in blocks:
-        norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-        shared.append(spark.sparkContext.broadcast((ids, unit)))
+    ids, vectors = block
+    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    shared = spark.sparkContext.broadcast((ids, np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)))
 
     def best(vectors: pa.Array) -> pa.Array:
         import numpy as np
         import pyarrow as pa
 
-        width = shared[0].value[1].shape[1]
-        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)
+        ids, unit = shared.value
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), unit.shape[1])
         length = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = np.divide(x, length, out=np.zeros_like(x, dtype=np.float64), where=length > 0)
-        topic, top = np.zeros(len(x), dtype=np.int64), np.full(len(x), -np.inf)
-        for block in shared:
-            ids, unit = block.value
-            sims = np.round(x @ unit.T, 9)
-            at = sims.argmax(axis=1)
-            sim = sims[np.arange(len(at)), at]
-            better = sim > top
-            topic[better], top[better] = ids[at[better]], sim[better]
-        return pa.StructArray.from_arrays([pa.array(topic), pa.array(top)], ["topic", "sim"])
+        sims = np.round(x @ unit.T, 9)
+        at = sims.argmax(axis=1)
+        return pa.StructArray.from_arrays([pa.array(ids[at]), pa.array(sims[np.arange(len(at)), at])], ["topic", "sim"])
 
     return F.arrow_udf(best, returnType="struct<topic:bigint,sim:double>")
 

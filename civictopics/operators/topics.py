@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civictopics.functions import vectors as vx
+from civictopics.operators.nearest import nearest_of_many
 from civictopics.storage import cut
 
-# Target vectors sent to the tasks at a time.
+# Target vectors that may be sent to the tasks.
 TARGETS_PER_BLOCK = 4096
 
 
@@ -39,39 +39,36 @@ def centroids(
     )
 
 
-def _blocks(targets: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    rows = targets.select(F.col("topic").cast("long").alias("topic"), "embedding").orderBy("topic")
-    stream = rows.toLocalIterator()
-    while block := list(islice(stream, size)):
-        yield (
-            np.array([row["topic"] for row in block], dtype=np.int64),
-            np.array([row["embedding"] for row in block], dtype=np.float64),
-        )
-
-
 def assign_nearest(
     df: DataFrame,
     targets: DataFrame,
     vector_col: str = "embedding",
     min_sim: float | None = None,
-    block: int = TARGETS_PER_BLOCK,
+    most_targets: int = TARGETS_PER_BLOCK,
+    id_col: str = "row_id",
 ) -> DataFrame:
     """Adds ``topic`` and ``probability`` of the most similar row of ``targets (topic, embedding)``.
 
     ``probability`` is the cosine clipped to [0, 1]; below ``min_sim`` the topic is -1.  Ties go to
-    the smallest topic.  Targets go out in blocks of a fixed size, and the best of all blocks
-    wins, so the result is exact for any number of them.  Targets are the topics of a model; they
-    pass through the driver, so their number must stay far below that of texts.  Rows are not
-    shuffled.
+    the smallest topic.  Up to ``most_targets`` targets go to the tasks, and rows are not shuffled; beyond
+    that targets stay in Spark (``nearest_of_many``) and the result is joined by ``id_col``, a key.
     """
     rest = [c for c in df.columns if c not in ("topic", "probability")]
-    blocks = list(_blocks(targets, block))
-    if not blocks:
+    known = targets.select(F.col("topic").cast("long").alias("topic"), "embedding")
+    few = known.limit(most_targets + 1).collect()
+    if not few:
         return df.select(
             *rest, F.lit(-1).cast("long").alias("topic"), F.lit(None).cast("double").alias("probability")
         )
-    best = vx.nearest_of(df.sparkSession, blocks)(F.col(vector_col))
-    scored = df.select(*rest, best.alias("_best"))
+    if len(few) > most_targets:
+        found = cut(nearest_of_many(df, known, id_col, vector_col), "nearest").select(
+            F.col("id").alias(id_col), F.struct("topic", "sim").alias("_best")
+        )
+        scored = df.select(*rest).join(found, id_col, "left").select(*rest, "_best")
+    else:
+        few.sort(key=lambda row: row["topic"])
+        block = (np.array([row["topic"] for row in few], dtype=np.int64), np.array([row["embedding"] for row in few], dtype=np.float64))
+        scored = df.select(*rest, vx.nearest_of(df.sparkSession, block)(F.col(vector_col)).alias("_best"))
     topic = F.col("_best.topic")
     if min_sim is not None:
         topic = F.when(F.col("_best.sim") >= min_sim, topic).otherwise(F.lit(-1).cast("long"))

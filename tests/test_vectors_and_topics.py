@@ -148,18 +148,6 @@ def test_copies_of_all_texts_change_no_group(spark):
     assert len(set(once.values())) >= 4
 
 
-@pytest.mark.parametrize("blocks", [1, 64])
-def test_nearest_of_many_blocks(spark, blocks):
-    """The plan does not grow with the blocks, and they give what one block gives."""
-    rng = np.random.default_rng(2)
-    targets = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(128)], "topic long, embedding array<double>")
-    df = vectors(spark, rng.normal(size=(50, 4)), "embedding")
-    found = to.assign_nearest(df, targets, block=128 // blocks)
-    whole = to.assign_nearest(df, targets)
-    assert sorted(map(tuple, found.select("row_id", "topic").collect())) == sorted(map(tuple, whole.select("row_id", "topic").collect()))
-    assert len(found._jdf.queryExecution().analyzed().toString()) < 3000
-
-
 def test_components_of_a_long_chain(spark):
     n = 60
     order = list(range(n))
@@ -173,7 +161,7 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(n)}, 100: 100, 101: 100, 200: 200}
 
 
-def test_nearest_in_blocks(spark):
+def test_nearest_of_few_and_of_many(spark):
     rng = np.random.default_rng(6)
     x, c = rng.normal(size=(40, 4)), rng.normal(size=(9, 4))
     c[7] = c[2]
@@ -181,8 +169,8 @@ def test_nearest_in_blocks(spark):
         [(i, v.tolist()) for i, v in enumerate(c)], "topic long, embedding array<double>"
     )
     sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 9)
-    for block in (4096, 4):
-        got = to.assign_nearest(vectors(spark, x), targets, block=block).orderBy("row_id").collect()
+    for most in (4096, 4):
+        got = to.assign_nearest(vectors(spark, x), targets, most_targets=most).orderBy("row_id").collect()
         assert [r.topic for r in got] == sims.argmax(axis=1).tolist()
         assert np.allclose([r.probability for r in got], np.clip(sims.max(axis=1), 0, 1))
 
