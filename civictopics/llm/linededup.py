@@ -14,7 +14,7 @@ decided by their sketch, which comes from one 64-bit hash of the words, and the
    similar one are settled here, so a large group of near copies never becomes all its pairs.
 2. Lines not settled meet all postings of those words that gave them further candidates, under
    sketches of 512 bits, which hardly let a pair below the threshold pass, however many there are in
-   one family.  The words of these lines come with the first of their postings.
+   one family.  These pairs, few by then, are verified in the same way.
 
 A task posts a set once; lines equal to one that the task has posted are settled at once.  A frequent
 word is posted in pages of bounded size, dealt by the set, so that equal sets share a page; lines of
@@ -447,12 +447,8 @@ def verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_is_marked(wanted.value, _spots(doc, mark, found.line)))
                 yield _batch(SAID, [doc[at], mark[at], found.line[at], [found.said(k) for k in at.tolist()]])
 
-    return _by_words(pairs, cut(source.mapInArrow(run, SAID), "line-words"))
-
-
-def _by_words(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The lines of ``pairs`` that are similar to the other line, by the words of both in ``known``."""
-    # Equal rows have their lines twice.  This shuffle is the one that the join needs.
+    known = cut(source.mapInArrow(run, SAID), "line-words")
+    # Equal rows have their lines twice.  These shuffles are the ones that the joins need.
     mine = known.groupBy(*KEY).agg(F.min("said").alias("said"))
     others = known.select(*[F.col(c).alias(f"other_{c}") for c in known.columns])
     others = others.groupBy(*[f"other_{k}" for k in KEY]).agg(F.min("other_said").alias("other_said"))
@@ -462,15 +458,16 @@ def _by_words(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 # 512 bits of a line in one binary value cannot be compared in Spark, so they are eight numbers.
 WIDE = [f"wide{k}" for k in range(8)]
-FURTHER = "word long, doc long, mark long, line int, size int, place int, " + ", ".join(f"{w} long" for w in WIDE) + ", said string"
+FURTHER = "word long, doc long, mark long, line int, size int, place int, " + ", ".join(f"{w} long" for w in WIDE) + ", probing boolean"
 
 
 def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> DataFrame:
     """Lines of ``probes (doc, mark, line, word)`` that are similar to any earlier line posted under that word."""
-    none = F.lit(0)
-    posted = source.sparkSession.sparkContext.broadcast(
+    none, context = F.lit(0), source.sparkSession.sparkContext
+    posted = context.broadcast(
         _marked(probes.select(F.col("word").alias("doc"), none.cast("long").alias("mark"), none.alias("line")).distinct())
     )
+    asking = context.broadcast(_marked(probes.select(*KEY).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poster = _Poster(page_rows)
@@ -480,17 +477,15 @@ def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> Dat
                 (word, _, doc, mark, line, size, place, *_), _, owner = poster.post(found, docs[found.row], marks[found.row])
                 zero = np.zeros(len(owner), dtype=np.int64)
                 at = np.flatnonzero(_is_marked(posted.value, _spots(word, zero, zero)))
-                if not len(at):
-                    continue
-                wide = parity(found, mixed(found.words, 4), len(WIDE))
-                first = np.concatenate([[True], owner[at][1:] != owner[at][:-1]])
-                said = [found.said(k) if new else None for k, new in zip(owner[at].tolist(), first.tolist())]
-                yield _batch(FURTHER, [*(c[at] for c in (word, doc, mark, line, size, place)), *(_signed(w[owner[at]]) for w in wide), said])
+                if len(at):
+                    wide = parity(found, mixed(found.words, 4), len(WIDE))
+                    probing = _is_marked(asking.value, _spots(doc[at], mark[at], line[at]))
+                    yield _batch(FURTHER, [*(c[at] for c in (word, doc, mark, line, size, place)), *(_signed(w[owner[at]]) for w in wide), probing])
 
     postings = cut(source.mapInArrow(run, FURTHER), "line-postings")
-    every = postings.drop("said")
-    mine = every.join(probes, ["word", *KEY], "left_semi")
-    others = every.select("word", *[F.col(c).alias(f"other_{c}") for c in every.columns if c != "word"])
+    # Marks let some lines through by chance; the join has the last word.
+    mine = postings.filter("probing").drop("probing").join(probes, ["word", *KEY], "left_semi")
+    others = postings.select("word", *[F.col(c).alias(f"other_{c}") for c in postings.columns if c not in ("word", "probing")])
     need = F.expr("(4 * (size + other_size) + 8) div 9")
     reach = F.least("place", "other_place") + F.least(F.expr("size - place"), F.expr("other_size - other_place"))
     apart = sum(F.bit_count(F.col(k).bitwiseXOR(F.col(f"other_{k}"))) for k in WIDE)
@@ -499,7 +494,7 @@ def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> Dat
     other = [f"other_{k}" for k in KEY]
     later = F.struct(*KEY) > F.struct(*[F.col(c).alias(k) for c, k in zip(other, KEY)])
     pairs = cut(mine.join(others, "word").filter(later & alike & close).select(*KEY, *other).distinct(), "line-pairs")
-    return _by_words(pairs, postings.filter("said is not null").select(*KEY, "said"))
+    return pairs.select(*KEY) if pairs.isEmpty() else verified(source, pairs)
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
