@@ -10,18 +10,18 @@ and by a 128-bit parity sketch whose differing bits are at most the words the se
 What passes all three is verified on the words themselves, unless the two lines are equal: that is
 decided by their sketch, which comes from one 64-bit hash of the words, and the sum of another one.
 
-1. The best earlier candidate of each line and posted word is verified.  Most lines that have a
-   similar one are settled here, so a large group of near copies never becomes all its pairs.
-2. Lines not settled meet all postings of those words that gave them further candidates, under
+1. The best earlier candidate of each line is verified.  Most lines that have a similar one are
+   settled here, so a large group of near copies never becomes all its pairs.
+2. Of lines not settled, up to eight candidates by each posted word are verified.
+3. Lines still not settled meet all postings of those words that gave them more than these, under
    sketches of 512 bits, which hardly let a pair below the threshold pass, however many there are in
    one family.  These pairs, few by then, are verified in the same way.
 
-A task posts a set once; lines equal to one that the task has posted are settled at once.  A word with
-very many postings is posted in pages of bounded size, dealt by the set, so that equal sets share a page;
-lines of four words or more that their own page does not settle take part in step 2, whose join Spark
-can split (sets of fewer words are similar to equal sets only).  Rarity comes from counts in a fixed
-number of buckets; any order of words gives the same result, a good one posts fewer common words.  The
-postings of frequent words are counted in buckets too, as such a word is seldom among the first of a line.
+A task posts a set once; lines equal to one that the task has posted are settled at once.  A frequent
+word is posted in pages of bounded size, dealt by the set, so that equal sets share a page; lines of
+four words or more that their own page does not settle take part in step 3, whose join Spark can
+split (sets of fewer words are similar to equal sets only).  Rarity comes from counts in a fixed number
+of buckets; any order of words gives the same result, a good one posts fewer common words.
 """
 
 from __future__ import annotations
@@ -39,12 +39,14 @@ from civictopics.llm.common import parts, pieces
 from civictopics.storage import cut, settled
 
 RARITY_BUCKETS = 1 << 22
-# Words with more postings are posted in pages of about so many.
+# Words with more occurrences are posted in pages of about so many.
 PAGE_ROWS = 1 << 17
 # Lines to verify are marked in so many bits; lines marked by chance are read in vain.
 MARKS = 1 << 27
 # Sets that a task remembers to have posted; when there are more, it may post some again.
 REMEMBERED = 200_000
+# Candidates of a posting that are named; step 3 takes all when there are more.
+NAMED = 8
 SLICE = 1 << 20
 LINES = 4096
 HASH_BITS = 46
@@ -267,12 +269,7 @@ def rarity(source: DataFrame) -> np.ndarray:
             part = used[at : at + (1 << 18)]
             yield _batch("place int, n long", [part, total[part]])
 
-    return _classes(source.mapInArrow(run, "place int, n long"))
-
-
-def _classes(rows: DataFrame) -> np.ndarray:
-    """Classes of the summed counts of ``rows (place int, n long)``."""
-    counts = rows.groupBy("place").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     # The class as rarity_class has it; the logarithm never meets a whole number from below.
     value = F.least(F.lit(63), F.floor(2 * F.log2(F.col("n").cast("double")) + 1e-9)).cast("int")
     return packed(counts.select("place", value.alias("value")), RARITY_BUCKETS)
@@ -283,37 +280,11 @@ POSTING = "word long, page int, doc long, mark long, line int, size int, place i
 EQUAL = -2
 
 
-def _posting_bucket(word: np.ndarray) -> np.ndarray:
-    return (word >> np.uint64(HASH_BITS - 22) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64)
-
-
-def posting_classes(source: DataFrame, table, page_rows: int) -> np.ndarray:
-    """Like ``rarity``, the classes of the postings in each bucket of words; 0 where no word is frequent."""
-    if int(pages_of(np.array([table.value.max(initial=0)]), page_rows)[0]) == 1:
-        return np.zeros(RARITY_BUCKETS, dtype=np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
-        for batch in parts(batches):
-            for found in sets(_texts(batch)[2], table.value):
-                length = prefix_length(found.size)
-                owner = np.repeat(np.arange(len(length)), length)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-                word = found.words[found.start[owner] + place]
-                word = word[pages_of((word >> np.uint64(HASH_BITS)).astype(np.int64), page_rows) > 1]
-                at, number = np.unique(_posting_bucket(word), return_counts=True)
-                total[at] += number
-        used = np.flatnonzero(total)
-        yield _batch("place int, n long", [used, total[used]])
-
-    return _classes(source.mapInArrow(run, "place int, n long"))
-
-
 class _Poster:
     """What a task posts of its lines."""
 
-    def __init__(self, page_rows: int, posted: np.ndarray):
-        self.page_rows, self.posted = page_rows, posted
+    def __init__(self, page_rows: int):
+        self.page_rows = page_rows
         self.seen: dict[tuple[int, int, int], tuple[int, int, int]] = {}
 
     def post(self, found: Sets, doc: np.ndarray, mark: np.ndarray) -> tuple[list[np.ndarray], list[tuple], np.ndarray]:
@@ -339,8 +310,7 @@ class _Poster:
         word = found.words[found.start[owner] + place]
         chosen = word >> np.uint64(HASH_BITS) > 0
         owner, place, word = owner[chosen], place[chosen], word[chosen]
-        pages = pages_of(self.posted[_posting_bucket(word)], self.page_rows)
-        pages = np.where(pages_of((word >> np.uint64(HASH_BITS)).astype(np.int64), self.page_rows) > 1, pages, 1)
+        pages = pages_of((word >> np.uint64(HASH_BITS)).astype(np.int64), self.page_rows)
         # Words in one page only have page -1.
         page = np.where(pages > 1, (sketches[0][owner] % pages.astype(np.uint64)).astype(np.int64), -1)
         columns = [_signed(word), page, doc[owner], mark[owner], found.line[owner], found.size[owner], place, _signed(found.whole[owner]), *(_signed(k[owner]) for k in sketches)]
@@ -354,12 +324,12 @@ def parity(found: Sets, spot: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), found.start) for k in range(n)]
 
 
-def _postings(table, posted, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(table, page_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the first line of each set in this task, by id and place.
 
     Lines equal to one of these come with the place of that one where others have their sketch.
     """
-    poster = _Poster(page_rows, posted.value)
+    poster = _Poster(page_rows)
     for batch in parts(batches):
         docs, marks, texts = _texts(batch)
         for found in sets(texts, table.value):
@@ -404,6 +374,7 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
     best, found = np.full(len(word), 1 << 20, dtype=np.int64), np.full(len(word), -1)
     passing = np.zeros(len(word), dtype=np.int64)
     later = np.flatnonzero(rank)
+    named: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     lag = 1
     while len(later):
         earlier = later - lag
@@ -416,6 +387,8 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
         ok &= (doc[later] != doc[earlier]) | (mark[later] != mark[earlier]) | (line[later] != line[earlier])
         same = (apart == 0) & (a == b) & (whole[later] == whole[earlier])
         hit, near = later[ok], np.where(same, -1, apart)[ok]
+        first = passing[hit] < NAMED
+        named.append((hit[first], hit[first] - lag, near[first]))
         passing[hit] += 1
         closer = near < best[hit]
         best[hit[closer]], found[hit[closer]] = near[closer], hit[closer] - lag
@@ -424,8 +397,13 @@ def _compared(columns: list[np.ndarray]) -> pa.RecordBatch:
     # A posting in a page goes on even without a candidate, unless only equal sets are similar to it.
     at = np.flatnonzero((found >= 0) | (page >= 0) & (size > 3))
     to = np.where(found[at] >= 0, found[at], at)
-    more = ((passing[at] > 1) | (page[at] >= 0) & (size[at] > 3)) & (best[at] >= 0)
-    columns = [doc[at], mark[at], line[at], doc[to], mark[to], line[to], best[at], more, word[at], page[at]]
+    more = ((passing[at] > NAMED) | (page[at] >= 0) & (size[at] > 3)) & (best[at] >= 0)
+    # An equal line needs no other candidate.
+    others = [np.concatenate(c) for c in zip(*named)] if named else [at[:0]] * 3
+    other = (best[others[0]] >= 0) & (found[others[0]] != others[1])
+    at, to, near = (np.concatenate(c) for c in zip((at, to, best[at]), (x[other] for x in others)))
+    more = np.concatenate([more, np.zeros(other.sum(), dtype=bool)])
+    columns = [doc[at], mark[at], line[at], doc[to], mark[to], line[to], near, more, word[at], page[at]]
     doc, mark, line, _, to_line, to_doc, to_mark, _ = equal
     none = np.zeros(len(doc), dtype=np.int64)
     columns = [np.concatenate(c) for c in zip(columns, [doc, mark, line, to_doc, to_mark, to_line, none - 1, none > 0, none, none])]
@@ -494,7 +472,7 @@ WIDE = [f"wide{k}" for k in range(8)]
 FURTHER = "word long, doc long, mark long, line int, size int, place int, " + ", ".join(f"{w} long" for w in WIDE) + ", probing boolean"
 
 
-def _further(source: DataFrame, table, counted, page_rows: int, probes: DataFrame) -> DataFrame:
+def _further(source: DataFrame, table, page_rows: int, probes: DataFrame) -> DataFrame:
     """Lines of ``probes (doc, mark, line, word)`` that are similar to any earlier line posted under that word."""
     none, context = F.lit(0), source.sparkSession.sparkContext
     posted = context.broadcast(
@@ -503,7 +481,7 @@ def _further(source: DataFrame, table, counted, page_rows: int, probes: DataFram
     asking = context.broadcast(_marked(probes.select(*KEY).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poster = _Poster(page_rows, counted.value)
+        poster = _Poster(page_rows)
         for batch in parts(batches):
             docs, marks, texts = _texts(batch)
             for found in sets(texts, table.value):
@@ -538,8 +516,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source, context = _source(df, id_col, text_col), df.sparkSession.sparkContext
     table = context.broadcast(rarity(source))
-    counted = context.broadcast(posting_classes(source, table, page_rows))
-    postings = source.mapInArrow(lambda batches: _postings(table, counted, page_rows, batches), POSTING)
+    postings = source.mapInArrow(lambda batches: _postings(table, page_rows, batches), POSTING)
     dealt = postings.repartition("word", "page").sortWithinPartitions("word", "page", *KEY)
     best = cut(dealt.mapInArrow(_best_earlier, PAIR), "line-best")
     other = [f"other_{k}" for k in KEY]
@@ -550,16 +527,16 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     equal = chosen.filter("apart = -1").select(*KEY)
     settled = cut(verified(source, chosen.filter("apart >= 0").drop("apart")).unionByName(equal).distinct(), "line-settled")
-    # Words that gave a line further candidates than the one verified, or other best ones.
-    open_words = (
-        best.join(chosen.select(*KEY, *[F.col(c).alias(f"best_{c}") for c in other]), KEY, "left")
-        .filter(F.col("more") | ~F.struct(*other).eqNullSafe(F.struct(*[F.col(f"best_{c}").alias(c) for c in other])))
-        .filter("apart >= 0").select(*KEY, "word")
-    )
-    probes = cut(open_words.join(settled, KEY, "left_anti").distinct(), "line-probes")
+    left = cut(best.filter("apart >= 0").join(settled, KEY, "left_anti"), "line-left")
+    named = left.filter(F.col("apart") < 1 << 20).select(*KEY, *other).distinct().join(chosen.drop("apart"), [*KEY, *other], "left_anti")
+    named = cut(named, "line-named")
+    if not named.isEmpty():
+        settled = cut(settled.unionByName(verified(source, named)).distinct(), "line-settled")
+    # Words that gave a line more candidates than are named.
+    probes = cut(left.filter("more").select(*KEY, "word").distinct().join(settled, KEY, "left_anti"), "line-probes")
     if probes.isEmpty():
         return settled
-    return settled.unionByName(_further(source, table, counted, page_rows, probes)).distinct()
+    return settled.unionByName(_further(source, table, page_rows, probes)).distinct()
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:

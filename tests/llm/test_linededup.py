@@ -51,9 +51,10 @@ def report(spark, rows, **more):
     return {r.doc_id: r for r in ld.line_report(df, **more).collect()}
 
 
-@pytest.mark.parametrize("seed, pages", [(1, 4096), (2, 3)])
-def test_equal_to_brute_force(spark, seed, pages):
-    """With small pages, frequent words take the second step."""
+@pytest.mark.parametrize("seed, pages, named", [(1, 4096, 8), (2, 3, 8), (3, 4096, 1)])
+def test_equal_to_brute_force(spark, monkeypatch, seed, pages, named):
+    """With small pages, frequent words take the third step."""
+    monkeypatch.setattr(ld, "NAMED", named)
     rows = corpus(seed)
     got, want = report(spark, rows, page_rows=pages), brute(rows)
     assert {i: r.removed for i, r in got.items()} == want
