@@ -65,23 +65,22 @@ def option_words(options: Column, language: str = "portuguese") -> Column:
     return F.transform(options, lambda option: label_tokens(option, words))
 
 
-def overlap_responses(asked: DataFrame, language: str = "portuguese") -> DataFrame:
-    """The built-in responder: the option with the largest share of its words in the text.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also where ``use`` puts it into a function of elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _found_words(text: Column, words: Column) -> Column:
+    """Those of ``words`` that occur in the text."""
+    return F.array_intersect(words, tx.model_tokens(F.coalesce(text, F.lit(""))))
 
-    Ties go to the first option; without any shared word the response is null.  ``asked`` may bring
-    the words of its options as ``option_words``, which saves splitting the names for every text.
-    """
-    if "option_words" not in asked.columns:
-        asked = asked.withColumn("option_words", option_words(F.col("options"), language))
-    # The words of all options first cut the text down to what can match.
-    every = F.array_distinct(F.flatten("option_words"))
-    reduced = asked.withColumn(
-        "_found", F.array_intersect(every, tx.model_tokens(F.coalesce("text", F.lit(""))))
-    )
+
+def _best_option(found: Column) -> Column:
+    """The option with the largest share of its words among ``found``; the first of several, null without any."""
 
     def share(option: Column, place: Column) -> Column:
         own = F.get("option_words", place)
-        hit = F.size(F.array_intersect(own, F.col("_found")))
+        hit = F.size(F.array_intersect(own, found))
         return F.struct(
             F.round(F.coalesce(F.try_divide(hit, F.size(own)), F.lit(0.0)), 9).alias("share"),
             (-place).alias("minus"),
@@ -89,9 +88,26 @@ def overlap_responses(asked: DataFrame, language: str = "portuguese") -> DataFra
         )
 
     best = F.array_max(F.transform("options", share))
-    return reduced.select(
-        *[c for c in asked.columns if c != "option_words"],
-        F.when(best["share"] > 0, best["option"]).alias("response"),
+    return F.when(best["share"] > 0, best["option"])
+
+
+def overlap_responses(asked: DataFrame, language: str = "portuguese") -> DataFrame:
+    """The built-in responder: the option with the largest share of its words in the text.
+
+    Ties go to the first option; without any shared word the response is null.  ``asked`` may bring
+    the words of its options as ``option_words``, which saves splitting the names for every text, and
+    those of them that occur in the text as ``found_words``, which saves splitting the text again.
+    """
+    if "option_words" not in asked.columns:
+        asked = asked.withColumn("option_words", option_words(F.col("options"), language))
+    if "found_words" in asked.columns:
+        response = _best_option(F.col("found_words"))
+    else:
+        # The words of all options first cut the text down to what can match.
+        response = _once(_found_words(F.col("text"), F.array_distinct(F.flatten("option_words"))), _best_option)
+    return asked.select(
+        *[c for c in asked.columns if c not in ("option_words", "found_words")],
+        response.alias("response"),
         F.lit(None).cast("string").alias("error"),
     )
 
@@ -168,27 +184,38 @@ def classify(
     """
     parents = cut(_options_by_parent(tax), "subjects")
     top = cut(_first_options(parents), "options")
-    # Only the built-in responder asks for the words of the names.
-    split = ["option_words"] if respond is overlap_responses else []
+    # The built-in responder asks for words only: each text is split once, and what it has of the words of
+    # all names, of both levels, goes on in its place.
+    built_in = respond is overlap_responses
+    carried = ["option_words", "found_words"] if built_in else ["text"]
 
     def asked(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-        prompt = build_prompt(F.col("text"), F.col("options"), prompt_chars)
-        return respond(
-            rows.select(
-                "row_id", *keep, *columns, "text", "options", *split,
-                F.when(F.size("options") > 0, prompt).alias("prompt"),
-            )
-        )
+        prompt = [] if built_in else [
+            F.when(F.size("options") > 0, build_prompt(F.col("text"), F.col("options"), prompt_chars)).alias("prompt")
+        ]
+        return respond(rows.select("row_id", *keep, *columns, "options", *carried, *prompt))
 
     cleaned = df.select(
         "row_id", *keep,
         tx.clean_text(F.col(text_col), drop_words, clean_chars).alias("text"),
         top.select("options").scalar().alias("options"), top.select("option_words").scalar().alias("option_words"),
     )
-    first = asked(cleaned, []).select(
-        "row_id", *keep, "text", F.col("response").alias("response_1"), F.col("error").alias("error_1"),
-        validate_response(F.col("response"), F.col("options")).alias("n1"),
-    )
+    if built_in:
+        names = top.select(F.flatten("option_words").alias("words")).unionByName(parents.select(F.flatten("child_words").alias("words")))
+        every = cut(names.agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")), "name-words")
+        cleaned = cleaned.withColumn("name_words", every.select("words").scalar())
+        found = _found_words(F.col("text"), F.col("name_words"))
+        both = _once(found, lambda words: F.struct(words.alias("found_words"), _best_option(words).alias("response")))
+        answers = cleaned.select("row_id", *keep, "options", both.alias("both"))
+        first = answers.select(
+            "row_id", *keep, F.col("both.found_words").alias("found_words"), F.col("both.response").alias("response_1"),
+            F.lit(None).cast("string").alias("error_1"), validate_response(F.col("both.response"), F.col("options")).alias("n1"),
+        )
+    else:
+        first = asked(cleaned, []).select(
+            "row_id", *keep, "text", F.col("response").alias("response_1"), F.col("error").alias("error_1"),
+            validate_response(F.col("response"), F.col("options")).alias("n1"),
+        )
     known = parents.select("n1", F.col("children").alias("options"), F.col("child_words").alias("option_words"))
     second = first.join(known, "n1", "left")
     ready = second.withColumns({
