@@ -446,12 +446,15 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 def archived_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write every page and give, from the archives read back, one row for each of them.
 
-    Lengths and digests of responses are taken from the payloads read; those of revisits from
-    their headers.
+    Two reads, each with its record type pushed down to the source: lengths and digests of
+    responses are taken from the payloads read; those of revisits from their headers, without
+    decoding any payload.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, "warc")
     write_archive(page_records(df, id_col, url_col, html_col), path)
-    back = read_archive(spark, path)
+    responses = read_archive(spark, path).filter(F.col("record_type") == "response")
+    revisits = read_archive(spark, path, payload=False).filter(F.col("record_type") == "revisit")
+    back = responses.unionByName(revisits)
     page = lambda column: F.nullif(F.substring_index(column, ":", -1), F.lit("")).cast("long")
     return back.select(
         page("record_id").alias("page_id"),

@@ -99,3 +99,12 @@ def test_filters_that_are_pushed():
     assert list(reader.pushFilters(tests)) == tests[3:]
     assert reader.wanted(row("response", b"") | {"target_uri": "a"})
     assert not reader.wanted(row("revisit", b"") | {"target_uri": "a"}) and not reader.wanted(row("response", b""))
+
+
+def test_pages_come_through_pushed_record_types(spark, capsys):
+    df = spark.createDataFrame(PAGES, SCHEMA)
+    warc.archived_pages(df).explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = re.findall(r"PushedFilters: (\[.*record_type.*\])", plan)
+    assert len(pushed) == 2 and any("response" in p for p in pushed) and any("revisit" in p for p in pushed)
+    assert not re.search(r"Condition : .*record_type", plan)
