@@ -11,6 +11,7 @@ import hashlib
 from civictopics.functions.stopwords import ENGLISH, PORTUGUESE
 from civictopics.functions.text import WHITESPACE
 from civictopics.operators.labelling import NO_CHILDREN, PROMPT
+from civictopics.operators.spelling import ACCENTED, PLAIN
 from civictopics.sources.taxonomy import subjects
 
 
@@ -321,6 +322,41 @@ labelled AS (
   FROM asked1 a LEFT JOIN first f USING (row_id) LEFT JOIN second s USING (row_id))"""
 
 
+def letter_triples(column: str) -> str:
+    marked = f"concat('^', translate(lower({column}), '{ACCENTED}', '{PLAIN}'), '$')"
+    return f"list_distinct(list_transform(range(1, length({marked}) - 1), lambda i: substr({marked}, i, 3)))"
+
+
+def spelled(alike: float, share: float) -> str:
+    """``first_like`` and ``second_like (row_id, option, share)`` for taxonomy ``tax``."""
+    best = "row_number() OVER (PARTITION BY row_id ORDER BY share DESC, pos)"
+    second = "row_number() OVER (PARTITION BY r.row_id ORDER BY r.share DESC, r.pos)"
+    return f"""text_words AS (
+  SELECT DISTINCT doc_id AS row_id, unnest({counted(cleaned('text', DEFAULT_DROP))}) AS word FROM documents WHERE text IS NOT NULL),
+options AS (
+  SELECT DISTINCT '' AS parent, n1_pos AS pos, n1 AS option FROM tax
+  UNION SELECT n1, n2_pos, n2 FROM tax WHERE n2 IS NOT NULL),
+owned AS (SELECT *, {label_words('option')} AS own FROM options),
+own_words AS (SELECT parent, pos, option, len(own) AS size, unnest(own) AS name_word FROM owned),
+text_triples AS (
+  SELECT word, len(triples) AS n, unnest(triples) AS triple FROM (
+    SELECT word, {letter_triples('word')} AS triples FROM (SELECT DISTINCT word FROM text_words))),
+name_triples AS (
+  SELECT name_word, len(triples) AS m, unnest(triples) AS triple FROM (
+    SELECT name_word, {letter_triples('name_word')} AS triples FROM (SELECT DISTINCT name_word FROM own_words))),
+like_words AS (
+  SELECT word, name_word, round(count(*) / sqrt(n * m), 9) AS sim
+  FROM text_triples JOIN name_triples USING (triple) GROUP BY word, name_word, n, m HAVING sim >= {alike}),
+like_found AS (SELECT row_id, name_word, max(sim) AS sim FROM text_words JOIN like_words USING (word) GROUP BY ALL),
+rated AS (
+  SELECT row_id, parent, pos, option, round(sum(sim ORDER BY sim) / size, 9) AS share
+  FROM own_words JOIN like_found USING (name_word) GROUP BY row_id, parent, pos, option, size HAVING share >= {share}),
+first_like AS (SELECT row_id, option, share FROM (SELECT *, {best} AS place FROM rated WHERE parent = '') WHERE place = 1),
+second_like AS (
+  SELECT row_id, option, share FROM (
+    SELECT r.*, {second} AS place FROM rated r JOIN first_like f USING (row_id) WHERE r.parent = f.option) WHERE place = 1)"""
+
+
 WORD_TAXONOMY = f"""{counts('lang')},
 {tfidf()},
 {top()},
@@ -688,6 +724,14 @@ FROM rows_ r LEFT JOIN into_ i ON i.topic = r.topic LEFT JOIN numbered n ON n.ta
     "classify_word_taxonomy": with_(
         WORD_TAXONOMY, classified(), last="SELECT * EXCLUDE (lang) FROM labelled"
     ),
+    "classify_by_spelling": with_(
+        WORD_TAXONOMY, spelled(0.6, 0.5),
+        last=f"""SELECT d.doc_id AS row_id, f.option AS n1,
+  CASE WHEN f.option IS NULL THEN NULL
+       WHEN f.option NOT IN (SELECT n1 FROM tax WHERE n2 IS NOT NULL) THEN {text(NO_CHILDREN)} ELSE s.option END AS n2,
+  f.share AS share_1, s.share AS share_2
+FROM documents d LEFT JOIN first_like f ON f.row_id = d.doc_id LEFT JOIN second_like s ON s.row_id = d.doc_id""",
+    ),
     "label_distribution": with_(
         WORD_TAXONOMY, classified(),
         last="""SELECT n1, n2, count(*) AS cnt, count(response_1) AS answered, count(n1) AS validated

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from civictopics.functions import text as tx
 from civictopics.operators import agreement as ag
 from civictopics.operators import coherence as co
+from civictopics.operators import components as cp
 from civictopics.operators import density as de
 from civictopics.operators import embed as em
 from civictopics.operators import labelling as la
@@ -19,6 +20,7 @@ from civictopics.operators import morphology as mr
 from civictopics.operators import phrases as ph
 from civictopics.operators import prepare as pr
 from civictopics.operators import similar as si
+from civictopics.operators import spelling as sp
 from civictopics.operators import topics as to
 from civictopics.operators import vocabulary as vo
 from civictopics.plans import evaluation as ev
@@ -366,6 +368,12 @@ def pca(spark, sf):
     return long_vector(em.reduce_dims(embeddings(spark, sf), 5), "row_id", vector_col="reduced")
 
 
+def wide_components(spark, sf):
+    """Texts along the first components of their word vectors over 2^18 columns."""
+    sparse = cut(cp.sparse_vectors(counted_tokens(spark, sf)).select("row_id", "entries"), "sparse-vectors")
+    return rounded(long_vector(cp.project_sparse(sparse, cp.fit_components(sparse, 3)), "row_id", vector_col="reduced"))
+
+
 DENSITY = {"k": 3, "width": 0.25, "sim": 0.95}
 
 
@@ -503,6 +511,11 @@ def classify_word_taxonomy(spark, sf):
     return la.classify(proposals(spark, sf), cut(word_taxonomy(spark, sf), "taxonomy"))
 
 
+def classify_by_spelling(spark, sf):
+    """Both levels of the same taxonomy for texts that have its words in a like spelling."""
+    return sp.classify_by_spelling(proposals(spark, sf), cut(word_taxonomy(spark, sf), "taxonomy"))
+
+
 def label_distribution(spark, sf):
     return la.label_distribution(classify_word_taxonomy(spark, sf))
 
@@ -712,10 +725,10 @@ QUERIES = {
         topic_info, topics_found, representative_docs, topic_diversity, npmi_coherence,
         weighted_score,
         contingency, coverage, ari, nmi, v_measure, agreement_by_quality,
-        hash_embed, random_projection, pca, similar_cells, density_topics, topic_centroids,
+        hash_embed, random_projection, pca, wide_components, similar_cells, density_topics, topic_centroids,
         assign_nearest, nearest_of_many, similar_texts, similar_text_links, seed_guide, reduce_topics,
         taxonomy_usage, seed_groups, prompt_build, validate_response, classify_two_level,
-        classify_word_taxonomy, label_distribution, attach_labels,
+        classify_word_taxonomy, classify_by_spelling, label_distribution, attach_labels,
         fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,
         align_predictions, kept_rows, grid_scores, grid_leaderboard, run_grid,
         highest_probability, append_runs, failed_responses, csv_round_trip, csv_split_read, decimal_comma,

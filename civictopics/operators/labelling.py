@@ -139,7 +139,7 @@ def model_responses(answer: Callable[[str], str]) -> Responder:
     return respond
 
 
-def _options_by_parent(tax: DataFrame) -> DataFrame:
+def options_by_parent(tax: DataFrame) -> DataFrame:
     """``(n1_pos, n1, children)``: ordered second-level names, an empty list for a childless subject.
 
     One row per name: a taxonomy that lists a name twice must not double its texts.
@@ -156,7 +156,7 @@ def _options_by_parent(tax: DataFrame) -> DataFrame:
     )
 
 
-def _first_options(parents: DataFrame) -> DataFrame:
+def first_options(parents: DataFrame) -> DataFrame:
     """One row ``(options, option_words)``: all first-level names in order."""
     placed = F.sort_array(F.collect_list(F.struct("n1_pos", "n1")))
     options = parents.agg(placed.alias("placed")).select(F.col("placed.n1").alias("options"))
@@ -182,8 +182,8 @@ def classify(
     instead of shuffling the texts by label.  ``keep`` carries columns along, which saves joining
     the labels back.
     """
-    parents = cut(_options_by_parent(tax), "subjects")
-    top = cut(_first_options(parents), "options")
+    parents = cut(options_by_parent(tax), "subjects")
+    top = cut(first_options(parents), "options")
     # The built-in responder asks for words only: each text is split once, and what it has of the words of
     # all names, of both levels, goes on in its place.
     built_in = respond is overlap_responses
