@@ -703,6 +703,25 @@ UNION ALL SELECT row_id, -1, slot, round(value, 6) FROM vec JOIN choice USING (r
         last="""SELECT row_id, coalesce(n.topic, -1) AS topic
 FROM rows_ r LEFT JOIN into_ i ON i.topic = r.topic LEFT JOIN numbered n ON n.target = i.target""",
     ),
+    "topic_merge_tree": with_(
+        merged_topics(8),
+        """pair_sims AS (
+  SELECT a.topic, b.topic AS other, round(sum(a.weight * b.weight) / (any_value(na.norm) * any_value(nb.norm)), 9) AS sim
+  FROM weights a JOIN weights b USING (word) JOIN norms na ON na.topic = a.topic JOIN norms nb ON nb.topic = b.topic
+  WHERE a.topic < b.topic AND a.topic <> -1 GROUP BY 1, 2),
+state(step, topic, grp, cnt, kept, gone, sim) AS (
+  SELECT CAST(0 AS BIGINT), topic, topic, CAST(cnt AS DOUBLE), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE)
+  FROM sizes WHERE topic <> -1
+  UNION ALL
+  SELECT s.step + 1, s.topic, CASE WHEN s.grp = b.gone THEN b.kept ELSE s.grp END, s.cnt, b.kept, b.gone, b.sim
+  FROM state s CROSS JOIN (
+    SELECT x.grp AS kept, y.grp AS gone, round(sum(coalesce(q.sim, 0) * x.cnt * y.cnt) / sum(x.cnt * y.cnt), 9) AS sim
+    FROM state x JOIN state y ON x.grp < y.grp
+    LEFT JOIN pair_sims q ON q.topic = least(x.topic, y.topic) AND q.other = greatest(x.topic, y.topic)
+    GROUP BY 1, 2 ORDER BY sim DESC, kept, gone LIMIT 1) b)""",
+        last="SELECT DISTINCT kept, gone, sim, step FROM state WHERE step > 0",
+        recursive=True,
+    ),
     "taxonomy_usage": with_(
         TOKENS, WORDS_OF, VOCABULARY, TAXONOMY,
         f"named AS (SELECT *, unnest(list_distinct({counted('coalesce(n2, n1)')})) AS word FROM tax)",

@@ -16,6 +16,7 @@ from civictopics.operators import components as cp
 from civictopics.operators import density as de
 from civictopics.operators import embed as em
 from civictopics.operators import labelling as la
+from civictopics.operators import merge_tree as mt
 from civictopics.operators import morphology as mr
 from civictopics.operators import phrases as ph
 from civictopics.operators import prepare as pr
@@ -430,13 +431,26 @@ def seed_guide(spark, sf):
     return long_vector(guided, "row_id", "seed_topic")
 
 
-def reduce_topics(spark, sf):
+def _source_topics(spark, sf):
+    """Rows with their source as topic (short ones are outliers), and the word weights of the topics."""
     rows = cut(with_topics(spark, sf, counted_tokens(spark, sf), "source"), "tokens")
     rows = rows.withColumn("topic", F.when(F.size("tokens") < 10, -1).otherwise(F.col("topic")).cast("long"))
-    weights = cut(vo.class_tfidf(cut(vo.topic_term_counts(rows), "counts")), "weights")
+    return rows, cut(vo.class_tfidf(cut(vo.topic_term_counts(rows), "counts")), "weights")
+
+
+def reduce_topics(spark, sf):
+    rows, weights = _source_topics(spark, sf)
     return to.reduce_topics(rows.select("row_id", "topic"), weights, MERGED_TOPICS)
 
 
+def topic_merge_tree(spark, sf):
+    """All merges of the topics by the mean similarity of their words."""
+    rows, weights = _source_topics(spark, sf)
+    sizes = cut(to.topic_sizes(rows), "sizes")
+    topics = sizes.filter("topic <> -1").select("topic")
+    return mt.merge_tree(sizes, to.topic_similarity(weights, topics, topics))
+
+
 # --------------------------------------------------------------------------- labelling
 
 
@@ -727,6 +741,7 @@ QUERIES = {
         contingency, coverage, ari, nmi, v_measure, agreement_by_quality,
         hash_embed, random_projection, pca, wide_components, similar_cells, density_topics, topic_centroids,
         assign_nearest, nearest_of_many, similar_texts, similar_text_links, seed_guide, reduce_topics,
+        topic_merge_tree,
         taxonomy_usage, seed_groups, prompt_build, validate_response, classify_two_level,
         classify_word_taxonomy, classify_by_spelling, label_distribution, attach_labels,
         fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,
