@@ -49,41 +49,45 @@ def merge_tree(sizes: DataFrame, similar: DataFrame, by: Sequence[str] = ()) ->
         groups.select(*by, F.col("topic").alias("other"), F.col("cnt").alias("other_cnt")), [*by, "other"]
     )
     # total: the sum of similarity times both sizes over the pairs of topics of two groups.
-    links = cut(weighed.select(*keys, "other", (F.col("sim") * F.col("cnt") * F.col("other_cnt")).alias("total")), "links")
+    total = F.col("sim") * F.col("cnt") * F.col("other_cnt")
+    links = cut(weighed.select(*keys, "other", "cnt", "other_cnt", total.alias("total")), "links")
     done = []
     while True:
-        sized = links.join(groups, keys).join(
-            groups.select(*by, F.col("topic").alias("other"), F.col("cnt").alias("other_cnt")), [*by, "other"]
+        rated = links.select(
+            *keys, "other", F.round(F.col("total") / (F.col("cnt") * F.col("other_cnt")), 9).alias("sim"),
+            (F.col("cnt") + F.col("other_cnt")).alias("both"),
         )
-        rated = sized.select(*keys, "other", F.round(F.col("total") / (F.col("cnt") * F.col("other_cnt")), 9).alias("sim"))
         # The order of pairs is the same for all groups, so the best pair of a run always chooses itself.
         order = F.struct(F.col("sim"), -F.least("topic", "other"), -F.greatest("topic", "other"))
-        best = _both_ways(rated, by).groupBy(*keys).agg(F.max_by(F.struct("other", "sim"), order).alias("best"))
-        chosen = best.select(*keys, F.col("best.other").alias("other"), F.col("best.sim").alias("sim"))
-        back = chosen.select(*by, F.col("other").alias("topic"), F.col("topic").alias("other"))
-        pairs = chosen.filter(F.col("topic") < F.col("other")).join(back, [*keys, "other"], "left_semi")
-        merges = cut(pairs.select(*by, F.col("topic").alias("kept"), F.col("other").alias("gone"), "sim"), "merges")
+        best = _both_ways(rated, by).groupBy(*keys).agg(F.max_by(F.struct("other", "sim", "both"), order).alias("best"))
+        chosen = best.select(*keys, "best.*")
+        # A pair that chose each other stands here twice.
+        pair = [F.least("topic", "other").alias("kept"), F.greatest("topic", "other").alias("gone")]
+        merges = cut(
+            chosen.select(*by, *pair, "sim", "both").groupBy(*by, "kept", "gone")
+            .agg(F.max("sim").alias("sim"), F.max("both").alias("both"), F.count("*").alias("n")).filter("n = 2").drop("n"),
+            "merges",
+        )
         if merges.isEmpty():
             break
-        done.append(merges)
-        into = merges.select(*by, F.col("gone").alias("topic"), F.col("kept").alias("into"))
-        groups = cut(
-            groups.join(into, keys, "left").groupBy(*by, F.coalesce("into", "topic").alias("topic")).agg(F.sum("cnt").alias("cnt")),
-            "groups",
-        )
+        done.append(merges.drop("both"))
+        into = merges.select(*by, F.explode(F.array("kept", "gone")).alias("topic"), F.col("kept").alias("into"), "both")
         moved = links.join(into, keys, "left").join(
-            into.select(*by, F.col("topic").alias("other"), F.col("into").alias("other_into")), [*by, "other"], "left"
+            into.select(*by, F.col("topic").alias("other"), F.col("into").alias("other_into"), F.col("both").alias("other_both")),
+            [*by, "other"], "left",
         )
-        ends = moved.select(
-            *by, F.coalesce("into", "topic").alias("a"), F.coalesce("other_into", "other").alias("b"), "total"
-        ).filter("a <> b")
+        mine = F.struct(F.coalesce("into", "topic").alias("topic"), F.coalesce("both", "cnt").alias("cnt"))
+        theirs = F.struct(F.coalesce("other_into", "other").alias("topic"), F.coalesce("other_both", "other_cnt").alias("cnt"))
+        ends = moved.select(*by, F.least(mine, theirs).alias("a"), F.greatest(mine, theirs).alias("b"), "total")
+        joined = ends.filter("a.topic <> b.topic").groupBy(*by, "a", "b").agg(F.sum("total").alias("total"))
         links = cut(
-            ends.select(*by, F.least("a", "b").alias("topic"), F.greatest("a", "b").alias("other"), "total")
-            .groupBy(*keys, "other").agg(F.sum("total").alias("total")),
+            joined.select(*by, "a.topic", F.col("b.topic").alias("other"), "a.cnt", F.col("b.cnt").alias("other_cnt"), "total"),
             "links",
         )
     # What is left has no similarity to anything else of its run.
     run = Window.partitionBy(*by)
+    for merges in done:
+        groups = groups.join(merges.select(*by, F.col("gone").alias("topic")), keys, "left_anti")
     rest = groups.withColumn("kept", F.min("topic").over(run)).filter("topic <> kept")
     tree = rest.select(*by, "kept", F.col("topic").alias("gone"), F.lit(0.0).alias("sim"))
     for merges in done:
