@@ -494,6 +494,47 @@ nearest AS (
   WHERE place IS NULL OR place = 1)"""
 
 
+def one_fit(condition: str, last: str) -> str:
+    """A subquery: cells and topics of the documents that meet a condition, with words of weight 1, coordinates summed
+    as millionths, and equal topics ordered by cell."""
+    chosen = PREPARED + f""",
+tok AS (SELECT row_id, {counted('clean_text')} AS tokens FROM prepared
+  WHERE row_id IN (SELECT doc_id FROM documents WHERE {condition}))"""
+    found = density(4, 0.25, 0.9, 10, 10).replace("min(first_row)", "min(cell)")
+    for i in range(4):
+        found = found.replace(f"sum(u{i})", f"sum(CAST(round(u{i} * 1000000) AS BIGINT))")
+    parts = chosen, embedded(64).replace("n * sgn * idf", "n * sgn"), "every_row AS (SELECT row_id FROM tok)", projection(64, 4), found
+    return "(" + with_(*parts, last=last, recursive=True) + ")"
+
+
+def grown(*parts: str, last: str) -> str:
+    """``now (cell, cnt, n_tokens, n_words, topic)`` and ``words (cell, word, cnt)`` after both batches."""
+    left = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+    return with_(
+        "old AS " + one_fit(
+            "CAST(substr(source, 4) AS BIGINT) < 10",
+            "SELECT cell, topic AS old FROM cells JOIN grouped USING (cell) JOIN big USING (label)",
+        ),
+        "new AS " + one_fit(
+            left, "SELECT cell, cnt, topic AS found FROM cells LEFT JOIN grouped USING (cell) LEFT JOIN big USING (label)"
+        ),
+        "words AS " + one_fit(
+            left, """SELECT coalesce(cell, -1) AS cell, word, count(*) AS cnt FROM (SELECT row_id, unnest(tokens) AS word FROM tok)
+  LEFT JOIN keyed USING (row_id) GROUP BY 1, 2""",
+        ),
+        """shared AS (SELECT found, old, sum(cnt) AS cnt FROM new JOIN old USING (cell) WHERE found IS NOT NULL GROUP BY 1, 2),
+most AS (SELECT found, first(old ORDER BY cnt DESC, old) AS old FROM shared GROUP BY 1),
+heirs AS (SELECT old, first(found ORDER BY cnt DESC, found) AS found FROM shared GROUP BY 1),
+named AS (
+  SELECT found, coalesce(old, row_number() OVER (PARTITION BY old IS NULL ORDER BY found)
+         + coalesce((SELECT max(old) FROM old), -1)) AS topic
+  FROM (SELECT DISTINCT found FROM new WHERE found IS NOT NULL)
+  LEFT JOIN (SELECT * FROM most JOIN heirs USING (found, old)) USING (found)),
+now AS (SELECT cell, cnt, CAST(coalesce(topic, -1) AS BIGINT) AS topic FROM new LEFT JOIN named USING (found))""",
+        *parts, last=last,
+    )
+
+
 SEED_WORDS = f"seed_words AS (SELECT DISTINCT unnest({counted('text')}) AS word FROM benchmark)"
 SCORES = "ari nmi homogeneity completeness v_measure"
 EVERY_VECTOR = "every_row AS (SELECT vec_id AS row_id FROM embeddings)"
@@ -774,6 +815,15 @@ FROM labelled GROUP BY n1, n2""",
          string_agg(word, ' ' ORDER BY rank) AS representation FROM top_words GROUP BY topic) USING (topic)""",
         recursive=True,
     ),
+    "grown_cells": grown(
+        last="""SELECT cell, now.cnt, n_tokens, n_words, topic FROM now LEFT JOIN (
+  SELECT cell, CAST(sum(cnt) AS BIGINT) AS n_tokens, count(*) AS n_words FROM words GROUP BY cell) USING (cell)""",
+    ),
+    "grown_words": grown(
+        """counts AS (
+  SELECT CAST(coalesce(topic, -1) AS BIGINT) AS topic, word, sum(words.cnt) AS cnt FROM words LEFT JOIN now USING (cell) GROUP BY 1, 2)""",
+        tfidf(), top(), last=f"SELECT topic, rank, word, {rounded('weight')} FROM top_words",
+    ),
     "evaluate_external": with_(
         *FITTED, nearest_fitted("vec"),
         "compared AS (SELECT row_id, topic, lang FROM nearest JOIN documents ON doc_id = row_id)",

@@ -25,6 +25,7 @@ from civictopics.operators import spelling as sp
 from civictopics.operators import topics as to
 from civictopics.operators import vocabulary as vo
 from civictopics.plans import evaluation as ev
+from civictopics.plans import growing as gw
 from civictopics.plans import grid as gr
 from civictopics.plans import model as mo
 from civictopics.sources import proposals as ps
@@ -576,6 +577,37 @@ def fit_guided(spark, sf):
     return model.assigned.select("row_id", "seed_topic", "topic")
 
 
+def _grown(spark, sf):
+    """A model of the first ten sources, to which the others are added while toxic texts leave."""
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id")).distinct()
+    given = proposals(spark, sf).select("row_id", "source").join(
+        toxic.withColumn("toxic", F.lit(True)), "row_id", "left"
+    )
+    rows = cut(counted_tokens(spark, sf).join(given, "row_id"), "tokens")
+    model = gw.GrowingModel(new_path(spark, "growing"), mo.Settings(**PROJECTED))
+    model.apply(rows.filter("source < 10").withColumn("sign", F.lit(1)), 0)
+    model.topics(spark)
+    arriving = rows.filter("source is null or source >= 10").withColumn("sign", F.lit(1))
+    leaving = rows.filter("toxic").withColumn("sign", F.lit(-1))
+    model.apply(arriving.unionByName(leaving), 1)
+    return model
+
+
+def grown_cells(spark, sf):
+    """Texts, words and topic of every cell after both batches; topics keep their numbers."""
+    model = _grown(spark, sf)
+    words = model.words(spark).groupBy("cell").agg(F.sum("cnt").alias("n_tokens"), F.count("*").alias("n_words"))
+    cells = model.cells(spark).select("cell", "cnt")
+    return cells.join(words, "cell", "left").join(model.topics(spark), "cell", "left").select(
+        "cell", "cnt", "n_tokens", "n_words", F.coalesce("topic", F.lit(-1).cast("long")).alias("topic")
+    )
+
+
+def grown_words(spark, sf):
+    """The words of the topics after both batches."""
+    return rounded(_grown(spark, sf).top_words(spark))
+
+
 def evaluate_external(spark, sf):
     """Fit on the documents, assign them, and score the topics against their language."""
     model = mo.fit_topics(prepared(spark, sf), mo.Settings(**PROJECTED))
@@ -744,7 +776,7 @@ QUERIES = {
         topic_merge_tree,
         taxonomy_usage, seed_groups, prompt_build, validate_response, classify_two_level,
         classify_word_taxonomy, classify_by_spelling, label_distribution, attach_labels,
-        fit_topics, fit_topic_info, fit_info_projected, fit_guided, evaluate_external, assign_benchmark,
+        fit_topics, fit_topic_info, fit_info_projected, fit_guided, grown_cells, grown_words, evaluate_external, assign_benchmark,
         align_predictions, kept_rows, grid_scores, grid_leaderboard, run_grid,
         highest_probability, append_runs, failed_responses, csv_round_trip, csv_split_read, decimal_comma,
     )

@@ -42,7 +42,8 @@ class Grid:
         return sorted(delta for delta in deltas if delta > 0)
 
 
-def _unit(vector_col: str, k: int) -> list[Column]:
+def unit_coordinates(vector_col: str, k: int) -> list[Column]:
+    """The vector scaled to length 1, one column per coordinate; nulls for a zero vector."""
     vector = F.col(vector_col)
     norm = F.sqrt(sum_of([vector[i] * vector[i] for i in range(k)]))
     return [F.try_divide(vector[i], norm) for i in range(k)]
@@ -51,7 +52,7 @@ def _unit(vector_col: str, k: int) -> list[Column]:
 def with_cells(df: DataFrame, k: int, width: float = 0.25, vector_col: str = "reduced") -> DataFrame:
     """Adds ``cell``, the key of the grid cell of the normalised vector; null for a zero vector."""
     grid = Grid(k, width)
-    unit = df.withColumns({f"_u{i}": u for i, u in enumerate(_unit(vector_col, k))})
+    unit = df.withColumns({f"_u{i}": u for i, u in enumerate(unit_coordinates(vector_col, k))})
     names = [f"_u{i}" for i in range(k)]
     return unit.withColumn("cell", grid.key([F.col(n) for n in names])).drop(*names)
 
@@ -64,7 +65,7 @@ def cell_table(
     Counts and coordinate sums are combined in the map tasks, so a cell that holds a third of all
     texts costs no more than any other.
     """
-    unit = _unit(vector_col, k)
+    unit = unit_coordinates(vector_col, k)
     return (
         df.filter(F.col("cell").isNotNull())
         .groupBy(*by, "cell")

@@ -75,3 +75,27 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Da
         df = make()
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def committed(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n, ascending, for which Spark finished writing ``folder/name=n``.
+
+    Spark puts the file ``_SUCCESS`` into a folder last, so half-written ones are not listed.
+    """
+    files, place = _place(spark, folder)
+    if not files.exists(place):
+        return []
+    found = (status.getPath() for status in files.listStatus(place))
+    numbered = [p for p in found if p.getName().startswith(f"{name}=")]
+    done = [p for p in numbered if files.exists(_place(spark, f"{p}/_SUCCESS")[1])]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
