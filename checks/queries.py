@@ -65,6 +65,12 @@ def counted_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return pr.with_model_tokens(prepared(spark, sf)).select("row_id", "tokens")
 
 
+def sourced_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """``(row_id, tokens, source)``: the source comes along through the de-duplication."""
+    kept = pr.clean_and_prepare(proposals(spark, sf), language=LANGUAGE, keep=["source"])
+    return pr.with_model_tokens(kept).select("row_id", "tokens", "source")
+
+
 def with_topics(spark: SparkSession, sf: str, tokens: DataFrame, column: str) -> DataFrame:
     """Tokens with a column of ``documents`` as their topic."""
     given = proposals(spark, sf).select("row_id", F.col(column).alias("topic"))
@@ -434,7 +440,7 @@ def seed_guide(spark, sf):
 
 def _source_topics(spark, sf):
     """Rows with their source as topic (short ones are outliers), and the word weights of the topics."""
-    rows = cut(with_topics(spark, sf, counted_tokens(spark, sf), "source"), "tokens")
+    rows = cut(sourced_tokens(spark, sf).withColumnRenamed("source", "topic"), "tokens")
     rows = rows.withColumn("topic", F.when(F.size("tokens") < 10, -1).otherwise(F.col("topic")).cast("long"))
     return rows, cut(vo.class_tfidf(cut(vo.topic_term_counts(rows), "counts")), "weights")
 
@@ -580,10 +586,8 @@ def fit_guided(spark, sf):
 def _grown(spark, sf):
     """A model of the first ten sources, to which the others are added while toxic texts leave."""
     toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id")).distinct()
-    given = proposals(spark, sf).select("row_id", "source").join(
-        toxic.withColumn("toxic", F.lit(True)), "row_id", "left"
-    )
-    rows = cut(counted_tokens(spark, sf).join(given, "row_id"), "tokens")
+    toxic = cut(toxic.withColumn("toxic", F.lit(True)), "toxic")
+    rows = cut(sourced_tokens(spark, sf).join(toxic, "row_id", "left"), "tokens")
     model = gw.GrowingModel(new_path(spark, "growing"), mo.Settings(**PROJECTED))
     model.apply(rows.filter("source < 10").withColumn("sign", F.lit(1)), 0)
     model.topics(spark)

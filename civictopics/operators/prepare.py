@@ -15,9 +15,9 @@ from civictopics.storage import cut
 
 
 def standardise(
-    df: DataFrame, text_col: str, id_col: str = "row_id", null_policy: str = "drop"
+    df: DataFrame, text_col: str, id_col: str = "row_id", null_policy: str = "drop", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``(row_id, original_text)`` with the text cast to string and stripped.
+    """``(row_id, original_text, keep...)`` with the text cast to string and stripped.
 
     ``null_policy='drop'`` removes null texts; ``'literal'`` turns them into the text ``nan``,
     as casting a frame to text before filling its gaps does.
@@ -28,7 +28,7 @@ def standardise(
     elif null_policy != "drop":
         raise ValueError("null_policy must be 'drop' or 'literal'")
     return df.select(
-        F.col(id_col).cast("long").alias("row_id"), tx.strip_text(text).alias("original_text")
+        F.col(id_col).cast("long").alias("row_id"), tx.strip_text(text).alias("original_text"), *keep
     )
 
 
@@ -37,14 +37,18 @@ def drop_empty(df: DataFrame, text_col: str = "original_text") -> DataFrame:
     return df.filter(F.col(text_col) != "")
 
 
-def first_of_each_text(df: DataFrame, text_col: str = "original_text") -> DataFrame:
+def first_of_each_text(
+    df: DataFrame, text_col: str = "original_text", keep: Sequence[str] = ()
+) -> DataFrame:
     """Exact, case-sensitive de-duplication; the smallest ``row_id`` of equal texts stays.
 
     Only ``row_id`` is aggregated, so this is a hash aggregation: copies collapse in the map
     tasks, and a text that fills a third of the corpus reaches the reducer once per map task.
-    Other columns are joined back by ``row_id`` where they are needed, without moving texts.
+    Columns to ``keep`` come along from the row that stays, which saves a join by ``row_id`` later; numbers
+    leave it a hash aggregation, strings would make Spark sort the texts.  Others are joined back where needed.
     """
-    return df.groupBy(text_col).agg(F.min("row_id").alias("row_id")).select("row_id", text_col)
+    kept = [F.min_by(c, "row_id").alias(c) for c in keep]
+    return df.groupBy(text_col).agg(F.min("row_id").alias("row_id"), *kept).select("row_id", text_col, *keep)
 
 
 def stop_words(language: str = "portuguese") -> list[str]:
@@ -93,27 +97,29 @@ def clean_and_prepare(
     max_len: int = 15,
     rules: DataFrame | None = None,
     exceptions: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(row_id, original_text, clean_text, tokens)`` of the distinct non-empty texts.
+    """``(row_id, original_text, clean_text, tokens, keep...)`` of the distinct non-empty texts.
 
     ``original_text`` is the stripped text, ``clean_text`` its tokens joined by spaces.  A text
     that consists of stop words only stays, with no tokens.  ``words`` overrides the stop words
     of ``language``.  With detachment ``rules`` (see ``morphology``) words that the lexicon does not list
-    are led back to its lemmas, and ``exceptions`` go before both.
+    are led back to its lemmas, and ``exceptions`` go before both.  ``keep`` names columns of ``df`` that the row
+    which stays brings along.
     """
     dropped = stop_words(language) if words is None else words
-    kept = first_of_each_text(drop_empty(standardise(df, text_col, id_col, null_policy)))
+    kept = first_of_each_text(drop_empty(standardise(df, text_col, id_col, null_policy, keep)), keep=keep)
     tokens = tx.without_words(
         tx.simple_tokens(F.col("original_text"), min_len, max_len), dropped
     )
-    tokenised = kept.select("row_id", "original_text", tokens.alias("tokens"))
+    tokenised = kept.select("row_id", "original_text", tokens.alias("tokens"), *keep)
     if lexicon is not None:
         if rules is not None or exceptions is not None:
             tokenised = cut(tokenised, "tokenised")
             lexicon = full_lexicon(tokenised, lexicon, rules, exceptions)
         tokenised = lemmatise(tokenised, lexicon)
     return tokenised.select(
-        "row_id", "original_text", F.array_join("tokens", " ").alias("clean_text"), "tokens"
+        "row_id", "original_text", F.array_join("tokens", " ").alias("clean_text"), "tokens", *keep
     )
 
 

@@ -95,3 +95,14 @@ def test_copies_collapse_before_the_shuffle(spark):
     plan = prepared._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "SortAggregate" not in plan
     assert prepared.count() == 20000 - 6667 + 1
+
+
+def test_columns_to_keep_come_from_the_row_that_stays(spark):
+    rows = [(3, "a b", 30, "x"), (1, " a b", None, "y"), (2, "c d", 20, None), (4, None, 1, "z")]
+    df = spark.createDataFrame(rows, "row_id long, proposal_text string, source long, tokens_of string")
+    kept = pr.clean_and_prepare(df, words=[], min_len=1, keep=["source", "tokens_of"])
+    assert {(r["row_id"], r["clean_text"], r["source"], r["tokens_of"]) for r in kept.collect()} == {
+        (1, "a b", None, "y"), (2, "c d", 20, None),
+    }
+    plan = pr.clean_and_prepare(df, words=[], keep=["source"])._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
