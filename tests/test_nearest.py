@@ -55,3 +55,26 @@ def test_rows_meet_few_groups(spark):
     shared = spark.sparkContext.broadcast(pivots)
     packs = ne._packed(rows, "row_id", shared, spark.sparkContext.broadcast(np.full(6, 0.1)), 1000).collect()
     assert sum(len(p.ids) for p in packs) == len(y)
+
+
+def test_scattered_rows_go_in_large_packs(spark):
+    """Without groups every row meets all targets: packs and blocks are few then, and copies of a row too."""
+    from civictopics.operators import nearest as ne
+
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(5000, 16))
+    rows, _ = tables(spark, y, [(0, y[0])])
+    pivots = spark.sparkContext.broadcast(y[:70] / np.sqrt((y[:70] ** 2).sum(axis=1, keepdims=True)))
+    blocks = ne._packed(rows, "row_id", pivots, None, ne.BLOCK_TARGETS).collect()
+    assert len(blocks) <= 3 * 70 and sorted(i for b in blocks for i in b.ids) == list(range(5000))
+    # Three groups of some 2,000 targets, rather than 70 small ones.
+    copies = []
+    whole = ne._packed
+    ne._packed = lambda df, id_col, pivots, radii, rows: copies.append(len(pivots.value)) or whole(df, id_col, pivots, radii, rows)
+    try:
+        got = {r.id: r.topic for r in nearest_of_many(rows, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(-y)], "topic long, embedding array<double>")).collect()}
+    finally:
+        ne._packed = whole
+    assert copies == [3, 3]
+    want = brute(y[:200], list(enumerate(-y)))
+    assert all(got[i] == want[i][0] for i in range(200)) and len(got) == 5000
