@@ -9,7 +9,7 @@ by a tree of QR steps: each task factors its own rows, and factors are stacked a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,9 @@ ENTRIES = "array<struct<slot:bigint,value:double>>"
 MOST_BASIS = 1 << 24
 # Factors that are stacked in one step of the tree.
 STACKED = 32
+# Rows that a task works on at a time, and words whose slots it remembers before it starts anew.
+ROWS_AT_A_TIME = 2048
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -51,24 +54,44 @@ def sparse_vectors(df: DataFrame, idf: np.ndarray | None = None, width: int = FR
     def weigh(tokens: pa.Array) -> pa.Array:
         import hashlib
 
-        known, out = shared.value, []
+        known = shared.value
         seen: dict[str, tuple[int, float]] = {}
-        for words in tokens.to_pylist():
-            slots: dict[int, float] = {}
-            for word in words or ():
-                if word not in seen:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    sign = 1.0 if digest[16] < "8" else -1.0
-                    seen[word] = int(digest[8:16], 16) % width, sign * known[int(digest[:8], 16) % len(known)]
-                slot, weight = seen[word]
-                slots[slot] = slots.get(slot, 0.0) + weight
-            norm = sum(v * v for v in slots.values()) ** 0.5
-            out.append([{"slot": s, "value": v / norm} for s, v in sorted(slots.items()) if v] if norm else [])
-        return pa.array(out, pa.list_(pa.struct([("slot", pa.int64()), ("value", pa.float64())])))
+        ends, places, values = [np.zeros(1, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for lo in range(0, len(tokens), ROWS_AT_A_TIME):
+            place, value, end = [], [], []
+            for words in tokens.slice(lo, ROWS_AT_A_TIME).to_pylist():
+                slots: dict[int, float] = {}
+                for word in words or ():
+                    if word not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        digest = hashlib.md5(word.encode()).hexdigest()
+                        sign = 1.0 if digest[16] < "8" else -1.0
+                        seen[word] = int(digest[8:16], 16) % width, sign * known[int(digest[:8], 16) % len(known)]
+                    slot, weight = seen[word]
+                    slots[slot] = slots.get(slot, 0.0) + weight
+                norm = sum(v * v for v in slots.values()) ** 0.5
+                for slot, v in sorted(slots.items()) if norm else ():
+                    if v:
+                        place.append(slot)
+                        value.append(v / norm)
+                end.append(len(place))
+            ends.append(np.array(end, dtype=np.int32) + ends[-1][-1])
+            places.append(np.array(place, dtype=np.int64))
+            values.append(np.array(value))
+        entries = pa.StructArray.from_arrays([np.concatenate(places), np.concatenate(values)], ["slot", "value"])
+        return pa.ListArray.from_arrays(np.concatenate(ends), entries)
 
     return df.withColumn("entries", F.arrow_udf(weigh, returnType=ENTRIES)(F.col("tokens")))
 
 
+def _slices(columns: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """Columns in pieces of a bounded number of rows, without empty ones."""
+    for column in columns:
+        for lo in range(0, len(column), ROWS_AT_A_TIME):
+            yield column.slice(lo, ROWS_AT_A_TIME)
+
+
 def _times(entries: pa.Array, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows times ``matrix``, and the row, slot and value of every entry."""
     import pyarrow.compute as pc
@@ -112,8 +135,8 @@ def _there_and_back(df: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.nd
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, middle = shared.value
         total = np.zeros((width, directions))
-        for batch in batches:
-            product, rows, slots, values = _times(batch.column(0), matrix)
+        for entries in _slices(batch.column(0) for batch in batches):
+            product, rows, slots, values = _times(entries, matrix)
             product -= middle
             for column in range(directions):
                 total[:, column] += np.bincount(slots, values * product[rows, column], minlength=width)
@@ -169,10 +192,8 @@ def tall_factor(df: DataFrame, basis: np.ndarray) -> tuple[int, np.ndarray, np.n
         from pyspark import TaskContext
 
         matrix, held = shared.value, (0, np.zeros(directions), np.zeros((0, directions)))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            product = _times(batch.column(0), matrix)[0]
+        for entries in _slices(batch.column(0) for batch in batches):
+            product = _times(entries, matrix)[0]
             mean = product.mean(axis=0)
             held = stacked([held, (len(product), mean, np.linalg.qr(product - mean, mode="r"))])
         out = _one_factor(TaskContext.get().partitionId(), [held], directions)
@@ -235,11 +256,10 @@ def fit_components(
 def project_sparse(df: DataFrame, components: Components) -> DataFrame:
     """Adds ``reduced ARRAY<DOUBLE>``: ``entries`` along the components, the mean left in, as dense
     principal components have it."""
-    shared = df.sparkSession.sparkContext.broadcast(components.loadings)
+    shared, k = df.sparkSession.sparkContext.broadcast(components.loadings), components.loadings.shape[1]
 
     def project(entries: pa.Array) -> pa.Array:
-        product = _times(entries, shared.value)[0]
-        k = product.shape[1]
+        product = np.concatenate([np.zeros((0, k)), *(_times(part, shared.value)[0] for part in _slices([entries]))])
         return pa.ListArray.from_arrays(np.arange(0, len(product) * k + 1, k, dtype=np.int32), product.ravel())
 
     along: Column = F.arrow_udf(project, returnType="array<double>")(F.col("entries"))
