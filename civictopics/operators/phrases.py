@@ -22,6 +22,8 @@ from civictopics.functions import text as tx
 
 # Words of all phrases together that an automaton may have.
 AUTOMATON_WORDS = 1_000_000
+# Texts that a task works on at a time.
+ROWS_AT_A_TIME = 512
 
 
 class TokenAutomaton:
@@ -83,7 +85,7 @@ def _by_automaton(df: DataFrame, phrases: DataFrame, tokens_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton.value
         known = pa.array(sorted(machine.tokens), pa.string())
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS_AT_A_TIME) for whole in batches for lo in range(0, whole.num_rows, ROWS_AT_A_TIME)):
             tokens = batch.column(place)
             flat = tokens.flatten()
             # Texts without two tokens of phrases next to each other are passed over.
