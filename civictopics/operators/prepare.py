@@ -62,13 +62,35 @@ def stop_words(language: str = "portuguese") -> list[str]:
 def lemmatise(df: DataFrame, lexicon: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Replace each token that the lexicon ``(token, lemma)`` lists; others stay.
 
-    The lexicon may have any size, so the join carries no hint.  A document is put together
-    again from its own tokens, so a group is never larger than one text.
+    The lexicon may have any size, so the join carries no hint.  Only words that change leave their
+    text: each goes to the lexicon once for a text, and the lemmas come back as a map.  Rows of one
+    ``row_id``, which should be a key, all get the tokens of all of them; those of a null one get none.
     """
     others = [c for c in df.columns if c != tokens_col]
     # Written first, so that Spark sees its size: small ones are broadcast, and for others Spark
     # can split the rows of a frequent token, as each token has one row here.
     known = cut(lexicon.groupBy("token").agg(F.min("lemma").alias("lemma")), "lexicon")
+    repeated = cut(df.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1 and row_id is not null").select("row_id"), "repeated")
+    none = F.array().cast("array<string>")
+    single, again = df, None
+    if not repeated.isEmpty():
+        single = df.join(repeated, "row_id", "left_anti")
+        again = _lemmas_of_repeated(df.join(repeated, "row_id", "left_semi"), known, tokens_col)
+    changed = (
+        single.select("row_id", F.explode(F.array_distinct(tokens_col)).alias("token"))
+        .join(known, "token")
+        .groupBy("row_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas"))
+    )
+    lemmas = F.transform(tokens_col, lambda token: F.coalesce(F.try_element_at("_lemmas", token), token))
+    out = single.join(changed, "row_id", "left").select(
+        *others, F.when(F.col("row_id").isNotNull() & F.col(tokens_col).isNotNull(), lemmas).otherwise(none).alias(tokens_col)
+    )
+    return out if again is None else out.unionByName(again)
+
+
+def _lemmas_of_repeated(df: DataFrame, known: DataFrame, tokens_col: str) -> DataFrame:
+    others = [c for c in df.columns if c != tokens_col]
     changed = (
         df.select("row_id", F.posexplode(tokens_col).alias("pos", "token"))
         .join(known, "token", "left")

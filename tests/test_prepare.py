@@ -86,6 +86,18 @@ def test_lemmatise_keeps_order_and_repeats(spark):
     assert got == {1: ["casa", "verdes", "casa"], 2: []}
 
 
+def test_lemmatise_moves_only_words_that_change(spark):
+    rows = [(i, ["stay"] * 50 + ["casas", "casas", None]) for i in range(40)] + [(100, None), (None, ["casas"])]
+    rows += [(200, ["casas", "b"]), (200, ["c"])]
+    df = spark.createDataFrame(rows, "row_id long, tokens array<string>")
+    lexicon = spark.createDataFrame([("casas", "casa"), (None, "x"), ("b", None)], "token string, lemma string")
+    done = pr.lemmatise(df.filter("row_id < 200"), lexicon)
+    assert "posexplode" not in done._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((-1 if r.row_id is None else r.row_id, r.tokens) for r in pr.lemmatise(df, lexicon).collect())
+    assert got[0] == (-1, []) and got[1] == (0, ["stay"] * 50 + ["casa", "casa", None]) and got[41] == (100, [])
+    assert len(got) == 44 and all(i == 200 and sorted(t) == ["b", "c", "casa"] for i, t in got[42:])
+
+
 def test_copies_collapse_before_the_shuffle(spark):
     df = spark.range(20000).select(
         F.col("id").alias("row_id"),
