@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,19 +22,35 @@ FREQUENCY_BUCKETS = 1 << 18
 def bucket_frequencies(df: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> DataFrame:
     """``(bucket, df)``: in how many texts a word of the bucket occurs.
 
-    Bucket -1 holds the number of all texts, so one pass gives both.
+    Bucket -1 holds the number of all texts, so one pass gives both.  A task hashes the distinct words of
+    a batch and counts by itself, so that it sends at most one row for a bucket.
     """
-    found = F.array_distinct(
-        F.transform(
-            F.array_distinct("tokens"), lambda word: vx.hash_number(word) % buckets
-        )
-    )
-    every = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(found, F.array().cast("array<long>")))
-    return (
-        df.select(F.explode_outer(every).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("df"))
-    )
+    step = vx.ROWS_AT_A_TIME
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, dtype=np.int64)
+        rows = 0
+        for batch in batches:
+            tokens = batch.column(0)
+            rows += len(tokens)
+            coded = tokens.flatten().dictionary_encode()
+            # The number that ``hash_number`` gives.
+            bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in coded.dictionary.to_pylist()], dtype=np.int64) % buckets
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            for lo in range(0, len(tokens), step):
+                size = lengths[lo : lo + step]
+                code = coded.indices[ends[lo] - lengths[lo] : ends[lo + len(size) - 1]].drop_null().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                if coded.null_count:
+                    row = row[coded.indices[ends[lo] - lengths[lo] : ends[lo + len(size) - 1]].is_valid().to_numpy(zero_copy_only=False)]
+                counts += np.bincount(np.unique(row * buckets + bucket[code]) % buckets, minlength=buckets)
+        if rows:
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([np.append(used, -1), np.append(counts[used], rows)], names=["bucket", "df"])
+
+    parts = df.select("tokens").mapInArrow(run, "bucket long, df long")
+    return parts.groupBy("bucket").agg(F.sum("df").alias("df"))
 
 
 def inverse_frequencies(df: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> np.ndarray:

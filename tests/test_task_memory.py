@@ -9,6 +9,7 @@ import pytest
 
 from civictopics.functions import vectors as vx
 from civictopics.operators import components as cp
+from civictopics.operators import embed as em
 from civictopics.operators import phrases as ph
 
 
@@ -81,3 +82,16 @@ def test_phrases_come_in_pieces(spark):
     known = spark.createDataFrame([("a b", ["a", "b"])], "word string, words array<string>")
     found = {r.row_id: r.phrases for r in ph.find_phrases(df, known).collect()}
     assert found == {i: None if t is None else ["a b"] * (len(t) // 3) for i, t in rows}
+
+
+def test_bucket_frequencies_are_counted_in_the_tasks(spark):
+    """Equal to the expression of each word, with a row for a bucket and task instead of one for each word of a text."""
+    rows = [(i, [f"w{i % 7}", f"w{i % 11}", "all", "all"]) for i in range(1300)] + [(5000, None), (5001, []), (5002, ["all", None])]
+    df = spark.createDataFrame(rows, "row_id long, tokens array<string>").coalesce(2)
+    number = vx.F.expr("conv(substring(md5(word), 1, 8), 16, 10) % 8").cast("long").alias("bucket")
+    words = df.select("row_id", vx.F.explode("tokens").alias("word")).select("row_id", number).distinct()
+    want = {r[0]: r[1] for r in words.filter("bucket is not null").groupBy("bucket").count().collect()} | {-1: 1303}
+    found = em.bucket_frequencies(df, 8)
+    assert {r.bucket: r.df for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert em.bucket_frequencies(df.limit(0), 8).collect() == []
