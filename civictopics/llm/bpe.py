@@ -3,7 +3,8 @@
 A word's parts lie in one contiguous list with the merge ranks of neighbouring parts beside it.
 The smallest rank is looked up, the boundary below it deleted, and the two ranks around it taken
 anew.  Words are short, so scanning the list beats a tree; the few long ones use a heap over the
-same ranks, with the same result.
+same ranks, with the same result.  The new words of many texts are merged together: those of one
+length are the rows of one array, and each step merges one pair of every row that still has one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import pairwise
 
@@ -24,9 +26,15 @@ from pyspark.sql import types as T
 from civictopics.llm.common import add_columns
 
 NO_RANK = 1 << 60
+NO_PAIR = (1 << 31) - 1
 SHORT_WORD = 96
-# Pieces remembered by a Python worker; when there are more, it starts anew.
+# Words of one length that are worth an array.
+FEW_WORDS = 16
+# Pieces remembered by a Python worker, and as many words; when there are more, it starts anew.
 REMEMBERED = 100_000
+# A text is cut after so many characters, and so many pieces are held at a time.
+CHARS_AT_A_TIME = 1 << 19
+PIECES_AT_A_TIME = 1 << 17
 
 # Unicode white space, and the pattern that splits text before the merges.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -45,20 +53,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """Packed ids of pieces of text, computed on first use."""
-
-    def __init__(self, encode, prefix: str = "") -> None:
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.encode(self.prefix + piece)
-        if len(piece) <= SHORT_WORD:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = packed
-        return packed
+class _Ranks:
+    """Merge ranks of pairs of ids, in an open hash table."""
+
+    BITS = 18
+
+    def __init__(self, pairs: dict[tuple[int, int], int]) -> None:
+        size = 1 << max(self.BITS, (2 * len(pairs)).bit_length())
+        self.mask = np.int64(size - 1)
+        self.keys, self.ranks = np.full(size, -1, dtype=np.int64), np.full(size, NO_PAIR, dtype=np.int32)
+        keys = np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
+        for key, slot, rank in zip(keys.tolist(), self._slots(keys).tolist(), pairs.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & int(self.mask)
+            self.keys[slot], self.ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ (keys >> 17)) * np.int64(0x1E3779B97F4A7C15)
+        return (mixed >> 32) & self.mask
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NO_PAIR`` where it never merges."""
+        keys = left << 32 | right
+        slots = self._slots(keys)
+        found, ranks = self.keys[slots], self.ranks[slots]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        ranks[found != keys] = NO_PAIR
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & self.mask
+            found = self.keys[slots[open_]]
+            right_one = found == keys[open_]
+            ranks[open_[right_one]] = self.ranks[slots[open_[right_one]]]
+            open_ = open_[~right_one & (found >= 0)]
+        return ranks
 
 
 class ByteBpe:
@@ -91,8 +118,11 @@ class ByteBpe:
         longest = sorted(self.added, key=len, reverse=True)
         self.cut_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.split = regex.compile(SPLIT)
-        self.first, self.spaced = _Pieces(self._encode_piece), _Pieces(self._encode_piece, " ")
-        self.words = _Pieces(lambda word: np.array(self.merge(word.encode()), "<u4").tobytes())
+        self.byte_id, self.merged_id = np.array(self.byte_ids, dtype=np.int64), np.array(self.merged, dtype=np.int64)
+        self.pair_ranks = _Ranks(self.ranks)
+        # Packed ids of words, and of pieces of text that follow a space.
+        self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: merge the pair of lowest rank, the leftmost of equals, until none is left."""
@@ -135,21 +165,132 @@ class ByteBpe:
                         heapq.heappush(heap, (new, left))
         return [p for p in parts if p >= 0]
 
-    def _encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split.findall(piece)))
-
-    def _encode_plain(self, text: str) -> bytes:
-        """A text without added tokens.  It may be cut before a single space, as no match crosses one."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each of many words."""
+        out, by_length = [b""] * len(words), {}
+        for place, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(place)
+        for length, places in by_length.items():
+            if length > SHORT_WORD or len(places) < FEW_WORDS:
+                for place in places:
+                    out[place] = np.array(self.merge(words[place]), "<u4").tobytes()
+            else:
+                self._merge_rows(words, places, length, out)
+        return out
+
+    def _merge_rows(self, words: list[bytes], places: list[int], length: int, out: list[bytes]) -> None:
+        """``merge`` for words of one length: after each step all rows are one part shorter."""
+        joined = np.frombuffer(b"".join([words[p] for p in places]), "u1")
+        parts, rows = self.byte_id[joined].reshape(-1, length), np.array(places)
+
+        def finish(ended: np.ndarray, at: np.ndarray) -> None:
+            packed, size = ended.astype("<u4").tobytes(), 4 * ended.shape[1]
+            for i, place in enumerate(at.tolist()):
+                out[place] = packed[i * size : (i + 1) * size]
+
+        ranks = self.pair_ranks.of(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(rows), -1)
+        while ranks.shape[1]:
+            every = np.arange(len(rows))
+            at = ranks.argmin(axis=1)
+            low = ranks[every, at]
+            going = low < NO_PAIR
+            if not going.all():
+                finish(parts[~going], rows[~going])
+                parts, ranks, rows, at, low = parts[going], ranks[going], rows[going], at[going], low[going]
+                every = np.arange(len(rows))
+            if not len(rows):
+                return
+            n, left = parts.shape[1], at[:, None]
+            parts[every, at] = self.merged_id[low]
+            parts = parts[np.arange(n) != left + 1].reshape(len(rows), n - 1)
+            ranks = ranks[np.arange(n - 1) != left].reshape(len(rows), n - 2)
+            some = np.flatnonzero(at > 0)
+            to = at[some]
+            ranks[some, to - 1] = self.pair_ranks.of(parts[some, to - 1], parts[some, to])
+            some = np.flatnonzero(at < n - 2)
+            to = at[some]
+            ranks[some, to] = self.pair_ranks.of(parts[some, to], parts[some, to + 1])
+        finish(parts, rows)
+
+    def _learn(self, words: set[str], pieces: set[str]) -> tuple[list[str], list[str]]:
+        """Remember all of ``words`` and ``pieces``; the new ones that are too long to be kept."""
+        new = list(pieces.difference(self.spaced))
+        if len(self.spaced) + len(new) > REMEMBERED:
+            self.spaced.clear()
+            new = list(pieces)
+        # Letters of ASCII are one word; the pattern cuts what else there is.
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        others = list(set(new).difference(plain))
+        spaced = [" " + p for p in plain]
+        cut = [self.split.findall(" " + p) for p in others]
+        every = words.union(spaced, *cut)
+        unknown = list(every.difference(self.words))
+        if len(self.words) + len(unknown) > REMEMBERED:
+            self.words.clear()
+            unknown = list(every)
+        self.words.update(zip(unknown, self.merge_many([w.encode() for w in unknown])))
+        known = self.words.__getitem__
+        self.spaced.update(zip(plain, map(known, spaced)))
+        self.spaced.update(zip(others, [b"".join(map(known, found)) for found in cut]))
+        return [w for w in unknown if len(w) > SHORT_WORD], [p for p in new if len(p) > SHORT_WORD]
+
+    def _slices(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
+        """Words and then pieces after a space of a text without added tokens, some at a time.
+
+        It may be cut before a single space, as no match crosses one.
+        """
         if RUN.search(text):
-            return self._encode_piece(text)
-        first, *spaced = text.split(" ")
-        return self.first[first] + b"".join(map(self.spaced.__getitem__, spaced))
+            yield self.split.findall(text), []
+            return
+        end = text.find(" ")
+        yield self.split.findall(text if end < 0 else text[:end]), []
+        while end >= 0:
+            at, end = end + 1, text.find(" ", end + CHARS_AT_A_TIME)
+            yield [], text[at : None if end < 0 else end].split(" ")
+
+    def _parts(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes, list[str], list[str]]]:
+        """Slices of all texts, or the packed id of an added token, with the number of the text."""
+        for number, text in enumerate(texts):
+            if self.cut_added is None or not any(token in text for token in self.added):
+                segments = [text]
+            else:
+                segments = self.cut_added.split(text)
+            for segment in filter(None, segments):
+                if segment in self.added:
+                    yield number, self.added[segment], [], []
+                else:
+                    for words, spaced in self._slices(segment):
+                        yield number, b"", words, spaced
+
+    def encode_many(self, texts: Sequence[str]) -> list[bytes]:
+        """Packed ids of each text.  New words of neighbouring texts are merged together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def flush() -> None:
+            words, pieces = set().union(*[p[2] for p in held]), set().union(*[p[3] for p in held])
+            long_words, long_pieces = self._learn(words, pieces)
+            for number, packed, first, spaced in held:
+                out[number].append(packed)
+                out[number].append(b"".join(map(self.words.__getitem__, first)))
+                out[number].append(b"".join(map(self.spaced.__getitem__, spaced)))
+            for word in long_words:
+                del self.words[word]
+            for piece in long_pieces:
+                del self.spaced[piece]
+            held.clear()
+
+        for part in self._parts(texts):
+            held.append(part)
+            size += len(part[2]) + len(part[3])
+            if size >= PIECES_AT_A_TIME:
+                flush()
+                size = 0
+        flush()
+        return list(map(b"".join, out))
 
     def encode(self, text: str) -> bytes:
-        if self.cut_added is None or not any(token in text for token in self.added):
-            return self._encode_plain(text)
-        pieces = self.cut_added.split(text)
-        return b"".join(self.added.get(p) or self._encode_plain(p) for p in pieces if p)
+        return self.encode_many([text])[0]
 
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4").tolist()
@@ -167,7 +308,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def compute(texts):
         bpe = load(path)
-        packed = [bpe.encode(t or "") for t in texts]
+        packed = bpe.encode_many([t or "" for t in texts])
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype="int32")
         ids = np.frombuffer(b"".join(packed), "<u4").astype("int32")
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
@@ -209,8 +350,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str]
 
     def compute(texts):
         bpe, rows = load(path), []
-        for text in texts:
-            ids = bpe.encode(text or "")
+        for ids in bpe.encode_many([t or "" for t in texts]):
             decoded = bpe.decode(ids).encode()
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids))
         return list(zip(*rows))[: len(fields)] if rows else [[]] * len(fields)

@@ -56,3 +56,22 @@ def test_round_trip_of_odd_rows(spark):
     assert bpe.round_trip(df.limit(0), PATH).count() == 0
     back = bpe.decode(bpe.encode(df.drop("n_tokens"), PATH).drop("text"), PATH)
     assert sorted(r.text for r in back.collect()) == sorted(t or "" for _, t, _ in rows)
+
+
+def test_words_of_many_texts_are_merged_together(monkeypatch):
+    encoder = bpe.ByteBpe(PATH)
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list("thernisaéß中0"), random.integers(1, 12))) for _ in range(4000)]
+    alone = [np.array(encoder.merge(w.encode()), "<u4").tobytes() for w in words]
+    one_by_one = []
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda word: one_by_one.append(word) or merge(word))
+    assert encoder.merge_many([w.encode() for w in words]) == alone
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 4000, 50)] + ["", *HARD]
+    monkeypatch.setattr(bpe, "PIECES_AT_A_TIME", 1000)
+    monkeypatch.setattr(bpe, "CHARS_AT_A_TIME", 100)
+    monkeypatch.setattr(bpe, "REMEMBERED", 900)
+    got = encoder.encode_many(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(t) for t in texts]
+    assert len(one_by_one) < 1500 and len(encoder.words) <= 2000
+    assert max(map(len, [*encoder.words, *encoder.spaced])) <= bpe.SHORT_WORD
