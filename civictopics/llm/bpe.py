@@ -303,6 +303,11 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def unload() -> None:
+    """Let go of the encoders of this Python worker, which outlives its task."""
+    load.cache_clear()
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of each whole text as ``array<int>``; a null text has none, ``[]``."""
 
@@ -313,7 +318,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         ids = np.frombuffer(b"".join(packed), "<u4").astype("int32")
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
 
-    return add_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()))], compute)
+    return add_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()))], compute, done=unload)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -355,4 +360,4 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str]
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids))
         return list(zip(*rows))[: len(fields)] if rows else [[]] * len(fields)
 
-    return add_columns(df, text_col, fields, compute, keep)
+    return add_columns(df, text_col, fields, compute, keep, unload)

@@ -43,14 +43,21 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+def parts(
+    batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME, done: Callable[[], None] | None = None
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of a bounded number of rows, and at the end the memory given back.
 
     Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    A piece is a copy, so that whoever still holds the last one does not keep its whole batch beside
+    the next.  ``done`` is called first, to let go of what the task remembers.
     """
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+            yield whole.take(pa.array(range(at, min(at + rows, whole.num_rows)))) if whole.num_rows > rows else whole
+        del whole
+    if done is not None:
+        done()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -62,12 +69,13 @@ def add_columns(
     fields: Sequence[tuple[str, T.DataType]],
     compute: Callable[[list[str | None]], Sequence[Sequence]],
     keep: Sequence[str] | None = None,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from whole texts, one Arrow batch at a time, without a shuffle.
 
     ``compute`` takes the texts of a batch and returns one list for each field.  ``keep`` names
     the columns of ``df`` that stay (default: all).  An input column with the name of an added
-    one is replaced.
+    one is replaced.  ``done`` is called at the end of each task.
     """
     added = T.StructType([T.StructField(name, kind) for name, kind in fields])
     taken = {name.lower() for name in added.names}
@@ -80,7 +88,7 @@ def add_columns(
     place = kept.index(read) if read else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, done=done):
             columns = [batch.column(i) for i in range(len(kept))]
             values = compute(batch.column(place).to_pylist())
             columns += [pa.array(v, type=f.type) for v, f in zip(values, types, strict=True)]

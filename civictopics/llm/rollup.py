@@ -105,7 +105,7 @@ def with_counts(df: DataFrame, path: str, text_col: str = "text", count_col: str
         encoder = bpe.load(path)
         return [[len(ids) // 4 for ids in encoder.encode_many([t or "" for t in texts])]]
 
-    return add_columns(df, text_col, [(count_col, T.LongType())], compute, keep)
+    return add_columns(df, text_col, [(count_col, T.LongType())], compute, keep, bpe.unload)
 
 
 def changed(df: DataFrame, tokenizer: str, before: str | None, after: str | None) -> DataFrame:

@@ -1,13 +1,14 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from civictopics.llm import bpe
-from civictopics.llm.common import tokenizer_path
+from civictopics.llm.common import parts, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -75,3 +76,33 @@ def test_words_of_many_texts_are_merged_together(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(t) for t in texts]
     assert len(one_by_one) < 1500 and len(encoder.words) <= 2000
     assert max(map(len, [*encoder.words, *encoder.spaced])) <= bpe.SHORT_WORD
+
+
+def test_tasks_leave_no_encoder_in_their_worker(spark):
+    def held(batches):
+        import pyarrow as pa
+
+        from civictopics.llm import bpe
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.load.cache_info().currsize] * batch.num_rows)], names=["n"])
+
+    df = spark.range(40).repartition(4).selectExpr("id", "concat('text ', id) text")
+    assert bpe.round_trip(df, PATH).count() == 40 and bpe.encode(df, PATH).agg({"ids": "count"}).first()[0] == 40
+    assert {r.n for r in spark.range(40).repartition(4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_a_batch_is_gone_before_the_next_is_read():
+    before, held = pa.total_allocated_bytes(), []
+
+    def batches():
+        for k in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}-{i}" * 500 for i in range(2500)])], names=["text"])
+
+    seen = []
+    for piece in parts(batches()):
+        assert piece.num_rows in (500, 1000)
+        seen += [t[: t.index("-") + 3] for t in piece.column(0).to_pylist()]
+    assert len(seen) == 7500 and seen[0].startswith("0-0") and seen[-1].startswith("2-2")
+    assert max(held) < 3_000_000
