@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civictopics.functions import text as tx
 from civictopics.storage import cut
 
+# Rows of a table of groupings that the tasks receive; a larger one is joined.
+MOST_PLACED = 1 << 18
 
 def vocabulary(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """``(word, cf, df)``: how often a word occurs, and in how many rows.
@@ -109,6 +113,85 @@ def top_words(weights: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFr
     )
 
 
+def top_words_of_groupings(counts: DataFrame, placed: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """``top_words`` of ``class_tfidf`` for many groupings of the same groups, without a row per grouping and word.
+
+    ``counts (group, word, cnt)`` is read once; ``placed (by..., group, topic)`` says where each grouping puts
+    each group, and groups that a grouping lacks do not count there.  All counts of a word meet in one row, from
+    which a task weighs the word for every grouping; only the ``n`` heaviest words of each topic in a batch
+    leave it.  Null groups, topics and words are left out.
+    """
+    by = list(by)
+    keys = [*by, "topic"]
+    counts = counts.filter(tx.all_of([F.col(c).isNotNull() for c in ("group", "word")]))
+    placed = placed.filter(tx.all_of([F.col(c).isNotNull() for c in (*keys, "group")]))
+    rows = placed.select(*keys, "group").limit(MOST_PLACED + 1).collect()
+    if len(rows) > MOST_PLACED:
+        joined = counts.join(placed, "group").groupBy(*keys, "word").agg(F.sum("cnt").alias("cnt"))
+        return top_words(class_tfidf(cut(joined, "counts"), by), n, by)
+    totals = dict(counts.groupBy("group").agg(F.sum("cnt")).join(placed.select("group").distinct(), "group", "left_semi").collect())
+    # One grouping after another: places of its groups, and the words of its topics.
+    topics = sorted({tuple(r)[:-1] for r in rows if r["group"] in totals})
+    number = {topic: i for i, topic in enumerate(topics)}
+    code = {group: i for i, group in enumerate(sorted(totals))}
+    sizes = np.zeros(len(topics), dtype=np.int64)
+    runs: dict[tuple, list[tuple[int, int]]] = {}
+    for row in rows:
+        if row["group"] in totals:
+            topic = number[tuple(row)[:-1]]
+            sizes[topic] += totals[row["group"]]
+            runs.setdefault(tuple(row)[:-2], []).append((code[row["group"]], topic))
+    places, means = [], np.zeros(len(topics))
+    for pairs in runs.values():
+        groups, at = np.array(sorted(pairs)).T
+        own = np.unique(at)
+        means[own] = sizes[own].sum() // len(own)
+        places.append((groups, at))
+    spark = counts.sparkSession
+    coded = spark.createDataFrame(list(code.items()), counts.select("group", F.lit(0).alias("code")).schema)
+    shared = spark.sparkContext.broadcast((places, sizes, means))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, sizes, means = shared.value
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            # Words by their order, in which ties are broken.
+            order = np.empty(len(words), dtype=np.int64)
+            order[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+            lengths = batch.column(1).value_lengths().to_numpy()
+            group, cnt = (batch.column(1).flatten().field(k).to_numpy() for k in range(2))
+            word = np.repeat(np.arange(len(words)), lengths)
+            for groups, at in places:
+                # A group may have several places in a grouping, then it counts in each.
+                first, last = np.searchsorted(groups, group, "left"), np.searchsorted(groups, group, "right")
+                times = last - first
+                entry = np.repeat(np.arange(len(group)), times)
+                place = at[np.repeat(first - np.cumsum(times) + times, times) + np.arange(len(entry))]
+                cell, index = np.unique(word[entry] * len(sizes) + place, return_inverse=True)
+                total = np.bincount(word[entry], weights=cnt[entry], minlength=len(words))
+                held = np.bincount(index, weights=cnt[entry], minlength=len(cell))
+                w, topic = cell // max(len(sizes), 1), cell % max(len(sizes), 1)
+                weight = np.round(held / sizes[topic] * np.log(1 + means[topic] / total[w]), 9)
+                best = np.lexsort((order[w], -weight, topic))
+                start = np.searchsorted(topic[best], topic[best])
+                best = best[np.arange(len(best)) - start < n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(topic[best]), batch.column(0).take(pa.array(w[best])),
+                     pa.array(held[best].astype(np.int64)), pa.array(total[w[best]].astype(np.int64))],
+                    names=["place", "word", "cnt", "word_total"],
+                )
+
+    whole = (
+        counts.join(coded, "group").groupBy("word").agg(F.collect_list(F.struct("code", F.col("cnt").cast("long").alias("cnt"))).alias("held"))
+        .mapInArrow(run, "place long, word string, cnt long, word_total long")
+    )
+    known = [(*t, i, int(sizes[i]), int(means[i])) for i, t in enumerate(topics)]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*keys).schema)
+    about = spark.createDataFrame(known, f"{fields}, place long, topic_words long, mean_words long")
+    weight = F.col("cnt") / F.col("topic_words") * F.log(1 + F.col("mean_words") / F.col("word_total"))
+    return top_words(whole.join(about, "place").select(*keys, "word", weight.alias("weight")), n, by)
+
+
 def exclude_outliers(df: DataFrame, topic_col: str = "topic") -> DataFrame:
     """Rows of real topics, without the outlier topic -1."""
     return df.filter(F.col(topic_col) != -1)

@@ -161,3 +161,22 @@ def test_only_labelled_rows_of_topics_count(spark):
     )
     assert ag.contingency(df, "gold").count() == 2
     assert ag.coverage(df, "gold").first().coverage == 0.5
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_top_words_of_many_groupings(spark, monkeypatch, most):
+    rows = [(g, f"w{w}", 1 + (7 * g + 3 * w) % 5) for g in range(6) for w in range(40) if (g + w) % 3]
+    rows += [(0, None, 50), (None, "w1", 9), (9, "nowhere", 99)]
+    counts = spark.createDataFrame(rows, "group long, word string, cnt long").repartition(3)
+    places = [(run, g, g % (run + 2) - 1) for run in range(3) for g in range(6)]
+    # A group with two places, one that has no words, and a grouping without topics.
+    places += [(0, 1, 5), (1, 77, 0), (2, None, 1), (4, 0, None)]
+    placed = spark.createDataFrame(places, "run long, group long, topic long")
+    joined = counts.join(placed, "group").filter("word is not null and topic is not null").groupBy("run", "topic", "word").agg(F.sum("cnt").alias("cnt"))
+    expected = vo.top_words(vo.class_tfidf(joined, ["run"]), 5, ["run"])
+    monkeypatch.setattr(vo, "MOST_PLACED", most)
+    got = vo.top_words_of_groupings(counts, placed, 5, ["run"])
+    assert got.columns == expected.columns and expected.count() >= 50
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    none = vo.top_words_of_groupings(counts.limit(0), placed, 5, ["run"])
+    assert none.count() == 0
