@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civictopics.functions.vectors import ROWS_AT_A_TIME
 from civictopics.operators.vocabulary import topics_with_words
 from civictopics.storage import cut
 
@@ -14,6 +18,9 @@ from civictopics.storage import cut
 EPSILON = 1e-12
 COHERENCE_SHARE = 0.8
 DIVERSITY_SHARE = 0.2
+# Topic words that the tasks receive; more are joined with the texts.
+MOST_WORDS = 1 << 17
+
 
 def topic_diversity(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., nd)``: distinct words over all words of the topics, 0 without topics."""
@@ -35,9 +42,42 @@ def _marked_tokens(docs: DataFrame, words: DataFrame) -> DataFrame:
     return docs.join(known, "row_id").select(marks.alias("marks"))
 
 
-def _window_words(marks: Column, start: Column, window: int) -> Column:
-    at = [F.get(marks, start + i) for i in range(window)]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*at))))
+def _windows_of(tokens: pa.Array, words: frozenset[str] | None, window: int) -> pa.RecordBatch:
+    """What ``word_windows`` counts, for the texts of one batch; ``words`` are all that are not null when not given."""
+    coded = tokens.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted((i for i, name in enumerate(names) if words is None or name in words), key=names.__getitem__)
+    # Numbers in the order of the words, -1 for all others; nulls are at the end.
+    number = np.full(len(names) + 1, -1, dtype=np.int64)
+    number[order] = np.arange(len(order))
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    found, total = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
+    for lo in range(0, len(tokens), ROWS_AT_A_TIME):
+        size = lengths[lo : lo + ROWS_AT_A_TIME]
+        first = ends[lo : lo + len(size)] - size
+        codes = coded.indices[first[0] : first[-1] + size[-1]]
+        word = number[pc.fill_null(codes, len(names)).to_numpy(zero_copy_only=False)]
+        at = np.flatnonzero(word >= 0)
+        row = np.searchsorted(first - first[0], at, "right") - 1
+        n_windows = np.maximum(size - (window - 1), 1)
+        total += int(n_windows[np.unique(row)].sum())
+        # Every window that a word is in, by the place in the text at which it starts.
+        place = at - (first - first[0])[row]
+        low, high = np.maximum(place - (window - 1), 0), np.minimum(place, n_windows[row] - 1)
+        times = high - low + 1
+        start = np.repeat(at - place + low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        held = np.unique(start * (len(order) + 1) + np.repeat(word[at], times))
+        start, inside = held // (len(order) + 1), held % (len(order) + 1)
+        for step in range(min(window, len(held))):
+            same = np.flatnonzero(start[: len(start) - step] == start[step:])
+            found.append(np.unique(inside[same] * len(order) + inside[same + step], return_counts=True))
+    pair, index = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+    cnt = np.bincount(index, weights=np.concatenate([c for _, c in found]), minlength=len(pair)).astype(np.int64)
+    named = coded.dictionary.take(pa.array(order, pa.int64())).cast(pa.string())
+    null = pa.nulls(1, pa.string())
+    sides = [pa.concat_arrays([named.take(pa.array(side)), null]) for side in (pair // max(len(order), 1), pair % max(len(order), 1))]
+    return pa.RecordBatch.from_arrays([*sides, pa.array(np.append(cnt, total))], names=["word_a", "word_b", "cnt"])
 
 
 def word_windows(docs: DataFrame, words: DataFrame, window: int = 10) -> DataFrame:
@@ -45,38 +85,21 @@ def word_windows(docs: DataFrame, words: DataFrame, window: int = 10) -> DataFra
 
     A text of L tokens has ``max(L - window + 1, 1)`` windows, and only texts with a word of
     ``words`` count.  ``(w, w)`` rows hold the windows of one word, the row with null words the
-    number of all windows.  Equal windows are counted before they are split into pairs, and a
+    number of all windows.  Tasks get up to ``MOST_WORDS`` words and read the texts where they lie; more
+    are joined with the texts.  A task counts the pairs of a batch before they are sent, and a
     window has at most ``window`` words, so no step grows faster than the text.
     """
-    n_windows = F.greatest(F.size("marks") - (window - 1), F.lit(1))
-    sets = F.transform(
-        F.sequence(F.lit(0), n_windows - 1),
-        lambda start: _window_words(F.col("marks"), start, window),
-    )
-    relevant = F.exists("marks", lambda mark: mark.isNotNull())
-    counted = (
-        _marked_tokens(docs, words)
-        .select(F.explode_outer(F.when(relevant, sets)).alias("found"))
-        .filter(F.col("found").isNotNull())
-        .groupBy("found")
-        .agg(F.count("*").alias("cnt"))
-    )
-    pairs = F.flatten(
-        F.transform(
-            "found",
-            lambda a, i: F.transform(
-                F.slice("found", i + 1, F.size("found")),
-                lambda b: F.struct(a.alias("word_a"), b.alias("word_b")),
-            ),
-        )
-    )
-    total = F.array(F.struct(F.lit(None).cast("string").alias("word_a"),
-                             F.lit(None).cast("string").alias("word_b")))
-    return (
-        counted.select(F.inline(F.concat(pairs, total)), "cnt")
-        .groupBy("word_a", "word_b")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
+    rows = words.select("word").filter("word is not null").limit(MOST_WORDS + 1).collect()
+    wanted = frozenset(row[0] for row in rows) if len(rows) <= MOST_WORDS else None
+    marked = docs.filter("row_id is not null").select("tokens") if wanted is not None else _marked_tokens(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _windows_of(batch.column(0), wanted, window)
+
+    counted = marked.mapInArrow(run, "word_a string, word_b string, cnt long")
+    return counted.filter("cnt > 0").groupBy("word_a", "word_b").agg(F.sum("cnt").alias("cnt"))
 
 
 def topic_coherence(
@@ -90,7 +113,8 @@ def topic_coherence(
     by = list(by)
     keys = [*by, "topic"]
     words = cut(words.select(*keys, "word").distinct(), "topic-words")
-    counts = word_windows(docs, words.select("word").distinct(), window)
+    # Read three times: for the number of windows, single words and pairs.
+    counts = cut(word_windows(docs, words.select("word").distinct(), window), "windows")
     total = counts.filter(F.col("word_a").isNull()).agg(F.max("cnt")).scalar()
     single = counts.filter(F.col("word_a") == F.col("word_b")).select(
         F.col("word_a").alias("word"), F.col("cnt").alias("cnt_one")

@@ -180,3 +180,28 @@ def test_top_words_of_many_groupings(spark, monkeypatch, most):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     none = vo.top_words_of_groupings(counts.limit(0), placed, 5, ["run"])
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_windows_against_brute_force_over_several_pieces(spark, monkeypatch, most):
+    monkeypatch.setattr(co, "MOST_WORDS", most)
+    monkeypatch.setattr(co, "ROWS_AT_A_TIME", 3)
+    texts = [[f"w{(i * i + 3 * j * j + i * j) % 23}" for j in range(i)] for i in range(40)]
+    texts += [None, [], ["w1", None, "w1", "ä", "w2"], ["none"] * 30]
+    rows = [(i if i != 7 else 6, t) for i, t in enumerate(texts)] + [(None, ["w1"] * 12)]
+    docs = spark.createDataFrame(rows, "row_id long, tokens array<string>").repartition(2)
+    wanted = {"w1", "w2", "w5", "w9", "ä", "missing"}
+    words = spark.createDataFrame([(w,) for w in wanted], "word string")
+    expected = {}
+    for i, tokens in rows:
+        if i is None or not wanted & set(tokens or []):
+            continue
+        for s in range(max(len(tokens) - 9, 1)):
+            held = sorted(wanted & set(tokens[s:s + 10]))
+            for pair in [(None, None), *((a, b) for a in held for b in held if a <= b)]:
+                expected[pair] = expected.get(pair, 0) + 1
+    counts = co.word_windows(docs, words)
+    assert {(r.word_a, r.word_b): r.cnt for r in counts.collect()} == expected
+    # Windows are counted inside tasks, not as a row for each.
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString() or most == 0
+    assert co.word_windows(docs.limit(0), words).count() == 0
