@@ -33,7 +33,8 @@ def plain_word(word: Column) -> Column:
 def trigrams(word: Column) -> Column:
     """The distinct runs of three characters of a word between marks that no word contains."""
     marked = F.concat(F.lit("^"), plain_word(word), F.lit("$"))
-    runs = F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda at: F.substring(marked, at, F.lit(3)))
+    # As the variable of an outer function, so that the letters are not read anew for every run.
+    runs = F.transform(F.array(marked), lambda m: F.transform(F.sequence(F.lit(1), F.length(m) - 2), lambda at: F.substring(m, at, F.lit(3))))[0]
     return F.when(F.length(word) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
@@ -129,7 +130,9 @@ def classify_by_spelling(
     )
     names = named.select(F.explode("words").alias("name_word"))
     cleaned = tx.clean_text(F.col(text_col), drop_words, None)
-    split = df.filter(F.col(text_col).isNotNull()).select("row_id", tx.model_tokens(cleaned).alias("words"))
+    # A projection of its own, because the tokens name the cleaned text twice.
+    shown = df.filter(F.col(text_col).isNotNull()).select("row_id", cleaned.alias("_cleaned"))
+    split = shown.select("row_id", tx.model_tokens(F.col("_cleaned")).alias("words"))
     found = found_words(split, names, alike)
     asked = found.withColumns({
         "_options": top.select("options").scalar(), "_words": top.select("option_words").scalar(),

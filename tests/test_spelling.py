@@ -80,3 +80,24 @@ def test_empty_tables_and_kept_columns(spark):
     assert none.columns == ["row_id", "extra", "n1", "n2", "share_1", "share_2"] and none.count() == 0
     bare = sp.classify_by_spelling(df, taxonomy(spark).limit(0))
     assert bare.count() == len(TEXTS) and bare.filter(F.col("n1").isNotNull()).count() == 0
+
+
+def test_letters_and_texts_are_read_once(spark):
+    words = ["", "a", "Ção", "aaaa", "saúde", "𝒳y", None]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    grams = df.select("word", sp.trigrams(F.col("word")).alias("grams"))
+    got = {r.word: r.grams for r in grams.collect()}
+    assert got == {"": [], "a": ["^a$"], "Ção": ["^ca", "cao", "ao$"], "aaaa": ["^aa", "aaa", "aa$"],
+                   "saúde": ["^sa", "sau", "aud", "ude", "de$"], "𝒳y": ["^𝒳y", "𝒳y$"], None: []}
+    assert grams._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_cleaned_texts_are_made_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sp, "found_words", lambda texts, *rest: seen.append(texts) or texts.select("row_id", F.lit(None).cast("map<string,double>").alias("found")))
+    docs = spark.createDataFrame([(1, "Item: saude"), (2, None), (3, "")], "row_id long, proposal_text string")
+    tax = spark.createDataFrame([("Saúde", 0, None, 0)], "n1 string, n1_pos int, n2 string, n2_pos int")
+    sp.classify_by_spelling(docs, tax)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Parágrafo") == 1
+    assert {r.row_id: r.words for r in seen[0].collect()} == {1: ["saude"], 3: ["emptydoc"]}
