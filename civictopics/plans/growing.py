@@ -8,10 +8,13 @@ Topics are found on the cells, as everywhere, and keep their numbers from one ba
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from civictopics.storage import committed, cut, delete
 # Texts without a vector have no cell; their words are kept under this key.
 OUTSIDE = -1
 MILLIONTHS = 10**6
+# Texts whose words a task adds up at a time.
+TEXTS_AT_A_TIME = 4096
 
 
 def placed(docs: DataFrame, settings: Settings, idf: np.ndarray | None = None) -> DataFrame:
@@ -43,21 +48,51 @@ def signed_counts(docs: DataFrame, settings: Settings, idf: np.ndarray | None =
 
     ``sign`` is 1 for a text that comes and -1 for one that leaves; rows with a null sign are ignored.  The row
     with a null word counts the texts of a cell and sums their coordinates.
-    Both tables come out of one aggregation, which combines in the map tasks.
+    Tasks add up the words of some texts by themselves, and both tables come out of one aggregation.
     """
     rows = placed(docs.select("tokens", F.col("sign").cast("long").alias("sign")), settings, idf)
     unit = density.unit_coordinates("reduced", settings.k)
     sums = [f"sum_{i}" for i in range(settings.k)]
     parts = rows.filter("sign is not null").select(
         F.coalesce("cell", F.lit(OUTSIDE)).alias("cell"), "sign",
-        *[F.coalesce(F.round(u * MILLIONTHS).cast("long"), F.lit(0)).alias(s) for s, u in zip(sums, unit)],
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("word"),
+        *[F.coalesce(F.round(u * MILLIONTHS).cast("long"), F.lit(0)).alias(s) for s, u in zip(sums, unit)], "tokens",
     )
 
-    def total(name: str) -> Column:
-        return F.sum(F.when(F.col("word").isNull(), F.col(name) * F.col("sign")).otherwise(0)).alias(name)
-
-    return _not_empty(parts.groupBy("cell", "word").agg(F.sum("sign").alias("cnt"), *map(total, sums)), sums)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_A_TIME):
+                batch = whole.slice(at, TEXTS_AT_A_TIME)
+                cell, sign, *coordinates = (batch.column(i).to_numpy() for i in range(batch.num_columns - 1))
+                tokens = batch.column(batch.num_columns - 1)
+                values, number = np.unique(cell, return_inverse=True)
+                # The row of a cell itself.
+                by_cell = np.argsort(number, kind="stable")
+                first = np.searchsorted(number[by_cell], np.arange(len(values)))
+                added = [np.add.reduceat(x[by_cell], first) for x in (sign, *(c * sign for c in coordinates))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values), pa.nulls(len(values), pa.string()), *map(pa.array, added)], names=["cell", "word", "cnt", *sums]
+                )
+                coded = tokens.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                key = number[row] * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                cnt = np.add.reduceat(sign[row[order]], first)
+                of, word = np.divmod(key[first], len(coded.dictionary))
+                none = pa.array(np.zeros(len(first), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[of]), coded.dictionary.take(pa.array(word)), pa.array(cnt), *[none] * len(sums)], names=["cell", "word", "cnt", *sums]
+                )
+
+    counted = parts.mapInArrow(run, _schema(sums))
+    return _not_empty(counted.groupBy("cell", "word").agg(*[F.sum(c).alias(c) for c in ("cnt", *sums)]), sums)
+
+
+def _schema(sums: list[str]) -> str:
+    return "cell long, word string, cnt long, " + ", ".join(f"{s} long" for s in sums)
 
 
 def _not_empty(counts: DataFrame, sums: list[str]) -> DataFrame:
@@ -143,16 +178,20 @@ class GrowingModel:
                     if n < covered or (n == covered and name == "batch"):
                         delete(spark, f"{self.folder}/{name}={n}")
 
-    def state(self, spark: SparkSession) -> DataFrame:
-        """``(cell, word, cnt, sum_0, ...)`` of all batches; see ``signed_counts``."""
-        sums = [f"sum_{i}" for i in range(self.settings.k)]
-        schema = "cell long, word string, cnt long, " + ", ".join(f"{s} long" for s in sums)
+    def _sums(self) -> list[str]:
+        return [f"sum_{i}" for i in range(self.settings.k)]
+
+    def _changes(self, spark: SparkSession) -> DataFrame:
+        """What the batches changed, those that were added up before as one."""
+        schema = _schema(self._sums())
         paths = [f"{self.folder}/base={n}" for n in self._base(spark)]
         paths += [f"{self.folder}/batch={n}" for n in self._open_batches(spark)]
-        if not paths:
-            return spark.createDataFrame([], schema)
-        changes = spark.read.schema(schema).parquet(*paths)
-        added = changes.groupBy("cell", "word").agg(*[F.sum(c).alias(c) for c in ("cnt", *sums)])
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def state(self, spark: SparkSession) -> DataFrame:
+        """``(cell, word, cnt, sum_0, ...)`` of all batches; see ``signed_counts``."""
+        sums = self._sums()
+        added = self._changes(spark).groupBy("cell", "word").agg(*[F.sum(c).alias(c) for c in ("cnt", *sums)])
         return _not_empty(added, sums)
 
     def cells(self, spark: SparkSession) -> DataFrame:
@@ -163,7 +202,9 @@ class GrowingModel:
 
     def words(self, spark: SparkSession) -> DataFrame:
         """``(cell, word, cnt)``; the words of texts without a vector have cell -1."""
-        return self.state(spark).filter(F.col("word").isNotNull() & (F.col("cnt") > 0)).select("cell", "word", "cnt")
+        # Only the row of a cell has sums.
+        words = self._changes(spark).filter("word is not null").groupBy("cell", "word").agg(F.sum("cnt").alias("cnt"))
+        return words.filter("cnt > 0")
 
     def _settled(self, spark: SparkSession, version: int) -> DataFrame:
         return spark.read.schema("cell long, topic long").parquet(f"{self.folder}/topics={version}")

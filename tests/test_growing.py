@@ -167,3 +167,16 @@ def test_as_sink_of_a_stream(spark):
 def test_settings_that_cannot_grow(spark):
     with pytest.raises(ValueError):
         GrowingModel("x", Settings())
+
+
+def test_tasks_add_up_words_before_they_leave(spark, monkeypatch):
+    monkeypatch.setattr("civictopics.plans.growing.TEXTS_AT_A_TIME", 50)
+    rows = [(i, ["hot", "hot", None, f"w{i % 3}"], None if i == 0 else 1) for i in range(200)]
+    rows += [(500, None, 1), (501, [], 1), (502, ["gone"], 1), (502, ["gone"], -1)]
+    counts = signed_counts(spark.createDataFrame(rows, SCHEMA).coalesce(1), SETTINGS)
+    found = {}
+    for r in counts.collect():
+        found[r.word] = found.get(r.word, 0) + r.cnt
+    assert found == {None: 201, "hot": 398, "w0": 66, "w1": 67, "w2": 66}
+    # No row for each word goes on: the plan has no generator.
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
