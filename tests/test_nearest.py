@@ -78,3 +78,44 @@ def test_scattered_rows_go_in_large_packs(spark):
     assert copies == [3, 3]
     want = brute(y[:200], list(enumerate(-y)))
     assert all(got[i] == want[i][0] for i in range(200)) and len(got) == 5000
+
+
+def test_the_query_takes_every_vector(spark, tmp_path):
+    from checks.oracles import ORACLES
+    from checks.queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 260)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r.row_id for r in QUERIES["nearest_of_many"](spark, str(tmp_path)).collect()) == list(range(1, 260))
+    assert "%" not in ORACLES["nearest_of_many"]
+
+
+def test_vectors_are_written_once_and_not_for_each_group(spark, monkeypatch):
+    from civictopics.operators import nearest as ne
+
+    monkeypatch.setattr(ne, "GROUP_TARGETS", 50)
+    monkeypatch.setattr(ne, "HELD", 200)
+    monkeypatch.setattr(ne, "HELD_PACKS", 2)
+    monkeypatch.setattr(ne, "PACK_ROWS", 64)
+    written = {}
+
+    def noted(df, name, plain=ne.cut):
+        written[name] = plain(df, name)
+        return written[name]
+
+    monkeypatch.setattr(ne, "cut", noted)
+    rng = np.random.default_rng(7)
+    # Scattered rows meet all groups.  A third of the targets are one vector, some differ by less than single precision tells.
+    y = np.concatenate([rng.normal(size=(300, 16)), np.tile(rng.normal(size=(1, 16)), (150, 1))])
+    y = np.concatenate([y, y[:100] + rng.normal(scale=1e-8, size=(100, 16))])
+    x = np.concatenate([rng.normal(size=(300, 16)), y[:50], y[310:315]])
+    targets = [(int(t), v) for t, v in zip(rng.permutation(len(y)), y)]
+    got = {r.id: (r.topic, r.sim) for r in nearest_of_many(*tables(spark, x, targets)).collect()}
+    want = brute(x, targets)
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 2e-9 for i in want)
+    packs, blocks = (written[name].collect() for name in ("row-packs", "target-blocks"))
+    assert sum(len(p.ids) for p in packs) == len(x) and sum(len(b.ids) for b in blocks) == len(y)
+    # Small blocks that many tasks leave are put together by group.
+    assert len(blocks) == len({b.pivot for b in blocks}) and any(len(p.meets) > 3 for p in packs)
