@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from civictopics.storage import cut, new_path, scratch, settled, shared_folder
+from civictopics.storage import CLEANUP, cut, new_path, scratch, settled, shared_folder
 
 
 def session(master, configured=None, checkpoint=None):
@@ -49,3 +49,16 @@ def test_settled_keeps_only_its_result(spark):
     assert sorted(r.a for r in settled(spark, "stays", make).collect()) == [2, 3, 4]
     path = spark._jvm.org.apache.hadoop.fs.Path(places[0])
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_what_a_written_table_has_shuffled_is_deleted(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, kept = shuffled(), spark.conf.get(CLEANUP)
+    table = cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count().repartition(3, "k"), "grouped")
+    assert sorted(r["count"] for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert shuffled() <= before and spark.conf.get(CLEANUP) == kept
