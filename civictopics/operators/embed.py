@@ -102,6 +102,51 @@ def sign_matrix(dim: int, k: int, salt: str = "") -> np.ndarray:
     return np.array(signs) / np.sqrt(k)
 
 
+def second_moments(df: DataFrame, dim: int, vector_col: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sum and sum of the outer products of the vectors of ``df``, in one pass.
+
+    A task adds up its products by itself and sends one row for a number of the vector.
+    """
+    step = vx.ROWS_AT_A_TIME
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(dim), np.zeros((dim, dim))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.column(0).slice(lo, step)
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
+                n, total = n + len(x), total + x.sum(axis=0)
+                products += x.T @ x
+        if n:
+            values = pa.ListArray.from_arrays(np.arange(0, dim * (dim + 2) + 1, dim, dtype=np.int32), np.concatenate([products.ravel(), total, np.full(dim, float(n))]))
+            yield pa.RecordBatch.from_arrays([np.arange(dim + 2, dtype=np.int32), values], names=["place", "numbers"])
+
+    def add(group: pa.Table) -> pa.Table:
+        numbers = group.column("numbers").combine_chunks().flatten().to_numpy().reshape(-1, dim).sum(axis=0)
+        return pa.table({"place": group.column("place").slice(0, 1), "numbers": pa.array([numbers], pa.list_(pa.float64()))})
+
+    schema = "place int, numbers array<double>"
+    rows = dict(df.select(vector_col).mapInArrow(run, schema).groupBy("place").applyInArrow(add, schema).collect())
+    if not rows:
+        return 0, np.zeros(dim), np.zeros((dim, dim))
+    return round(rows[dim + 1][0]), np.array(rows[dim]), np.array([rows[i] for i in range(dim)])
+
+
+def component_matrix(df: DataFrame, k: int, dim: int, vector_col: str = "embedding") -> np.ndarray:
+    """The ``dim x k`` matrix of Spark's principal components of ``df``, whose vectors are read once and written nowhere.
+
+    Spark fits them on ``2 * dim`` rows that have the covariances of all rows.
+    """
+    n, total, products = second_moments(df, dim, vector_col)
+    if n < 2:
+        raise ValueError("principal components need at least two rows")
+    values, directions = np.linalg.eigh((products - np.outer(total, total) / n) / (n - 1))
+    rows = np.sqrt(np.maximum(values, 0) * (2 * dim - 1) / 2)[:, None] * directions.T
+    alike = df.sparkSession.createDataFrame([(x.tolist(),) for x in (*rows, *-rows)], "vector array<double>")
+    packed = alike.select(array_to_vector("vector").alias("_packed"))
+    return PCA(k=k, inputCol="_packed", outputCol="_components").fit(packed).pc.toArray()
+
+
 def reduce_dims(
     df: DataFrame,
     k: int = 5,

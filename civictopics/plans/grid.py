@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civictopics.functions import vectors as vx
 from civictopics.operators import coherence, density, embed, topics, vocabulary
-from civictopics.storage import cut
+from civictopics.storage import cut, delete, new_path, settled, write
 
 # The two tuning grids; None stands for "no reduction".
 ITERATIONS = 10
@@ -19,6 +22,9 @@ PHASE_1_TOPICS = (10, 30, 50, 70, 90, 110, 130, None)
 PHASE_2_TOPICS = (50, 70, 90, 110, 130, None)
 PHASE_2_SIZES = (3, 5, 10, 15, 20, 25)
 
+# Models and iterations that are fitted side by side, and cells that the tasks receive; a larger table is joined.
+RUNS_AT_A_TIME, MOST_CELLS = 4, 1 << 18
+
 # Column names of the result files, and the word for "no reduction".
 RESULT_NAMES = {
     "num_topics_found": "num_topics_found", "nc": "NC", "nd": "ND", "wc": "WC", "wd": "WD",
@@ -144,10 +150,10 @@ def grid_topics(
     ``words (config_id, iteration, topic, rank, word, weight)`` and
     ``found (config_id, iteration, topics_found)``.
 
-    Texts are read once per model and iteration, and their words are counted per grid cell.  The
-    sizes and topic targets of a grid then only regroup cells and counts, never texts.
+    Some models and iterations are fitted at a time, and their texts are written once for all of them, next to
+    their cells.  Words are counted once for all texts that have the same topics in each of these fits.  The sizes
+    and topic targets of a grid then only regroup these counts, never texts.
     """
-    spark = tokens.sparkSession
     settings = [
         row.asDict() for row in
         grid.select("config_id", "model", "nr_topics", "min_topic_size").distinct().collect()
@@ -155,99 +161,162 @@ def grid_topics(
     iterations = sorted(row[0] for row in grid.select("iteration").distinct().collect())
     used = sorted({s["model"] for s in settings})
     idf = embed.inverse_frequencies(tokens)
+    # A fit is a model with a size limit; its configurations differ in the topic target only.
+    number = {fit: i for i, fit in enumerate(sorted({(s["model"], s["min_topic_size"]) for s in settings}))}
+    runs = [(m, i) for m in used for i in iterations]
+    parts = [
+        _some_topics(tokens, settings, number, runs[at : at + RUNS_AT_A_TIME], models, idf, k, width, sim, reducer, words_per_topic)
+        for at in range(0, len(runs), RUNS_AT_A_TIME)
+    ]
+    return tuple(reduce(DataFrame.unionByName, tables) for tables in zip(*parts))
 
-    def one(model: str, iteration: int) -> DataFrame:
-        salt = "" if iteration == 0 else str(iteration)
-        embedded = embed.embed_docs(tokens, dim=models[model], idf=idf, salt=salt)
-        if reducer == "pca":
-            # Fitting the components reads the vectors several times.
-            embedded = cut(embedded, "embedded")
-        reduced = embed.reduce_dims(embedded, k, reducer, salt, dim=models[model])
-        return density.with_cells(reduced, k, width).select(
-            F.lit(model).alias("model"), F.lit(iteration).cast("long").alias("iteration"),
-            "row_id", "tokens", "reduced", "cell",
-        )
 
-    run = ["model", "iteration"]
-    placed = cut(
-        reduce(DataFrame.unionByName, [one(m, i) for m in used for i in iterations]), "placed"
-    )
-    cells = cut(density.cell_table(placed, k, by=run), "cells")
-    links = cut(density.similar_cells(cells, k, width, sim, run), "links")
-    nowhere = placed.filter(F.col("cell").isNull()).groupBy(*run).agg(
-        F.count("*").alias("cnt"), F.min("row_id").alias("first_row")
-    )
-    cell_words = cut(
-        vocabulary.topic_term_counts(
-            placed.withColumn("cell", F.coalesce("cell", F.lit(-1))), "cell", by=run
-        ),
-        "cell-words",
-    )
+def _topics_of_cells(spark: SparkSession, places: list[tuple[str, int]], cell_topic: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``group``, the topics of a row in all fits, to rows with the cells ``_c0, _c1, ...`` of ``places (column, fit)``."""
+    known = cell_topic.limit(MOST_CELLS + 1).collect()
+    if len(known) <= MOST_CELLS:
+        found = [{} for _ in places]
+        at = {fit: i for i, (_, fit) in enumerate(places)}
+        for row in known:
+            found[at[row["fit"]]][row["cell"]] = row["topic"]
+        shared = spark.sparkContext.broadcast(found)
 
-    # A fit is a model with a size limit; its configurations differ in the topic target only.
-    fits = sorted({(s["model"], s["min_topic_size"]) for s in settings})
-    number = {fit: i for i, fit in enumerate(fits)}
-    limits = spark.createDataFrame(
-        [(number[f], f[0], i, f[1], f[1]) for f in fits for i in iterations],
-        "fit_id long, model string, iteration long, min_pts int, min_topic_size int",
-    )
-    targets = spark.createDataFrame(
-        [(s["config_id"], number[(s["model"], s["min_topic_size"])], i, s["nr_topics"])
-         for s in settings for i in iterations],
-        "config_id long, fit_id long, iteration long, nr_topics int",
-    )
-    fit, config = ["fit_id", "iteration"], ["config_id", "iteration"]
-    keys = limits.select("fit_id", *run)
-    fit_cells = cut(cells.join(keys, run), "fit-cells")
-    cell_topic = cut(
-        density.cell_topics(
-            fit_cells, cut(links.join(keys, run).drop("model"), "fit-links"), by=fit,
-            by_limits=limits,
-        ),
-        "cell-topics",
-    )
+        def name(*cells: pa.Array) -> pa.Array:
+            topics = [[of.get(c, -1) for c in column.to_pylist()] for of, column in zip(shared.value, cells)]
+            return pa.array([",".join(map(str, row)) for row in zip(*topics)], pa.string())
+
+        return lambda df: df.withColumn("group", F.arrow_udf(name, returnType="string")(*[F.col(c) for c, _ in places]))
+
+    def joined(df: DataFrame) -> DataFrame:
+        topics = []
+        for i, (column, fit) in enumerate(places):
+            own = cell_topic.filter(F.col("fit") == fit).select(F.col("cell").alias(column), F.col("topic").alias(f"_t{i}"))
+            df = df.join(own, column, "left")
+            topics.append(F.coalesce(f"_t{i}", F.lit(-1)).cast("string"))
+        return df.withColumn("group", F.concat_ws(",", *topics))
+
+    return joined
+
+
+def _some_topics(
+    tokens: DataFrame, settings: list[dict], number: Mapping[tuple[str, int], int], runs: Sequence[tuple[str, int]],
+    models: Mapping[str, int], idf: np.ndarray, k: int, width: float, sim: float, reducer: str, words_per_topic: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``grid_topics`` of some ``runs (model, iteration)``; only its results stay on disk."""
+    spark = tokens.sparkSession
+    run, fit, config = ["model", "iteration"], ["fit_id", "iteration"], ["config_id", "iteration"]
     outlier = F.lit(-1).cast("long")
-    sizes = (
-        fit_cells.select(*fit, "cell", "cnt", "first_row")
-        .unionByName(
-            nowhere.join(keys, run).select(*fit, outlier.alias("cell"), "cnt", "first_row")
+
+    def placed_texts() -> DataFrame:
+        placed = tokens.select("row_id", "tokens")
+        for n, (model, iteration) in enumerate(runs):
+            salt = "" if iteration == 0 else str(iteration)
+            embedded = embed.embed_docs(tokens, dim=models[model], idf=idf, salt=salt)
+            if reducer == "pca":
+                matrix = embed.component_matrix(embedded, k, models[model])
+            elif reducer == "projection":
+                matrix = embed.sign_matrix(models[model], k, salt)
+            else:
+                raise ValueError("reducer must be 'pca' or 'projection'")
+            vectors = embed.embed_docs(placed, dim=models[model], idf=idf, salt=salt)
+            placed = vectors.withColumn(f"_r{n}", vx.projected(matrix)(F.col("embedding"))).drop("embedding")
+        for n in range(len(runs)):
+            placed = density.with_cells(placed, k, width, f"_r{n}").withColumnRenamed("cell", f"_c{n}")
+        return placed
+
+    def of_runs(placed: DataFrame) -> DataFrame:
+        """``(model, iteration, row_id, reduced, cell)``."""
+        each = [
+            F.struct(F.lit(m).alias("model"), F.lit(i).cast("long").alias("iteration"), F.col(f"_r{n}").alias("reduced"), F.col(f"_c{n}").alias("cell"))
+            for n, (m, i) in enumerate(runs)
+        ]
+        return placed.select("row_id", F.explode(F.array(*each)).alias("_run")).select("_run.*", "row_id")
+
+    def words_and_found() -> tuple[DataFrame, DataFrame]:
+        texts_path = new_path(spark, "placed")
+        lazily = placed_texts()
+        write(lazily, texts_path)
+        placed = spark.read.schema(lazily.schema).parquet(texts_path)
+        texts = of_runs(placed)
+        cells = cut(density.cell_table(texts, k, by=run), "cells")
+        links = cut(density.similar_cells(cells, k, width, sim, run), "links")
+        nowhere = cut(texts.filter(F.col("cell").isNull()).groupBy(*run).agg(
+            F.count("*").alias("cnt"), F.min("row_id").alias("first_row")
+        ), "nowhere")
+        limits = spark.createDataFrame(
+            [(f, model, i, size, size) for (model, size), f in number.items() for m, i in runs if m == model],
+            "fit_id long, model string, iteration long, min_pts int, min_topic_size int",
         )
-        .join(cell_topic, [*fit, "cell"], "left")
-        .groupBy(*fit, F.coalesce("topic", outlier).alias("topic"))
-        .agg(F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"))
-    )
-    counts = cut(
-        cell_words.withColumnRenamed("topic", "cell")
-        .join(keys, run)
-        .join(cell_topic, [*fit, "cell"], "left")
-        .groupBy(*fit, F.coalesce("topic", outlier).alias("topic"), "word")
-        .agg(F.sum("cnt").alias("cnt")),
-        "counts",
-    )
-    weights = cut(vocabulary.class_tfidf(counts, fit), "weights")
-    to_config = targets.select("config_id", *fit)
-    mapping = cut(
-        topics.merge_plan(
-            sizes.join(to_config, fit).drop("fit_id"),
-            weights.join(to_config, fit).drop("fit_id"),
-            targets, config,
-        ),
-        "topic-mapping",
-    )
-    merged = (
-        counts.join(to_config, fit)
-        .join(mapping, [*config, "topic"])
-        .groupBy(*config, F.col("new_topic").alias("topic"), "word")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
-    weighed = vocabulary.class_tfidf(cut(merged, "counts"), config)
-    words = cut(vocabulary.top_words(weighed, words_per_topic, config), "words")
-    found = (
-        mapping.filter("new_topic <> -1").select(*config, "new_topic").distinct()
-        .groupBy(*config).agg(F.count("*").alias("some"))
-    )
-    every = mapping.select(*config).distinct().join(found, config, "left")
-    return words, every.select(*config, F.coalesce("some", F.lit(0)).alias("topics_found"))
+        targets = spark.createDataFrame(
+            [(s["config_id"], number[(s["model"], s["min_topic_size"])], i, s["nr_topics"]) for s in settings for m, i in runs if m == s["model"]],
+            "config_id long, fit_id long, iteration long, nr_topics int",
+        )
+        keys = limits.select("fit_id", *run)
+        fit_cells = cut(cells.join(keys, run), "fit-cells")
+        cell_topic = cut(
+            density.cell_topics(
+                fit_cells, cut(links.join(keys, run).drop("model"), "fit-links"), by=fit,
+                by_limits=limits,
+            ),
+            "cell-topics",
+        )
+        sizes = (
+            fit_cells.select(*fit, "cell", "cnt", "first_row")
+            .unionByName(
+                nowhere.join(keys, run).select(*fit, outlier.alias("cell"), "cnt", "first_row")
+            )
+            .join(cell_topic, [*fit, "cell"], "left")
+            .groupBy(*fit, F.coalesce("topic", outlier).alias("topic"))
+            .agg(F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"))
+        )
+        # A number for each fit of a run, and the column that has its cells.
+        fits = [(f, i, f"_c{n}") for n, (m, i) in enumerate(runs) for (model, _), f in number.items() if m == model]
+        numbered = spark.createDataFrame([(f, i, n) for n, (f, i, _) in enumerate(fits)], "fit_id long, iteration long, fit int")
+        named = _topics_of_cells(spark, [(c, n) for n, (_, _, c) in enumerate(fits)], cell_topic.join(numbered, fit).select("fit", "cell", "topic"))
+        counts = cut(vocabulary.topic_term_counts(named(placed), "group").withColumnRenamed("topic", "group"), "counts")
+        delete(spark, texts_path)
+        groups = cut(counts.select("group").distinct(), "groups")
+        each = F.posexplode(F.split("group", ",")).alias("fit", "topic")
+        fit_groups = cut(
+            groups.select("group", each).join(numbered, "fit").select(*fit, "group", F.col("topic").cast("long").alias("topic")), "fit-groups"
+        )
+        to_config = targets.select("config_id", *fit)
+        products = vocabulary.topic_products_of_groupings(counts, fit_groups, fit)
+        weights = similarity = None
+        if products is None:
+            grouped = counts.join(fit_groups, "group").groupBy(*fit, "topic", "word").agg(F.sum("cnt").alias("cnt"))
+            weights = cut(vocabulary.class_tfidf(cut(grouped, "counts"), fit), "weights").join(to_config, fit).drop("fit_id")
+        else:
+            similarity = topics.similarity_of_products(cut(products, "products"), fit).join(to_config, fit).drop("fit_id")
+        mapping = cut(
+            topics.merge_plan(
+                sizes.join(to_config, fit).drop("fit_id"), weights, targets, config, similarity
+            ),
+            "topic-mapping",
+        )
+        merged = fit_groups.join(to_config, fit).join(mapping, [*config, "topic"]).select(
+            *config, "group", F.col("new_topic").alias("topic")
+        )
+        words = vocabulary.top_words_of_groupings(counts, cut(merged, "config-groups"), words_per_topic, config)
+        found = (
+            mapping.filter("new_topic <> -1").select(*config, "new_topic").distinct()
+            .groupBy(*config).agg(F.count("*").alias("some"))
+        )
+        every = mapping.select(*config).distinct().join(found, config, "left")
+        return words, every.select(*config, F.coalesce("some", F.lit(0)).alias("topics_found"))
+
+    tables: list[DataFrame] = []
+
+    def words_only() -> DataFrame:
+        words, found = words_and_found()
+        tables.append(settled_rows(found))
+        return words
+
+    def settled_rows(found: DataFrame) -> DataFrame:
+        # One row for a run.
+        return spark.createDataFrame(found.collect(), found.schema)
+
+    return settled(spark, "words", words_only), tables[0]
 
 
 def run_grid(

@@ -305,3 +305,38 @@ def test_bucket_weights_come_near_exact_ones(spark):
     place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in exact}
     off = {b: np.mean([abs(em.inverse_frequencies(df, b)[place[w] % b] - e) for w, e in exact.items()]) for b in (1 << 18, 64)}
     assert off[1 << 18] < 0.01 < off[64]
+
+
+def test_components_from_moments_are_those_of_spark(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) + 4
+    df = vectors(spark, x).repartition(3)
+    want = np.array([r.reduced for r in em.reduce_dims(df, 3).orderBy("row_id").collect()])
+    assert np.allclose(x @ em.component_matrix(df, 3, 6), want, atol=1e-9)
+
+
+def test_a_grid_writes_each_text_once_for_some_runs(spark, monkeypatch):
+    from civictopics.operators import vocabulary as vo
+
+    docs = made_up(spark).select("row_id", F.split("clean_text", " ").alias("tokens"))
+    grid = gr.parameter_grid(spark, ["a", "b"], [2, None], [10], iterations=2)
+    written, texts = [], []
+    monkeypatch.setattr(gr, "write", lambda df, path, plain=gr.write: texts.append(df.count()) or plain(df, path))
+    monkeypatch.setattr(gr, "cut", lambda df, name, plain=gr.cut: written.append((name, df.count() if name in ("counts", "groups") else 0)) or plain(df, name))
+    words, found = gr.grid_topics(docs, grid, {"a": 32, "b": 64}, k=3)
+    rows = {(r.config_id, r.iteration, r.topic, r["rank"]): (r.word, r.weight) for r in words.collect()}
+    counts = sorted(map(tuple, found.collect()))
+    assert len(counts) == 8 and len(rows) > 100
+    n = docs.count()
+    vocabulary = docs.select(F.explode("tokens")).distinct().count()
+    assert texts == [n] and not {"embedded", "placed", "cell-words"} & {name for name, _ in written}
+    assert max(k for name, k in written if name == "counts") <= dict(written)["groups"] * vocabulary
+    # Few runs at a time, and tables of cells and of groups that are joined, give the same.
+    for module, name in ((gr, "MOST_CELLS"), (vo, "MOST_PLACED")):
+        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(gr, "RUNS_AT_A_TIME", 3)
+    again, found = gr.grid_topics(docs, grid, {"a": 32, "b": 64}, k=3)
+    assert sorted(map(tuple, found.collect())) == counts
+    other = {(r.config_id, r.iteration, r.topic, r["rank"]): (r.word, r.weight) for r in again.collect()}
+    assert other.keys() == rows.keys() and all(abs(other[x][1] - rows[x][1]) < 1e-8 for x in rows)
+    assert sum(other[x][0] == rows[x][0] for x in rows) > 0.9 * len(rows)
